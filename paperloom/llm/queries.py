@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import edited_pairs
+from .language_id import identify
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -13,6 +15,14 @@ TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 2048
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), MAX_TOKENS)
 
@@ -22,6 +32,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
