@@ -5,16 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .chat import format_pairs, neighbour_pairs
+from .common import new_path, table
 from .fingerprints import edited_pairs
 from .language_id import identify
+from .oracle import ORACLE_SQL
 from .packing import pack_documents
+from .secrets import scan
 from .token_counts import token_counts
+from .warc import round_trip
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 2048
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_pairs(neighbour_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -27,15 +35,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), MAX_TOKENS)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES = {
+    "op1_preference_formatting": op1_preference_formatting,
     "op3_language_id": op3_language_id,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secret_scans": op6_secret_scans,
+    "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
