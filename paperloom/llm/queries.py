@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_pairs, neighbour_pairs
 from .common import new_path, table
+from .decontaminate import leaks
 from .fingerprints import edited_pairs
 from .language_id import identify
 from .oracle import ORACLE_SQL
@@ -23,6 +24,10 @@ def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_pairs(neighbour_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -49,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_best_fit_packing": op5_best_fit_packing,
