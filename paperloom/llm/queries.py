@@ -10,6 +10,7 @@ from .common import new_path, table
 from .decontaminate import leaks
 from .fingerprints import edited_pairs
 from .language_id import identify
+from .near_dups import classes
 from .oracle import ORACLE_SQL
 from .packing import pack_documents
 from .secrets import scan
@@ -44,6 +45,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op7_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
+    "op7_bagminhash_near_dedup": op7_bagminhash_near_dedup,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
