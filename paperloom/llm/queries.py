@@ -13,6 +13,7 @@ from .language_id import identify
 from .near_dups import classes
 from .oracle import ORACLE_SQL
 from .packing import pack_documents
+from .repeats import deduplicated
 from .secrets import scan
 from .token_counts import token_counts
 from .warc import round_trip
@@ -49,6 +50,10 @@ def op7_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
     "op7_bagminhash_near_dedup": op7_bagminhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
