@@ -15,6 +15,7 @@ gives an empty archive; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 from collections.abc import Iterator
@@ -44,8 +45,8 @@ HEADERS = {
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", content_length long, payload binary"
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write ``page_id, url, html`` as WARC files below ``path``."""
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Write ``page_id, url, html`` as WARC files below ``path``; ``compression`` is gzip or none."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.regexp_replace("url", r"[\x00-\x20]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html")})
     groups = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
@@ -68,7 +69,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 @dataclass
@@ -117,7 +118,7 @@ class WarcReader(DataSourceReader):
         held = 0
         for name in partition.names:
             with system.open_input_file(name) as raw:
-                for row in self.records(io.BufferedReader(raw, 1 << 20)):
+                for row in self.records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held > 8 << 20 or len(rows) >= 4096:
