@@ -7,9 +7,8 @@ weighted Jaccard similarity of their bags is ``threshold`` or more; a class is a
 2. ``REGISTERS`` registers in bands of four: a pair at the threshold shares a bucket with a probability of 1 - 5e-8.
 3. Each bucket has one hub, the member whose buckets are fullest in all; all members are verified against it. A bucket of any size
    costs as many pairs as it has members, and a family of copies of one text is joined by that text.
-4. In buckets that still hold several components, all pairs of members of different components are verified that can be linked at
-   all. What can be is bounded before any pair is made: of a bag of n runs of which c occur in other members of large buckets, a
-   linked bag has n * threshold to c / threshold - n + c runs, so rows meet on the bucket and a bin of that size.
+4. In buckets that still hold several components, members of different components are compared further: all pairs in buckets of
+   fewer than ``LARGE`` members, and in larger ones, taken together, those that prefix filtering, which is exact, leaves.
 
 So no verified link is left out, and no bucket is taken whole into a task.
 
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
@@ -33,7 +32,7 @@ from .common import text_or_empty, written
 from .components import components
 
 THRESHOLD = 0.8
-#: From this many members on, a bucket's members are bounded by what they share.
+#: From this many members on, a bucket's pairs are found by the runs they share.
 LARGE = 32
 #: Bags, or runs in all, that are sketched at once.
 GROUP, GROUP_RUNS = 512, 1 << 19
@@ -93,25 +92,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(ours, "u").join(hubs, "v").select("u", "v", "one", "other").mapInArrow(verify, "u long, v long")
 
 
-def _bounded(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``doc_id, n, c`` of members of open buckets; c is n but for members of large ones."""
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of ``members`` (doc_id, component) of different components that can be linked at all, by prefix filtering.
+
+    A bag is a set of runs numbered by their repeats. Two of n and m runs are linked if they share a = (n + m) * t / (1 + t) of
+    them, so with all runs in one order, rarest first, they share one of the first n - a + 1 of one and m - a + 1 of the other.
+    Rows meet on such a run and on both bags' bins of sizes, for which a is computed. Runs of one bag alone only take places."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, large, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = bag.shingles(text)
-                ids, counts = np.unique(runs, return_counts=True)
-                if not large:
-                    ids, counts = ids[:0], counts[:0]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * (len(ids) + 1), pa.int64()), pa.array([None, *ids.astype(np.int64)], pa.int64()), pa.array([len(runs), *counts], pa.int64())], ["doc_id", "run", "n"])
-
-    ids = members.groupBy("doc_id").agg(F.max("large").alias("large"))
-    rows = written(ids.join(texts, "doc_id").select("doc_id", "large", "words").mapInArrow(listed, "doc_id long, run long, n long"), "runs")
-    runs = rows.where("run is not null")
-    alone = runs.groupBy("run").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("doc_id"), F.max("n").alias("n")).where("docs = 1")
-    lost = alone.groupBy("doc_id").agg(F.sum("n").alias("lost"))
-    sizes = rows.where("run is null").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    return sizes.join(lost, "doc_id", "left").select("doc_id", "least", "n", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("c"))
+            for doc_id, component, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, counts = np.unique(bag.shingles(text), return_counts=True)
+                again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                runs = bag.mix(np.repeat(ids, counts) + again.astype(np.uint64) * np.uint64(bag.BASE))
+                fixed = (pa.array([x] * len(runs), pa.int64()) for x in (doc_id, component, mark, len(runs)))
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(runs.astype(np.int64))], ["doc_id", "component", "mark", "n", "run"])
+
+    rows = members.join(texts, "doc_id").select("doc_id", "component", F.xxhash64("words").alias("mark"), "words")
+    runs = written(rows.mapInArrow(listed, "doc_id long, component long, mark long, n long, run long"), "runs")
+    shared = runs.groupBy("run").agg(F.count("*").alias("bags")).where("bags > 1")
+    one = Window.partitionBy("doc_id", "mark")
+    placed = runs.join(shared, "run").withColumn("place", F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("bags", "run")))
+
+    size_bin = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / math.log(BIN)).cast("int")
+    n = F.col("n").cast("double")
+    placed = placed.where(F.col("place") <= n - F.ceil(n * threshold) + 2).withColumn("own", size_bin(n))
+    placed = placed.withColumn("other", F.explode(F.sequence(size_bin(n * threshold) - 1, size_bin(n / threshold) + 1)))
+    least = F.ceil((n + F.pow(F.lit(BIN), F.col("other"))) * threshold / (1 + threshold) - 1e-6)
+    placed = placed.where(F.col("place") <= n - least + 1).select("doc_id", "component", "run", "own", "other")
+    a, b = placed.alias("a"), placed.alias("b")
+    meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    apart = (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
+    return a.join(b, meet & apart).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+
+
+def _bucket_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of different components in buckets of fewer than ``LARGE`` members, short of those whose sizes forbid a link."""
+    runs = F.greatest(F.size(F.split("words", " ")) - (bag.SHINGLE - 1), F.lit(1))
+    sizes = texts.groupBy("doc_id").agg(F.min(runs).alias("least"), F.max(runs).alias("most"))
+    rows = members.join(sizes, "doc_id").select("bucket", "doc_id", "component", "least", "most")
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
+    fits = (F.col("a.most") >= F.col("b.least") * threshold) & (F.col("b.most") >= F.col("a.least") * threshold)
+    return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & apart & fits).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,16 +160,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labelled = buckets.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", own)
     still = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     members = written(labelled.join(still, "bucket").withColumn("large", F.col("size") >= LARGE), "open")
-    bounds = _bounded(members, texts)
-
-    place = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / math.log(BIN)).cast("int")
-    sized = members.join(bounds, "doc_id").select("bucket", "doc_id", "component", "least", "n", "c")
-    high = F.least(F.col("n") / threshold, F.col("c") / threshold - F.col("least") + F.col("c"))
-    asks = sized.withColumn("low", F.col("least") * threshold).withColumn("high", high).where("high >= low")
-    asks = asks.select("bucket", F.col("doc_id").alias("u"), F.col("component").alias("mine"), "low", "high", F.col("n").alias("own"), F.explode(F.sequence(place(F.col("low")), place(F.col("high")))).alias("bin"))
-    gives = sized.withColumn("high_v", high).select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("theirs"), F.col("n").alias("n_v"), (F.col("least") * threshold).alias("low_v"), "high_v", place(F.col("n").cast("double")).alias("bin"))
-    fits = (F.col("u") > F.col("v")) & (F.col("mine") != F.col("theirs")) & F.col("n_v").between(F.col("low"), F.col("high")) & F.col("own").between(F.col("low_v"), F.col("high_v"))
-    pairs = asks.join(gives, ["bucket", "bin"]).where(fits).select("u", "v").distinct()
+    many = members.where("large").select("doc_id", "component").distinct()
+    pairs = _prefix_pairs(many, texts, threshold).unionByName(_bucket_pairs(members.where("not large"), texts, threshold)).distinct()
     pairs = pairs.join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
     more = _verified(pairs, texts, threshold)
     whole = components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
