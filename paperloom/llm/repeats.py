@@ -85,12 +85,14 @@ def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
 
 def _judged(rows: DataFrame, key: list[str], whole: list[str]) -> DataFrame:
     """Rows whose ``key`` others have too, with ``repeated``: whether others have ``whole`` as well; and ``goes_on``: whether the
-    next round needs it, as it is not repeated, or as the first of its likes, which rows that are not repeated may match in part."""
-    several = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    next round needs it, as it is not repeated, or as the first of its likes, which rows that are not repeated may match in part.
+
+    Counts are written before they are joined: a join that reads both sides from exchanges can split a key that many rows have."""
+    several = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "keys")
     rows = written(rows.join(several, key), "several")
     kinds = rows.groupBy(*key, *whole).agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "anchor")).alias("least"))
     lone = kinds.groupBy(*key).agg((F.min("n") == 1).alias("lone"))
-    rows = rows.join(kinds.join(lone, key), [*key, *whole])
+    rows = rows.join(written(kinds.join(lone, key), "kinds"), [*key, *whole])
     first = F.struct("id", "print", "anchor") == F.col("least")
     return rows.withColumn("repeated", F.col("n") > 1).withColumn("goes_on", (F.col("n") == 1) | (F.col("lone") & first)).drop("n", "least", "lone")
 
