@@ -140,7 +140,7 @@ def _bucket_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id`` of each row; class_id is the least doc_id of the class."""
     sketch = written(sketches(docs), "sketches")
-    nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")  # written: a join of two exchanges can split a hot key
     distinct = sketch.join(nodes, "digest").where("doc_id = node").dropDuplicates(["digest"]).select("node", "bands")
     rows = distinct.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), F.col("node").alias("doc_id"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
