@@ -15,7 +15,7 @@ from paperloom.llm.common import table, written
 from paperloom.llm.queries import MAX_TOKENS, TOKENIZER
 
 #: A text of at least so many characters is rejected if its language is less sure than this.
-SURE_CHARS, SURE_SCORE = 100, 0.2
+SURE_CHARS, SURE_SCORE = 100, 0.12
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
