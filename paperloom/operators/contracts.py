@@ -23,9 +23,10 @@ def required_keys(params: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def translation_problems(required: DataFrame, translations: DataFrame) -> DataFrame:
-    """``lang, key, problem`` of ``translations`` (lang, key, text) against ``required`` (code, params). Languages are few."""
-    langs = translations.select("lang").distinct()
-    wanted = required.select(F.col("code").alias("key"), "params").crossJoin(F.broadcast(langs))
+    """``lang, key, problem`` of ``translations`` (lang, key, text) against ``required`` (code, params). The driver holds the names
+    of the languages."""
+    langs = [r["lang"] for r in translations.select("lang").distinct().orderBy("lang").collect()]
+    wanted = required.select(F.col("code").alias("key"), "params", F.explode(F.array(*map(F.lit, langs)).cast("array<string>")).alias("lang"))
     rows = wanted.withColumn("wanted", F.lit(True)).join(translations, ["lang", "key"], "full")
     used = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\{\{(\w+)\}\}"), F.lit(1)))
     blank = F.trim("text") == ""

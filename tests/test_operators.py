@@ -308,3 +308,33 @@ def test_empty_tables(spark):
     raw = spark.createDataFrame([], RAW)
     found = grounding.spans(raw, index)
     assert found.isEmpty() and grounding.boxes(found, index, blks).isEmpty() and offsets.concatenated(blks).isEmpty()
+
+
+def test_files(spark, tmp_path):
+    from paperloom.sources import files
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a").write_bytes(b"x" * 10)
+    (tmp_path / "docs" / "b").write_bytes(b"x" * 11)
+    kept, refused = files.read_documents(spark, str(tmp_path / "docs"), 10)
+    assert [(r["n_bytes"], bytes(r["content"])) for r in kept.collect()] == [(10, b"x" * 10)]
+    assert [(r["max_bytes"], r["actual_bytes"]) for r in refused.collect()] == [(10, 11)]
+    (tmp_path / "skills" / "inv" / "deep").mkdir(parents=True)
+    (tmp_path / "skills" / "inv" / "1.json").write_text('{"name": "inv", "version": 1,\n "prompt": "p", "output_schema": "{}"}')
+    (tmp_path / "skills" / "inv" / "deep" / "2.json").write_text('{"name": "inv", "version": 2}')
+    (tmp_path / "skills" / "bad.json").write_text("{nothing")
+    rows = {r["path"]: (r["name"], r["version"]) for r in files.read_registry(spark, str(tmp_path / "skills")).collect()}
+    assert rows == {"inv/1.json": ("inv", 1), "inv/deep/2.json": ("inv", 2), "bad.json": (None, None)}
+
+
+def test_json_is_decoded_like_python(spark):
+    import json
+
+    texts = ['{"a":1} tail', "x {\"a\":[1,{\"b\":null}]} }", '{"a":1', "{'a':1}", '{"a":"\\u00e9 \\n"}', '{"a":\n 1.50}', "{}", '{"a":"\t"}', "{a:1}", '[1] {"b":2}']
+    rows = replies.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string").withColumn("attempt", F.lit(1))).select("doc_id", F.to_json("parsed").alias("j")).collect()
+    for r in rows:
+        try:
+            want = json.JSONDecoder().raw_decode(texts[r["doc_id"]][texts[r["doc_id"]].find("{") :])[0]
+        except ValueError:
+            want = None
+        assert (json.loads(r["j"]) if r["j"] else None) == want, texts[r["doc_id"]]
