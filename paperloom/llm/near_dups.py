@@ -97,7 +97,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
 
     A bag is a set of runs numbered by their repeats. Two of n and m runs are linked if they share a = (n + m) * t / (1 + t) of
     them, so with all runs in one order, rarest first, they share one of the first n - a + 1 of one and m - a + 1 of the other.
-    Rows meet on such a run and on both bags' bins of sizes, for which a is computed. Runs of one bag alone only take places."""
+    Rows meet on such a run and on both bags' bins of sizes, for which a is computed. Runs of one bag alone only take places, and
+    runs of many bags are looked at only for bags that have too few rarer ones."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,13 +111,22 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
 
     rows = members.join(texts, "doc_id").select("doc_id", "component", F.xxhash64("words").alias("mark"), "words")
     runs = written(rows.mapInArrow(listed, "doc_id long, component long, mark long, n long, run long"), "runs")
-    shared = runs.groupBy("run").agg(F.count("*").alias("bags")).where("bags > 1")
-    one = Window.partitionBy("doc_id", "mark")
-    placed = runs.join(shared, "run").withColumn("place", F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("bags", "run")))
+    held = written(runs.groupBy("run").agg(F.count("*").alias("bags"), F.min(F.struct("doc_id", "mark")).alias("one")), "held")
+    alone = held.where("bags = 1").groupBy("one.doc_id", "one.mark").agg(F.count("*").alias("alone"))
+    sizes = runs.groupBy("doc_id", "mark").agg(F.max("n").alias("n"), F.max("component").alias("component"))
+    sizes = sizes.join(alone, ["doc_id", "mark"], "left").fillna(0, ["alone"]).withColumn("first", F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    sizes = written(sizes.where("alone < first"), "sizes")  # else more runs than a link allows are in no other bag
+
+    few = runs.select("doc_id", "mark", "run").join(held.where(F.col("bags").between(2, LARGE)).select("run", "bags"), "run").join(sizes.select("doc_id", "mark"), ["doc_id", "mark"])
+    few = written(few, "few")
+    short = sizes.join(few.groupBy("doc_id", "mark").agg(F.count("*").alias("few")), ["doc_id", "mark"], "left").where(F.col("alone") + F.coalesce("few", F.lit(0)) < F.col("first"))
+    many = runs.select("doc_id", "mark", "run").join(short.select("doc_id", "mark"), ["doc_id", "mark"]).join(held.where(F.col("bags") > LARGE).select("run", "bags"), "run")
+    order = Window.partitionBy("doc_id", "mark").orderBy("bags", "run")
+    placed = few.unionByName(many).withColumn("nth", F.row_number().over(order)).join(sizes, ["doc_id", "mark"]).withColumn("place", F.col("alone") + F.col("nth"))
 
     size_bin = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / math.log(BIN)).cast("int")
     n = F.col("n").cast("double")
-    placed = placed.where(F.col("place") <= n - F.ceil(n * threshold) + 2).withColumn("own", size_bin(n))
+    placed = placed.where("place <= first").withColumn("own", size_bin(n))
     placed = placed.withColumn("other", F.explode(F.sequence(size_bin(n * threshold) - 1, size_bin(n / threshold) + 1)))
     least = F.ceil((n + F.pow(F.lit(BIN), F.col("other"))) * threshold / (1 + threshold) - 1e-6)
     placed = placed.where(F.col("place") <= n - least + 1).select("doc_id", "component", "run", "own", "other")
@@ -143,14 +153,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")  # written: a join of two exchanges can split a hot key
     distinct = sketch.join(nodes, "digest").where("doc_id = node").dropDuplicates(["digest"]).select("node", "bands")
     rows = distinct.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), F.col("node").alias("doc_id"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     buckets = written(rows.join(sizes, "bucket"), "buckets")
 
     ids = buckets.select("doc_id").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words")).join(ids, "doc_id").dropDuplicates(), "texts")
 
     central = buckets.groupBy("doc_id").agg(F.sum("size").alias("rank"))
-    ranked = buckets.join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("rank", -F.col("doc_id"))).alias("v"))
+    ranked = written(buckets.join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("rank", -F.col("doc_id"))).alias("v")), "hubs")
     stars = buckets.join(ranked, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     stars = written(stars, "stars")
     links = written(_verified(stars, texts, threshold), "links")
