@@ -20,16 +20,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     linked = (seen.where("v > u") if large else seen).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(least.select("u", F.col("m").alias("v")))
-    return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its least node) of all nodes in ``edges`` (u, v) but the least ones themselves."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    """``node, component`` (its least node) of all nodes in ``edges`` (u, v) but the least ones themselves. It ends when every node
+    is linked to one below it or has others linked to it, not both."""
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        edges = written(_star(_star(edges, True), False).distinct(), "edges")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now

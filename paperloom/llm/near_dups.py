@@ -171,8 +171,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     still = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     members = written(labelled.join(still, "bucket").withColumn("large", F.col("size") >= LARGE), "open")
     many = members.where("large").select("doc_id", "component").distinct()
-    pairs = _prefix_pairs(many, texts, threshold).unionByName(_bucket_pairs(members.where("not large"), texts, threshold)).distinct()
-    pairs = pairs.join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
+    pairs = _prefix_pairs(many, texts, threshold).unionByName(_bucket_pairs(members.where("not large"), texts, threshold))
     more = _verified(pairs, texts, threshold)
     whole = components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 

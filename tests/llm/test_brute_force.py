@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from paperloom.llm import bagminhash, decontaminate, fingerprints, language_id, near_dups, packing, repeats, secrets, token_counts
+from paperloom.llm import bagminhash, components, decontaminate, fingerprints, language_id, near_dups, packing, repeats, secrets, token_counts
 from paperloom.llm.bpe import load
 
 DATA = "/root/testdata/sf0.001"
@@ -341,6 +341,23 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dups.classes(frame(spark, [])).isEmpty()
 
 
+def test_components(spark):
+    random.seed(8)
+    for n, m in ((40, 30), (60, 80), (1, 0)):
+        edges = [(random.randrange(n), random.randrange(n)) for _ in range(m)] + [(1_000 + i, 1_001 + i) for i in range(20)] + [(2_000, 2_001 + i) for i in range(9)]
+        root = {x: x for e in edges for x in e}
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for u, v in edges:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {x: find(x) for x in root if find(x) != x}
+    assert components.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     errors = []
