@@ -21,9 +21,9 @@ SURE_CHARS, SURE_SCORE = 100, 0.12
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, and long ones that resemble no language learned from the labelled rows; a null text has no letter."""
     profiles = language_id.learn(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
-    judged = language_id.predict(docs, profiles, tuple(docs.columns))
-    unsure = (F.length("text") >= SURE_CHARS) & (F.col("score") < SURE_SCORE)
-    rejected = (F.col("lang_pred") == language_id.UNKNOWN) | unsure
+    judged = language_id.predict(docs, profiles, tuple(docs.columns), ("_lang_pred", "_score"))
+    unsure = (F.length("text") >= SURE_CHARS) & (F.col("_score") < SURE_SCORE)
+    rejected = (F.col("_lang_pred") == language_id.UNKNOWN) | unsure
     return judged.where(~rejected).select(*docs.columns)
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = 64
 DIMENSIONS = 1024
@@ -145,17 +146,17 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = 1) -> P
     return Profiles([r["lang"] for r in found], vectors, seed)
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``docs``, then ``lang_pred, score``; the prediction sees ``text`` alone."""
+def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs``, then the language and its score, called ``names``; the prediction sees ``text`` alone."""
     rows = docs.select(F.col("text").alias("_text"), *keep)
-    kept = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in keep)
+    schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = profiles.predict(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            found, scores = profiles.predict(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    return rows.mapInArrow(judge, f"{kept}, lang_pred string, score double")
+    return rows.mapInArrow(judge, schema)
 
 
 def held_out(fold: int = 0, folds: int = 5) -> Column:

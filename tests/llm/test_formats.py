@@ -112,8 +112,8 @@ def test_pipeline(spark):
 
 
 def test_pipeline_of_odd_rows(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, words string, bucket long"
     rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, "some plain words of a text", None, "s", 26), (4, "some plain words of a text", "en", "s", 26), (None, "without an id", "en", "s", 13), (5, "token = abcdefghijkl0123", "en", "s", 24), (5, "token = abcdefghijkl0123", "en", "s", 24)]
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*r, "s", 1, "w", 2) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {3, 5}
