@@ -85,7 +85,7 @@ def first_valid(judged_rows: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
 
 
 def correction_prompt(prompt: Column, output: Column, reason: Column, schema: Column) -> Column:
-    """``schema`` is pretty JSON with sorted keys (``pretty``)."""
+    """``schema`` is pretty JSON with sorted keys (``pretty``). The texts between the parts."""
     return F.concat(
         prompt,
         F.lit("\n\nThe previous response was not valid JSON matching the required schema.\nPrevious output:\n"),
