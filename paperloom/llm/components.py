@@ -26,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) of all nodes in ``edges`` (u, v) but the least ones themselves. It ends when every node
     is linked to one below it or has others linked to it, not both."""
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")  # a round reads them many times
     while True:
         edges = written(_star(_star(edges, True), False).distinct(), "edges")
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
