@@ -498,7 +498,9 @@ def log_4(s: SparkSession, d: str) -> DataFrame:
 @query
 def log_5(s: SparkSession, d: str) -> DataFrame:
     note = F.concat(F.lit("X-Request-Id: "), F.lpad(F.col("doc_id").cast("string"), 32, "1"), F.lit(" account "), F.lpad(F.col("doc_id").cast("string"), 32, "2"), F.lit(" "), "text")
-    return derived.table(s, d, "documents").select("doc_id", F.substring(redaction.exception_text(note), 1, 90).alias("head"))
+    rows = derived.table(s, d, "documents").select("doc_id", redaction.exception_text(note).alias("text"))
+    marks = lambda kind: F.regexp_count("text", F.lit(rf"\[REDACTED_{kind}\]")).cast("long")
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"), marks("EMAIL").alias("n_emails"), marks("NUMBER").alias("n_numbers"))
 
 
 @query
