@@ -5,7 +5,8 @@ entropy kind takes candidate strings (long runs of letters, digits and a few sig
 that holds it, slides a window of ``WINDOW`` characters over it and flags the candidate if the entropy within some window reaches
 the threshold of its class. The counts of the window change by one character out and one in; what they add up to, the sum of
 c log2 c, is kept in whole millionths, so that no rounding depends on the order of steps. Candidates that the allow list names,
-or that overlap a base span, are left out; base spans always stay.
+or that overlap a base span, are left out of the list; base spans always stay. Redaction also takes candidates that overlap a base
+span, if they are suspect as a whole or in a part that base spans leave over.
 
 Every row is judged by itself: no shuffle. Defined results: a null text is an empty one, without spans; repeated rows give
 repeated rows; an empty table gives none; spans are in order of start, then kind; other columns are ignored.
@@ -33,8 +34,10 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Character classes, narrowest first, and the bits a character from which a window is suspect.
 CLASSES = (("[0-9a-f]+|[0-9A-F]+", 3.0), ("[a-z0-9]+|[A-Z0-9]+", 3.5), ("[A-Za-z0-9]+", 3.7), (".+", 3.8))
-#: What is never a secret: words and numbers joined by signs, UUIDs, placeholders.
-ALLOWED = ("[A-Za-z+/_=-]+", "[0-9+/_=-]+", "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "(?i).*(example|dummy|sample|placeholder|x{6}).*")
+#: A change of case as words seldom have: one small letter between capitals, or a capital behind a small letter and before none.
+ODD_CASE = "(?:[A-Z][a-z](?=[A-Z])|[a-z][A-Z](?![a-z]))"
+#: What is never a secret: words (at most one odd case) and numbers joined by signs, UUIDs, placeholders.
+ALLOWED = (f"(?!.*{ODD_CASE}.*{ODD_CASE})[A-Za-z+/_=-]+", "[0-9+/_=-]+", "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "(?i).*(example|dummy|sample|placeholder|x{6}).*")
 #: c log2 c in millionths for each count that a window can hold.
 WEIGHTS = tuple(round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1))
 
@@ -87,6 +90,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_kind(assign, 0), _kind(access, 1), _kind(matches(text, HEX), 2)))
 
 
+def _suspects(text: Column) -> Column:
+    """Spans of all suspect candidates."""
+    return _kind(F.filter(matches(text, CANDIDATE), lambda m: ~_allowed(m["found"]) & _suspect(m["found"])), 3)
+
+
+def overlapping_spans(text: Column, base: Column) -> Column:
+    """Suspect candidates that overlap a base span, and suspect parts that base spans leave of candidates; others may be among them."""
+    blank = lambda t, b: F.overlay(t, F.repeat(F.lit(" "), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"])
+    left = F.aggregate(base, text, blank)
+    return F.when(F.size(base) > 0, F.concat(_suspects(text), let(left, _suspects))).otherwise(F.slice(base, 1, 0))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     likely = F.filter(matches(text, CANDIDATE), lambda m: ~_allowed(m["found"]))
@@ -128,4 +143,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.concat(F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit(mark))), ""), last)
 
     changed = F.when(F.size("_spans") > 0, let(F.aggregate("_spans", empty, joined), cut)).otherwise(F.col("text"))
-    return with_spans(docs).withColumn("text", changed).drop("_text", "_base", "_spans")
+    spans = F.array_sort(F.concat("_spans", overlapping_spans(F.col("_text"), F.col("_base"))))
+    return with_spans(docs).withColumn("_spans", spans).withColumn("text", changed).drop("_text", "_base", "_spans")
