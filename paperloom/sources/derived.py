@@ -56,10 +56,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with sizes and page counts; a few are flagged as what a preflight would refuse."""
+    """Documents with sizes and page counts; a few are flagged as what a preflight would refuse. A null text has no bytes and no pages."""
     pages = lines(spark, sf_dir).groupBy("doc_id").agg((F.floor(F.max("seq") / 10) + 1).cast("int").alias("page_count"))
-    return table(spark, sf_dir, "documents").join(pages, "doc_id").select(
-        "doc_id", "text", F.octet_length("text").alias("n_bytes"), "page_count", (F.col("doc_id") % 41 != 0).alias("is_valid"), (F.col("doc_id") % 43 == 0).alias("is_encrypted")
+    zero = F.lit(0)
+    return table(spark, sf_dir, "documents").join(pages, "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), zero).alias("n_bytes"), F.coalesce("page_count", zero).alias("page_count"), (F.col("doc_id") % 41 != 0).alias("is_valid"), (F.col("doc_id") % 43 == 0).alias("is_encrypted")
     )
 
 

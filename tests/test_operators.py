@@ -302,6 +302,23 @@ def test_pipeline_partitions_documents(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "responses")).where("output_mode = 'PDF_ONLY'").isEmpty()
 
 
+def test_null_texts_reach_the_gates(spark, tmp_path):
+    import os
+
+    from paperloom.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    os.symlink(f"{data}/supplier.parquet", f"{tmp_path}/supplier.parquet")
+    docs = spark.createDataFrame([(8, "some words"), (5, None), (6, None), (41, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    get = lambda name: {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {i for i, r in get("blk_8").items() if r["code"] == "PDF_NO_TEXT_EXTRACTABLE"} == {5, 6, 41}
+    assert {i: r["n_bytes"] for i, r in get("src_1").items()} == {5: 0, 6: 0, 8: 10, 41: 0}
+    errors = get("asm_5")
+    assert {5, 6, 41} <= set(errors) and set(errors) == set(get("snk_2"))
+    assert sum(r["n"] for r in QUERIES["src_3"](spark, str(tmp_path)).collect()) == len(errors)
+
+
 def test_empty_tables(spark):
     blks = spark.createDataFrame([], BLOCKS)
     index = offsets.offset_index(blks)
