@@ -1,7 +1,10 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is a few joins and aggregations on node ids; its edges are written to the shared folder, which cuts the lineage. A node
-with many edges costs an aggregation that Spark combines before it shuffles.
+with many edges costs an aggregation that Spark combines before it shuffles, and a join that it can split.
+
+Defined results: edges with a null end link nothing; repeated edges count once; an edge from a node to itself says nothing; no
+edges give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours to the least of them: those above the node (large star) or below it (small star)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen = both if large else both.where("v < u")
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = written(seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")  # written: a join of two exchanges can split a hot node
     linked = (seen.where("v > u") if large else seen).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(least.select("u", F.col("m").alias("v")))

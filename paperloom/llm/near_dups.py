@@ -3,18 +3,22 @@
 Documents are bags of five-word runs (a shorter text is one run) of lower-cased, single-spaced words. Two are linked if the
 weighted Jaccard similarity of their bags is ``threshold`` or more; a class is a connected component.
 
-1. Equal texts are one node, the least doc_id of them.
+1. Equal texts are one node; a node has a number of its own, so doc_ids decide nothing.
 2. ``REGISTERS`` registers in bands of four: a pair at the threshold shares a bucket with a probability of 1 - 5e-8.
 3. Each bucket has one hub, the member whose buckets are fullest in all; all members are verified against it. A bucket of any size
    costs as many pairs as it has members, and a family of copies of one text is joined by that text.
-4. In buckets that still hold several components, members of different components are compared further: all pairs in buckets of
-   fewer than ``LARGE`` members, and in larger ones, taken together, those that prefix filtering, which is exact, leaves.
+4. Members of buckets that still hold several components are compared further: those pairs of different components that prefix
+   filtering, which is exact, leaves.
+
+Prefix filtering is exact under any fixed order of runs and cheap if rare runs come first. The order is by a count filter of
+``SLOTS`` counters, whose size does not grow with the corpus: a counter is never too low, so a run counted once is in one bag
+alone, and where counters are too high only more pairs are verified.
 
 So no verified link is left out, and no bucket is taken whole into a task.
 
-Defined results: a null text is an empty one; empty texts equal each other; a doc_id with several texts is one document that links
-whatever one of its texts does; rows without a doc_id take the class of equal texts, else none; an empty table gives no rows;
-other columns are ignored.
+Defined results: a null text is an empty one; empty texts equal each other; rows are judged by their text, so rows of one doc_id
+with different texts may be in different classes, and a row without a doc_id is in that of its text; class_id is the least doc_id
+of a class, null if none of it has one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
@@ -32,8 +36,8 @@ from .common import text_or_empty, written
 from .components import components
 
 THRESHOLD = 0.8
-#: From this many members on, a bucket's pairs are found by the runs they share.
-LARGE = 32
+#: Counters of the filter that orders runs by how many bags hold them.
+SLOTS = 1 << 20
 #: Bags, or runs in all, that are sketched at once.
 GROUP, GROUP_RUNS = 512, 1 << 19
 #: Ratio of neighbouring bins of sizes.
@@ -87,93 +91,138 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 keep.append(low >= threshold * high and bag.overlap(own, hub_bag) >= threshold)
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["u", "v"])
 
-    ours = texts.select(F.col("doc_id").alias("u"), F.col("words").alias("one"))
-    hubs = texts.select(F.col("doc_id").alias("v"), F.col("words").alias("other"))
+    ours = texts.select(F.col("node").alias("u"), F.col("words").alias("one"))
+    hubs = texts.select(F.col("node").alias("v"), F.col("words").alias("other"))
     return pairs.join(ours, "u").join(hubs, "v").select("u", "v", "one", "other").mapInArrow(verify, "u long, v long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of ``members`` (doc_id, component) of different components that can be linked at all, by prefix filtering.
+def _runs(text: str) -> np.ndarray:
+    """A bag as a set: its runs, those that repeat numbered by their repeats."""
+    ids, counts = np.unique(bag.shingles(text), return_counts=True)
+    again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return bag.mix(np.repeat(ids, counts) + again.astype(np.uint64) * np.uint64(bag.BASE))
 
-    A bag is a set of runs numbered by their repeats. Two of n and m runs are linked if they share a = (n + m) * t / (1 + t) of
-    them, so with all runs in one order, rarest first, they share one of the first n - a + 1 of one and m - a + 1 of the other.
-    Rows meet on such a run and on both bags' bins of sizes, for which a is computed. Runs of one bag alone only take places, and
-    runs of many bags are looked at only for bags that have too few rarer ones."""
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, component, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, counts = np.unique(bag.shingles(text), return_counts=True)
-                again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                runs = bag.mix(np.repeat(ids, counts) + again.astype(np.uint64) * np.uint64(bag.BASE))
-                fixed = (pa.array([x] * len(runs), pa.int64()) for x in (doc_id, component, mark, len(runs)))
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(runs.astype(np.int64))], ["doc_id", "component", "mark", "n", "run"])
-
-    rows = members.join(texts, "doc_id").select("doc_id", "component", F.xxhash64("words").alias("mark"), "words")
-    runs = written(rows.mapInArrow(listed, "doc_id long, component long, mark long, n long, run long"), "runs")
-    held = written(runs.groupBy("run").agg(F.count("*").alias("bags"), F.min(F.struct("doc_id", "mark")).alias("one")), "held")
-    alone = held.where("bags = 1").groupBy("one.doc_id", "one.mark").agg(F.count("*").alias("alone"))
-    sizes = runs.groupBy("doc_id", "mark").agg(F.max("n").alias("n"), F.max("component").alias("component"))
-    sizes = sizes.join(alone, ["doc_id", "mark"], "left").fillna(0, ["alone"]).withColumn("first", F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    sizes = written(sizes.where("alone < first"), "sizes")  # else more runs than a link allows are in no other bag
-
-    few = runs.select("doc_id", "mark", "run").join(held.where(F.col("bags").between(2, LARGE)).select("run", "bags"), "run").join(sizes.select("doc_id", "mark"), ["doc_id", "mark"])
-    few = written(few, "few")
-    short = sizes.join(few.groupBy("doc_id", "mark").agg(F.count("*").alias("few")), ["doc_id", "mark"], "left").where(F.col("alone") + F.coalesce("few", F.lit(0)) < F.col("first"))
-    many = runs.select("doc_id", "mark", "run").join(short.select("doc_id", "mark"), ["doc_id", "mark"]).join(held.where(F.col("bags") > LARGE).select("run", "bags"), "run")
-    order = Window.partitionBy("doc_id", "mark").orderBy("bags", "run")
-    placed = few.unionByName(many).withColumn("nth", F.row_number().over(order)).join(sizes, ["doc_id", "mark"]).withColumn("place", F.col("alone") + F.col("nth"))
-
-    size_bin = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / math.log(BIN)).cast("int")
-    n = F.col("n").cast("double")
-    placed = placed.where("place <= first").withColumn("own", size_bin(n))
-    placed = placed.withColumn("other", F.explode(F.sequence(size_bin(n * threshold) - 1, size_bin(n / threshold) + 1)))
-    least = F.ceil((n + F.pow(F.lit(BIN), F.col("other"))) * threshold / (1 + threshold) - 1e-6)
-    placed = placed.where(F.col("place") <= n - least + 1).select("doc_id", "component", "run", "own", "other")
-    a, b = placed.alias("a"), placed.alias("b")
-    meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
-    apart = (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-    return a.join(b, meet & apart).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+def _slots(runs: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of each run, one in either half of the filter."""
+    half = np.uint64(slots // 2)
+    return (runs % half).astype(np.int64), ((runs >> np.uint64(32)) % half + half).astype(np.int64)
 
 
-def _bucket_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of different components in buckets of fewer than ``LARGE`` members, short of those whose sizes forbid a link."""
-    runs = F.greatest(F.size(F.split("words", " ")) - (bag.SHINGLE - 1), F.lit(1))
-    sizes = texts.groupBy("doc_id").agg(F.min(runs).alias("least"), F.max(runs).alias("most"))
-    rows = members.join(sizes, "doc_id").select("bucket", "doc_id", "component", "least", "most")
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-    fits = (F.col("a.most") >= F.col("b.least") * threshold) & (F.col("b.most") >= F.col("a.least") * threshold)
-    return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & apart & fits).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+def _filter_counts(rows: DataFrame, slots: int) -> np.ndarray:
+    """How many bags of ``rows`` (node, component, words) hold runs that fall on each counter; ``slots`` numbers at most reach the driver."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, np.int64)
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                for at in _slots(_runs(text), slots):
+                    np.add.at(held, at, 1)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["slot", "n"])
+
+    sums = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    whole = np.zeros(slots, np.int64)
+    whole[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return np.minimum(whole, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots: int = SLOTS) -> DataFrame:
+    """Pairs (u, v) of ``members`` (node, component) of different components that can be linked at all, by prefix filtering.
+
+    Two bags of n and m runs are linked if they share a = (n + m) * t / (1 + t) of them, so with all runs in one order, rarest
+    first, they share one of the first n - a + 1 of one and m - a + 1 of the other. Rows meet on such a run and on both bags' bins
+    of sizes, for which a is computed. Runs of one bag alone only take places."""
+    spark = members.sparkSession
+    rows = written(members.join(texts, "node").select("node", "component", "words"), "members")
+    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, whatever the corpus
+    bin_of = lambda n: np.floor(np.log(np.maximum(n, 1.0)) / math.log(BIN)).astype(int)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["node", "component", "run", "own", "other"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            for node, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs = _runs(text)
+                n = len(runs)
+                if not n:
+                    continue
+                one, two = _slots(runs, slots)
+                often = np.minimum(counts.value[one], counts.value[two])
+                order = np.lexsort((runs, often))
+                runs, often = runs[order], often[order]
+                others = np.arange(bin_of(n * threshold) - 1, bin_of(n / threshold) + 2)
+                least = np.ceil((n + BIN**others.astype(float)) * threshold / (1 + threshold) - 1e-6)
+                first = np.clip(n - least + 1, 0, n).astype(int)
+                at = np.concatenate([np.arange(k) for k in first])
+                other = np.repeat(others, first)
+                several = often[at] > 1
+                at, other = at[several], other[several]
+                for c, x in zip(parts, (np.full(len(at), node), np.full(len(at), component), runs[at].astype(np.int64), np.full(len(at), bin_of(n)), other), strict=True):
+                    c.append(x)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(parts, kinds, strict=True)], names)
+
+    found = written(rows.mapInArrow(placed, "node long, component long, run long, own int, other int"), "prefixes")
+    a, b = found.alias("a"), found.alias("b")
+    meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    apart = (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    return a.join(b, meet & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id`` of each row; class_id is the least doc_id of the class."""
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS) -> DataFrame:
+    """``doc_id, digest, component, class_id, linked_to`` of each row: the digest of its words, the number of its class, the least
+    doc_id of the class, and the least doc_id of its text's equals and verified links, itself left out if it is the only one."""
     sketch = written(sketches(docs), "sketches")
-    nodes = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")  # written: a join of two exchanges can split a hot key
-    distinct = sketch.join(nodes, "digest").where("doc_id = node").dropDuplicates(["digest"]).select("node", "bands")
-    rows = distinct.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), F.col("node").alias("doc_id"))
+    nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written: numbers stay, and a join of two exchanges can split a hot key
+    first = (sketch["digest"] == nodes["digest"]) & sketch["doc_id"].eqNullSafe(nodes["least"])
+    distinct = sketch.join(nodes, first).select("node", "bands").dropDuplicates(["node"])
+    rows = distinct.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
     sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     buckets = written(rows.join(sizes, "bucket"), "buckets")
 
-    ids = buckets.select("doc_id").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words")).join(ids, "doc_id").dropDuplicates(), "texts")
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("digest").alias("of"), "least")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words")).withColumn("digest", F.unhex(F.sha2("words", 256)))
+    texts = own.join(wanted, (own["digest"] == wanted["of"]) & own["doc_id"].eqNullSafe(wanted["least"])).select("node", "words")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
 
-    central = buckets.groupBy("doc_id").agg(F.sum("size").alias("rank"))
-    ranked = written(buckets.join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("rank", -F.col("doc_id"))).alias("v")), "hubs")
-    stars = buckets.join(ranked, "bucket").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    central = buckets.groupBy("node").agg(F.sum("size").alias("rank"))
+    ranked = written(buckets.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("v")), "hubs")
+    stars = buckets.join(ranked, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     stars = written(stars, "stars")
     links = written(_verified(stars, texts, threshold), "links")
     joined = components(links)
 
-    own = F.coalesce("component", "doc_id").alias("component")
-    labelled = buckets.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", own)
-    still = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    members = written(labelled.join(still, "bucket").withColumn("large", F.col("size") >= LARGE), "open")
-    many = members.where("large").select("doc_id", "component").distinct()
-    pairs = _prefix_pairs(many, texts, threshold).unionByName(_bucket_pairs(members.where("not large"), texts, threshold))
-    more = _verified(pairs, texts, threshold)
+    own_or = F.coalesce("component", "node").alias("component")
+    marked = buckets.join(joined, "node", "left").select("bucket", "node", own_or)
+    still = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+    members = written(marked.join(still, "bucket").select("node", "component").distinct(), "open")
+    more = written(_verified(_prefix_pairs(members, texts, threshold, slots), texts, threshold), "more")
     whole = components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
-    labels = nodes.join(whole, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("class_id"))
-    return sketch.select("doc_id", "digest").join(labels.select("digest", "class_id"), "digest").select("doc_id", "class_id")
+    every = links.unionByName(more)
+    ends = every.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(every.select(F.col("v").alias("node"), F.col("u").alias("to")))
+    linked = ends.join(nodes.select(F.col("node").alias("to"), F.col("least").alias("to_id")), "to").groupBy("node").agg(F.min("to_id").alias("to_id"))
+    named = written(nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "ids")
+    labels = named.join(ids, "component").join(linked, "node", "left").select("digest", "component", "class_id", F.when(F.col("copies") > 1, F.least("least", "to_id")).otherwise(F.col("to_id")).alias("linked_to"))
+    return sketch.select("doc_id", "digest").join(written(labels, "labels"), "digest")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, linked_to`` of each row."""
+    return labelled(docs, threshold).select("doc_id", "class_id", "linked_to")
+
+
+def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class: that with the least doc_id (rows without one come last), then the least digest of its words; of rows
+    with equal doc_id and words, any one. Columns of ``docs`` are kept whatever their names."""
+    rows = labelled(docs, threshold).groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("best"))
+    best = written(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.digest").alias("kept_digest"), "best.n"), "kept")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.unhex(F.sha2(_words(), 256)).alias("digest"))
+    same = held["key"].eqNullSafe(best["kept_id"]) & (held["digest"] == best["kept_digest"])
+    single = held.join(best.where("n = 1"), same, "left_semi")
+    several = held.join(best.where("n > 1"), same, "left_semi").dropDuplicates(["key", "digest"])
+    return single.unionByName(several).select("row.*")

@@ -341,13 +341,27 @@ def family(seed, size, words, most):
         yield " ".join(copy)
 
 
-def test_near_duplicates(spark, texts, monkeypatch):
+def test_near_duplicates(spark, texts):
     docs = [*texts.items(), *((d + 10_000, t) for d, t in ODD if d and d != 5), *enumerate(family(1, 90, 120, 9), 20_000), *enumerate(family(2, 60, 40, 3), 30_000), *enumerate(family(3, 5, 7, 1), 40_000), (50_000, "to " * 40), (50_001, "to " * 41), (50_002, "to " * 60)]
     want = plain_classes(docs)
-    for large in (4, near_dups.LARGE, 1_000):
-        monkeypatch.setattr(near_dups, "LARGE", large)
-        got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(frame(spark, docs).repartition(5)).collect()}
-        assert got == want
+    bags = {d: bag_of(t) for d, t in docs}
+    for slots in (64, near_dups.SLOTS):
+        rows = near_dups.labelled(frame(spark, docs).repartition(5), slots=slots).collect()
+        assert {r["doc_id"]: r["class_id"] for r in rows} == want
+    for r in rows:
+        a, b = bags[r["doc_id"]], bags.get(r["linked_to"])
+        alone = sum(c == want[r["doc_id"]] for c in want.values()) == 1
+        assert (b is None) == alone
+        assert b is None or a == b or (a & b).total() >= 0.8 * (a | b).total()
+
+
+def test_one_row_of_each_class_stays(spark):
+    same, other = "alpha beta gamma delta epsilon zeta", "wholly other words of another text here"
+    docs = [(1, same), (1, other), (2, same.upper()), (2, same), (None, other), (None, "only without an id at all"), (None, "only without an id at all"), (3, same), (3, same), (4, None), (5, " "), (6, "x y z"), (6, "X  y z")]
+    kept = near_dups.without_duplicates(frame(spark, docs))
+    assert kept.columns == frame(spark, []).columns
+    assert collections.Counter((r["doc_id"], r["text"].lower().split() and r["text"].lower().split()[0] if r["text"] else r["text"]) for r in kept.collect()) == collections.Counter([(1, "alpha"), (1, "wholly"), (None, "only"), (4, None), (6, "x")])
+    assert near_dups.without_duplicates(frame(spark, [])).isEmpty()
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -355,6 +369,8 @@ def test_near_duplicates_of_odd_rows(spark):
     assert len(rows) == len(ODD)
     classes = {r["doc_id"]: r["class_id"] for r in rows}
     assert classes[1] == classes[2] == classes[3] == 1 and classes[5] == 5 and classes[None] is None
+    mixed = near_dups.classes(frame(spark, [(3, "a b"), (5, "a b"), (5, "c d"), (7, "c d")])).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in mixed) == [(3, 3), (5, 3), (5, 5), (7, 5)]
     assert near_dups.classes(frame(spark, [])).isEmpty()
 
 
