@@ -6,26 +6,31 @@ looked up at once by an Aho-Corasick automaton, and around each hit Myers' bit-p
 item to any substring. Before the whole item, growing runs of its pieces are verified around a hit: the pieces are halved again
 and again, and of two halves of k pieces in all, one has fewer errors than pieces if the whole has fewer than k.
 
-The items are the query set: they are taken in blocks of about ``block_chars`` characters, each block is one pass over all
-documents, and a task holds one block's automaton. Documents are not shuffled.
+The items are written to the shared folder in blocks of about ``block_chars`` characters, and tasks read them there, so the driver
+knows only how many blocks there are. Documents are scanned once and not shuffled: a task gathers ``GATHERED_CHARS`` of them, looks
+them up in one block after another and holds one block's automaton at a time; with a single block it keeps that.
 
 Defined results: a null or wordless text or item matches nothing; repeated documents or items are matched each; one row for each
 document row and item, with the least distance and, of equal ones, the first end; an empty table gives no rows; a null id is kept;
-other columns are ignored by ``leaks`` and kept by ``without_leaks``.
+other columns are ignored by ``leaks`` and kept, whatever their names, by ``without_leaks``.
 """
 
 from __future__ import annotations
 
 import functools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import files_of, new_path
 
 RATE = 0.1
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS, GATHERED_CHARS = 1 << 21, 1 << 24
 
 
 def words(text: str) -> Column:
@@ -88,12 +93,13 @@ def runs(many: int) -> list[list[tuple[int, int]]]:
 
 
 class Matcher:
-    def __init__(self, items: tuple[tuple[int | None, str], ...], rate: float):
+    def __init__(self, items: tuple[tuple[int | None, str, int], ...], rate: float):
+        """``items``: id, words, how often it occurs."""
         import ahocorasick
 
         self.items, places = items, defaultdict(list)
-        self.errors = [budget(text, rate) for _, text in items]
-        self.cuts = [pieces(text, e) for (_, text), e in zip(items, self.errors, strict=True)]
+        self.errors = [budget(text, rate) for _, text, _ in items]
+        self.cuts = [pieces(text, e) for (_, text, _), e in zip(items, self.errors, strict=True)]
         for k, cuts in enumerate(self.cuts):
             for j, (at, piece) in enumerate(cuts):
                 places[piece].append((k, j, at, len(piece)))
@@ -167,52 +173,88 @@ class Matcher:
         if self.some and text:
             for k, windows in sorted(self.windows(text).items()):
                 if found := self.nearest(text, k, windows):
-                    yield self.items[k][0], *found
+                    for _ in range(self.items[k][2]):
+                        yield self.items[k][0], *found
+
+
+@dataclass(frozen=True)
+class Items:
+    """Where the benchmark's items are, in how many blocks."""
+
+    path: str
+    blocks: int
+
+
+def items_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Items:
+    """Write the items as words, dealt out to blocks; repeated ones are written once, with how often they occur."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("words")).where("words <> ''")
+    rows = rows.groupBy("item_id", "words").agg(F.count("*").alias("times"))
+    blocks = -(-(rows.agg(F.sum(F.length("words"))).first()[0] or 0) // block_chars)  # one number
+    out = Items(new_path(benchmark.sparkSession, "items"), blocks)
+    if blocks:
+        rows.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks))).write.partitionBy("block").parquet(out.path)
+    return out
 
 
 @functools.lru_cache(maxsize=1)
-def _matcher(items: tuple[tuple[int | None, str], ...], rate: float) -> Matcher:
-    return Matcher(items, rate)
+def _matcher(items: Items, block: int, rate: float) -> Matcher:
+    import pyarrow.parquet as pq
+
+    system, names = files_of(f"{items.path}/block={block}")
+    rows = [r for n in names for r in pq.ParquetFile(system.open_input_file(n)).read().to_pylist()]
+    return Matcher(tuple((r["item_id"], r["words"], r["times"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["words"]))), rate)
+
 
+def _found(texts: list[str], items: Items, rate: float, open_rows: Callable[[int], bool] = lambda _: True) -> Iterator[tuple[int, tuple]]:
+    """Row and leak (item, distance, start, end) for all leaks of ``texts``, block by block; rows that are no longer open are not looked at."""
+    for block in range(items.blocks):
+        matcher = _matcher(items, block, rate)
+        for i, text in enumerate(texts):
+            if open_rows(i):
+                for leak in matcher.leaks(text):
+                    yield i, leak
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The items as words, a block at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("words")).where("words <> ''")
-    total = items.agg(F.sum(F.length("words"))).first()[0] or 0
-    many = -(-total // block_chars)
-    for b in range(many):
-        yield tuple((r["item_id"], r["words"]) for r in items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(many)) == b).orderBy("item_id", "words").collect())
+
+def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if blocks < 2 or size > GATHERED_CHARS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, distance, start, end`` (in the words of the text) of every item that a document holds."""
+    items = items_of(benchmark, block_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("words"))
-    schema = "doc_id long, item_id long, distance int, start int, end int"
-    out = None
-    for items in blocks(benchmark, block_chars):
 
-        def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
-            for batch in batches:
-                found = [(d, *leak) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for leak in matcher.leaks(text)]
-                if found:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, items.blocks):
+            ids = table.column(0).to_pylist()
+            found = [(ids[i], *leak) for i, leak in _found(table.column(1).to_pylist(), items, rate)]
+            if found:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
-        part = rows.mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return rows.mapInArrow(search, "doc_id long, item_id long, distance int, start int, end int")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    for items in blocks(benchmark, block_chars):
-
-        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
-            for batch in batches:
-                keep = [next(matcher.leaks(text), None) is None for text in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:-1], batch.schema.names[:-1])
-
-        docs = docs.withColumn("_words", words("text")).mapInArrow(clean, docs.schema)
-    return docs
+    items = items_of(benchmark, block_chars)
+    rows = docs.select(F.struct("*").alias("row"), words("text").alias("words"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, items.blocks):
+            dirty: set[int] = set()
+            for i, _ in _found(table.column(1).to_pylist(), items, rate, lambda i, dirty=dirty: i not in dirty):
+                dirty.add(i)
+            keep = pa.array((i not in dirty for i in range(len(table))), pa.bool_())
+            yield from table.select([0]).filter(keep).to_batches()
+
+    return rows.mapInArrow(clean, T.StructType([rows.schema["row"]])).select("row.*")
