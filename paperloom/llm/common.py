@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,5 +41,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str):
+    """For tasks that read or write a folder by themselves: its file system and its name there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
+
+
+def files_of(path: str, hidden: bool = False):
+    """The file system of a folder and the names of its files, ``hidden`` ones only if asked for; none where there is no folder."""
+    from pyarrow import fs
+
+    system, root = filesystem(path)
+    found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    return system, sorted(f.path for f in found if f.is_file and (hidden or not f.base_name.startswith(("_", "."))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

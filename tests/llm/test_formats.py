@@ -3,6 +3,8 @@
 import collections
 import gzip
 import hashlib
+import random
+import zlib
 
 import duckdb
 import pytest
@@ -71,7 +73,7 @@ def test_archives(spark, compression, monkeypatch):
     assert warc.round_trip(pages.limit(0), new_path(spark, "warc")).isEmpty()
     found = warc.read_warc(spark, path).where("record_type in ('response', 'revisit') and record_id = '<urn:page:2>'").collect()
     assert [(r["record_type"], r["refers_to"], r["payload"]) for r in found] == [("revisit", "<urn:page:1>", None)]
-    assert warc.read_warc(spark, path).where("record_id = '<urn:page:1>'").first()["target_uri"] == "http://a/b"
+    assert warc.read_warc(spark, path).where("record_id = '<urn:page:1>'").first()["target_uri"] == "http://a/%20b"
 
 
 def test_filters_reach_the_reader(spark):
@@ -85,6 +87,42 @@ def test_filters_reach_the_reader(spark):
     assert {r[0] for part in reader.partitions() for batch in reader.read(part) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)} == {"revisit"}
 
 
+def test_members_are_records_and_unwanted_ones_are_not_inflated(spark, monkeypatch):
+    path = new_path(spark, "warc")
+    rng = random.Random(1)
+    pages = [(k, "u\x01 v", "".join(chr(rng.randrange(33, 1_000)) for _ in range(60_000))) for k in range(4)] + [(9, "u", "q" * 3_000_000)]
+    warc.write_warc(spark.createDataFrame([*pages, (5, "u", pages[0][2])], "page_id long, url string, html string").coalesce(1), path)
+    system, names = warc.files_of(path)
+    assert len(names) == 1 and names[0].endswith(".warc.gz")
+    data, members = system.open_input_file(names[0]).read(), 0
+    while data:
+        inflate = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        record = inflate.decompress(data) + inflate.flush()
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and inflate.eof
+        data, members = inflate.unused_data, members + 1
+    assert members == 6
+    inflated = []
+    readinto = warc.Member.readinto
+    monkeypatch.setattr(warc.Member, "readinto", lambda self, buffer: inflated.append(n := readinto(self, buffer)) or n)
+    reader = warc.WarcReader({"path": path})
+    list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")]))
+    found = [r for part in reader.partitions() for batch in reader.read(part) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert len(found) == 1 and found[0][2] == "u" and sum(inflated) <= 6 * warc.CHUNK
+    whole = {r["record_id"]: r for r in warc.read_warc(spark, path).collect()}
+    assert whole["<urn:page:2>"]["payload"].decode() == pages[2][2] and whole["<urn:page:2>"]["target_uri"] == "u%01%20v"
+    assert len(whole["<urn:page:9>"]["payload"]) == 3_000_000
+
+
+def test_only_listed_files_are_read(spark):
+    path = new_path(spark, "warc")
+    for k in (1, 2):
+        warc.write_warc(spark.createDataFrame([(k, "u", "x")], "page_id long, url string, html string"), path)
+    system, names = warc.files_of(path)
+    with system.open_output_stream(names[0].rpartition("/")[0] + "/part-lost.warc", compression=None) as out:
+        out.write(b"what a lost task left")
+    assert {r["record_id"] for r in warc.read_warc(spark, path).collect()} == {"<urn:page:1>", "<urn:page:2>"}
+
+
 def test_foreign_archive(spark, tmp_path):
     """Members of their own, other record types, no HTTP head."""
     record = lambda kind, block: b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Type: text/plain\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(block), block)
