@@ -1,22 +1,28 @@
-"""Suffix-array dedup: remove bytes covered by a string of ``length`` bytes that also starts anywhere else.
-
-Prefix doubling ranks every position of the corpus by its first 1, 2, 4 ... bytes and sorts pairs of ranks, which moves the corpus
-many times. Here ranks are fingerprints, which any task can compute for any length from the text, so a round needs no ranks of
-neighbouring positions; rounds begin at ``length / 4`` bytes, as shorter strings decide nothing; and positions that must share
-their fate are ranked together:
-
-1. Each window of ``length`` bytes has an anchor: of all strings of ``length / 4`` bytes in it, the place of that with the least
-   fingerprint. Equal windows have their anchors at the same offset. Successive windows with one anchor form a run.
-2. Round at ``length / 4``: runs are grouped by their anchor's string. Alone in its group, no window of a run occurs elsewhere. A
-   run that occurs elsewhere as a whole, with all its windows' bytes, is removed. The others go on, and with them one of each kind
-   of removed runs in their groups, which they may match in part.
-3. Round at ``length - 15``: runs are cut into blocks of up to 16 windows at fixed offsets from the anchor, grouped by the bytes
-   that all of a block's windows share, and judged alike.
-4. Round at ``length``: the windows of the blocks left over, grouped by all their bytes.
-
-Rows of a round are fingerprints and places; groups are counted by aggregations that Spark combines before the shuffle, and the
-counts are joined back, so no group is taken whole into a task. Texts are shuffled once, to the runs that may repeat, and after
-that only those of documents with such runs.
+"""Suffix-array dedup by distributed prefix doubling: remove bytes covered by a string of ``length`` bytes that also starts
+anywhere else, and report passages of ``words`` words that do.
+
+A round knows positions by the rank of their first h bytes. It pairs the rank at a position with that at a growing offset, Spark
+sorts the distinct pairs, and their place in that order is the rank of a longer prefix. Positions whose pair no other has are
+unique and leave; the rest go on until the prefix has passed ``length``. Ranks of strings of ``length / 4`` bytes, q, come from the
+bytes (shorter ones decide nothing), so the offsets are q, then what is missing of two of 2q bytes, then the last 15 bytes.
+
+Ranking every byte's position would sort the corpus several times over, so positions that must share their fate share a row:
+
+1. Each window of ``length`` bytes has an anchor: of all strings of q bytes in it, the place of that with the least fingerprint.
+   Equal windows have their anchors at the same offset. Successive windows with one anchor form a run.
+2. Round at q: runs are ranked by their anchor's string. Alone with its rank, no window of a run occurs elsewhere. A run that
+   occurs elsewhere as a whole, with all its windows' bytes, is removed. The others go on, and with them one of each kind of
+   removed runs of their rank, which they may match in part.
+3. Rounds at 2q and at ``length - 15``: runs are cut into blocks of up to 16 windows at fixed offsets from the anchor, ranked by
+   the bytes that all of a block's windows share, and judged alike.
+4. Round at ``length``: the windows of the blocks left over, by the pair of the block's rank and their own 15 bytes.
+
+Passages are found in the same way over words in place of bytes, in two rounds: runs, then their windows.
+
+Fingerprints of 64 bits only choose anchors and candidates; what is removed is equal in digests of 128 bits or in bytes. Ranks
+are counted by aggregations that Spark combines before the shuffle, written, and joined back, so no group is taken whole into a
+task and the join can split a hot one. Texts are shuffled once, to the runs that may repeat, and after that only those of
+documents with such runs.
 
 Defined results: a null text is an empty one; documents of fewer than ``length`` bytes keep all; repeated rows are documents of
 their own, so their bytes repeat; a null doc_id is a document too; an empty table gives no rows; other columns are ignored.
@@ -35,18 +41,19 @@ from pyspark.sql import functions as F
 from .bagminhash import _U, _Powers, mix
 from .common import text_or_empty, written
 
-LENGTH = 400
+LENGTH, WORDS = 400, 51
 BLOCK = 16
-#: Bytes of a text that are fingerprinted at once.
-SEGMENT = 1 << 18
+#: Bytes, and words, of a text that are fingerprinted at once.
+SEGMENT, WORD_SEGMENT = 1 << 18, 1 << 15
+BYTES, WORDED = 0, 1
 
 
 class Prints:
-    """Fingerprints of substrings of some bytes."""
+    """Fingerprints of stretches of some numbers."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _Powers.to(len(raw) + 1)
-        self.sums = np.concatenate((np.zeros(1, _U), np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)])))
+    def __init__(self, numbers: np.ndarray):
+        up, self.down = _Powers.to(len(numbers) + 1)
+        self.sums = np.concatenate((np.zeros(1, _U), np.cumsum((numbers.astype(_U) + _U(1)) * up[: len(numbers)])))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] ^ ((end - start).astype(_U) << _U(40)))
@@ -65,34 +72,77 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(before[:n], after[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run: its anchor, how far its first and last windows start before the anchor, the fingerprints of the anchor's
-    string and of all the run's bytes."""
-    parts, size = [], length // 4
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, len(whole) - length + 1, SEGMENT):  # windows that start in the segment
-        raw = whole[at : at + SEGMENT + length - 1]
-        prints = Prints(raw)
-        strings = prints.all(size)
-        found = least((strings & _U(0xFFFFFFFF00000000)) | np.arange(len(strings), dtype=_U), length - size + 1)
-        anchors = (found & _U(0xFFFFFFFF)).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(anchors)) + 1))
-        last = np.concatenate((first[1:], [len(anchors)])) - 1
-        anchor = anchors[first]
-        parts.append((at + anchor, anchor - first, anchor - last, strings[anchor], prints.of(first, last + length)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
-
-
-def _judged(rows: DataFrame, key: list[str], whole: list[str]) -> DataFrame:
-    """Rows whose ``key`` others have too, with ``repeated``: whether others have ``whole`` as well; and ``goes_on``: whether the
-    next round needs it, as it is not repeated, or as the first of its likes, which rows that are not repeated may match in part.
-
-    Counts are written before they are joined: a join that reads both sides from exchanges can split a key that many rows have."""
-    several = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "keys")
-    rows = written(rows.join(several, key), "several")
-    kinds = rows.groupBy(*key, *whole).agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "anchor")).alias("least"))
-    lone = kinds.groupBy(*key).agg((F.min("n") == 1).alias("lone"))
-    rows = rows.join(written(kinds.join(lone, key), "kinds"), [*key, *whole])
+def _anchored(numbers: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each run of windows of ``numbers``: its anchor, how far its first and last windows start before the anchor, the
+    fingerprint of the anchor's string."""
+    size = length // 4
+    strings = Prints(numbers).all(size)
+    found = least((strings & _U(0xFFFFFFFF00000000)) | np.arange(len(strings), dtype=_U), length - size + 1)
+    anchors = (found & _U(0xFFFFFFFF)).astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(anchors)) + 1))
+    last = np.concatenate((first[1:], [len(anchors)])) - 1
+    anchor = anchors[first]
+    return anchor, anchor - first, anchor - last, strings[anchor]
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U))
+
+
+def byte_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """``_anchored`` for the bytes of a text, some windows at a time."""
+    parts, whole = [], np.frombuffer(data, np.uint8)
+    for at in range(0, len(whole) - length + 1, SEGMENT):
+        anchor, *others = _anchored(whole[at : at + SEGMENT + length - 1], length)
+        parts.append((at + anchor, *others))
+    return _joined(parts)
+
+
+class Words:
+    """The words of a text, as bytes with single spaces between them."""
+
+    def __init__(self, text: str):
+        self.data = " ".join(text.split()).encode()
+        self.raw = np.frombuffer(self.data, np.uint8)
+        spaces = np.flatnonzero(self.raw == 32)
+        some = len(self.data) > 0
+        self.starts = np.concatenate(([0], spaces + 1)) if some else spaces
+        self.ends = np.concatenate((spaces, [len(self.raw)])) if some else spaces
+
+    def runs(self, length: int) -> tuple[np.ndarray, ...]:
+        """``_anchored`` for the words, some windows at a time."""
+        parts = []
+        for at in range(0, len(self.starts) - length + 1, WORD_SEGMENT):
+            starts, ends = self.starts[at : at + WORD_SEGMENT + length - 1], self.ends[at : at + WORD_SEGMENT + length - 1]
+            words = Prints(self.raw[starts[0] : ends[-1]]).of(starts - starts[0], ends - starts[0])
+            anchor, *others = _anchored(words, length)
+            parts.append((at + anchor, *others))
+        return _joined(parts)
+
+    def cut(self, first: int, past: int) -> bytes:
+        return self.data[self.starts[first] : self.ends[past - 1]]
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _ranked(pairs: list[DataFrame], key: list[str], name: str) -> DataFrame:
+    """``key`` and its rank ``name`` for what occurs more than once in ``pairs``: the distinct keys, sorted and numbered in order."""
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    several = every.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    ordered = several.repartitionByRange(*key).sortWithinPartitions(*key)
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), name)  # written: numbers stay, and a join of two exchanges can split a hot key
+
+
+def _judged(rows: DataFrame, rank: list[str], whole: list[str]) -> DataFrame:
+    """``rows`` with ``repeated``: whether others of their ``rank`` have ``whole`` as well; and ``goes_on``: whether the next round
+    needs it, as it is not repeated, or as the first of its likes, which rows that are not repeated may match in part."""
+    kinds = rows.groupBy(*rank, *whole).agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "anchor")).alias("least"))
+    lone = kinds.groupBy(*rank).agg((F.min("n") == 1).alias("lone"))
+    rows = rows.join(written(kinds.join(lone, rank), "kinds"), [*rank, *whole])
     first = F.struct("id", "print", "anchor") == F.col("least")
     return rows.withColumn("repeated", F.col("n") > 1).withColumn("goes_on", (F.col("n") == 1) | (F.col("lone") & first)).drop("n", "least", "lone")
 
@@ -102,30 +152,27 @@ def _identified(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("print"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Of documents with runs that may repeat: ``id, print`` (of the row), ``doc_id, n_bytes, spans, kept``; spans are the maximal
-    removed stretches of bytes, kept the other bytes."""
-    rows = _identified(docs)
-    names = ["id", "print", "anchor", "first", "last", "string", "whole"]
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            for doc, mark, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), strict=True):
-                anchor, first, last, string, whole = runs(text.encode(), length)
-                n = len(anchor)
-                for c, x in zip(columns, (np.full(n, doc), np.full(n, mark), anchor, first, last, string, whole), strict=True):
-                    c.append(x)
-            if len(batch):
-                joined = [np.concatenate(c).astype(np.int64) for c in columns]
-                joined[2:5] = [c.astype(np.int32) for c in joined[2:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined], names)
 
-    long_enough = rows.where(F.octet_length("text") >= length).select("id", "print", "text")
-    anchors = written(long_enough.mapInArrow(anchored, "id long, print long, anchor int, first int, last int, string long, whole long"), "anchors")
-    marks = _judged(anchors, ["string"], ["first", "last", "whole"])
-    marks = marks.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "first", "last", "repeated", "goes_on")).alias("marks"))
-    touched = written(rows.join(marks, ["id", "print"]), "touched")
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def _byte_rounds(runs: DataFrame, length: int) -> DataFrame:
+    """Spans (id, print, unit, start, end) of windows of bytes that repeat in part of their runs."""
+    quarter, shared = length // 4, length - BLOCK + 1
+    offset = shared - 2 * quarter
+    schema = "id long, print long, anchor int, block int, low int, high int, a binary, b binary, c binary, d binary, left binary, right binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,60 +180,131 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for run in marks:
-                    if not run["goes_on"]:
-                        continue
                     at, first, last = run["anchor"], run["first"], run["last"]
                     for b in range(last // BLOCK * BLOCK, first + 1, BLOCK):
-                        low, high, end = max(b, last), min(b + BLOCK - 1, first), at - b - BLOCK + 1 + length
-                        shared = hashlib.blake2b(data[at - b : end], digest_size=16).digest()
-                        out.append((doc, mark, at, b, low, high, shared, data[at - high : at - b], data[end : at - low + length]))
+                        low, high, begin = max(b, last), min(b + BLOCK - 1, first), at - b
+                        strings = (_digest(data[begin + o : begin + o + quarter]) for o in (0, quarter, offset, offset + quarter))
+                        out.append((doc, mark, at, b, low, high, *strings, data[at - high : begin], data[begin + shared : at - low + length]))
             if out:
-                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.binary()] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "print", "anchor", "block", "low", "high", "shared", "left", "right"])
+                yield _batch(out, schema)
 
-    open_runs = touched.where(F.exists("marks", lambda m: m["goes_on"])).select("id", "print", "text", "marks")
-    cut = written(open_runs.mapInArrow(blocks, "id long, print long, anchor int, block int, low int, high int, shared binary, left binary, right binary"), "blocks")
-    judged = written(_judged(cut, ["block", "shared"], ["low", "high", "left", "right"]), "judged")
+    cut = written(runs.mapInArrow(blocks, schema), "blocks")
+    two = _ranked([cut.select("a", "b"), cut.select(F.col("c").alias("a"), F.col("d").alias("b"))], ["a", "b"], "rank")
+    near, far = two.withColumnRenamed("rank", "near"), two.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("rank").alias("far"))
+    rows = written(cut.join(near, ["a", "b"]).join(far, ["c", "d"]).drop("a", "b", "c", "d"), "twice")  # 2q bytes at the block and at the offset
+    ranks = _ranked([rows.select("near", "far")], ["near", "far"], "rank")
+    rows = written(rows.join(ranks, ["near", "far"]).drop("near", "far"), "shared")
+    judged = written(_judged(rows, ["block", "rank"], ["low", "high", "left", "right"]), "judged")
 
     single = judged.where("goes_on").withColumn("back", F.explode(F.sequence("low", "high")))
-    left = F.substring("left", F.octet_length("left") - (F.col("back") - F.col("block")) + 1, F.col("back") - F.col("block"))
-    right = F.substring("right", F.lit(1), F.col("block") + (BLOCK - 1) - F.col("back"))
-    single = single.select("id", "print", (F.col("anchor") - F.col("back")).alias("start"), F.unhex(F.substring(F.sha2(F.concat("shared", F.encode(F.concat_ws(":", F.col("block").cast("string"), F.col("back").cast("string")), "UTF-8"), left, right), 256), 1, 32)).alias("window"))
-    twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    found = single.join(twice, "window").select("id", "print", "start", (F.col("start") + length).alias("end"))
-    found = found.unionByName(judged.where("repeated").select("id", "print", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + length).alias("end")))
-    found = found.groupBy("id", "print").agg(F.collect_set(F.struct("start", "end")).alias("more"))
+    before = F.substring("left", F.octet_length("left") - (F.col("back") - F.col("block")) + 1, F.col("back") - F.col("block"))
+    after = F.substring("right", F.lit(1), F.col("block") + (BLOCK - 1) - F.col("back"))
+    single = single.select("id", "print", (F.col("anchor") - F.col("back")).alias("start"), "rank", "back", F.concat(before, after).alias("rest"))
+    last = _ranked([single.select("rank", "back", "rest")], ["rank", "back", "rest"], "last")
+    found = single.join(last, ["rank", "back", "rest"]).select("id", "print", "start", (F.col("start") + length).alias("end"))
+    whole = judged.where("repeated").select("id", "print", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + length).alias("end"))
+    return found.unionByName(whole).withColumn("unit", F.lit(BYTES))
+
+
+def _word_rounds(runs: DataFrame, words: int) -> DataFrame:
+    """Spans (id, print, unit, start, end) of windows of words that repeat in part of their runs."""
+    schema = "id long, print long, start int, window binary"
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = Words(text)
+                for run in marks:
+                    for start in range(run["anchor"] - run["first"], run["anchor"] - run["last"] + 1):
+                        out.append((doc, mark, start, _digest(held.cut(start, start + words))))
+            if out:
+                yield _batch(out, schema)
+
+    cut = written(runs.mapInArrow(windows, schema), "windows")
+    ranks = _ranked([cut.select("window")], ["window"], "rank")
+    return cut.join(ranks, "window").select("id", "print", "start", (F.col("start") + words).alias("end")).withColumn("unit", F.lit(WORDED))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """Of documents with runs that may repeat: ``id, print`` (of the row), ``doc_id, n_bytes, spans, kept, passages``; spans are the
+    maximal removed stretches of bytes, kept the other bytes, passages the maximal stretches of repeated words."""
+    if length < 2 * BLOCK or words < 4:
+        raise ValueError(f"length must be {2 * BLOCK} or more, words 4 or more")
+    rows = _identified(docs)
+    names = ["id", "print", "unit", "anchor", "first", "last", "string", "whole"]
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in names[:-1]]
+            wholes: list[bytes] = []
+            for doc, mark, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), strict=True):
+                data, held = text.encode(), Words(text)
+                for unit, size, found, cut in ((BYTES, length, byte_runs(data, length), lambda a, b, data=data: data[a:b]), (WORDED, words, held.runs(words), held.cut)):
+                    anchor, first, last, _ = found
+                    n = len(anchor)
+                    for c, x in zip(columns, (np.full(n, doc), np.full(n, mark), np.full(n, unit), *found), strict=True):
+                        c.append(x)
+                    wholes += [_digest(cut(a, b)) for a, b in zip((anchor - first).tolist(), (anchor - last + size).tolist(), strict=True)]
+            if wholes:
+                joined = [np.concatenate(c).astype(np.int64) for c in columns]
+                joined[2:6] = [c.astype(np.int32) for c in joined[2:6]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, joined), pa.array(wholes, pa.binary())], names)
+
+    anchors = written(rows.select("id", "print", "text").mapInArrow(anchored, "id long, print long, unit int, anchor int, first int, last int, string long, whole binary"), "anchors")
+    ranks = _ranked([anchors.select("string")], ["string"], "rank")
+    marks = _judged(written(anchors.join(ranks, "string").drop("string"), "several"), ["rank"], ["first", "last", "whole"])
+    marks = marks.groupBy("id", "print").agg(F.collect_list(F.struct("unit", "anchor", "first", "last", "repeated", "goes_on")).alias("marks"))
+    touched = written(rows.join(marks, ["id", "print"]), "touched")
+
+    going = lambda unit: F.filter("marks", lambda m: m["goes_on"] & (m["unit"] == unit))
+    open_runs = lambda unit: touched.select("id", "print", "text", going(unit).alias("marks")).where(F.size("marks") > 0)
+    found = _byte_rounds(open_runs(BYTES), length).unionByName(_word_rounds(open_runs(WORDED), words))
+    found = found.groupBy("id", "print").agg(F.collect_set(F.struct("unit", "start", "end")).alias("more"))
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, mark, doc_id, text, marks, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                spans = [(m["anchor"] - m["first"], m["anchor"] - m["last"] + length) for m in marks if m["repeated"]]
-                spans += [(m["start"], m["end"]) for m in more or ()]
-                merged: list[list[int]] = []
-                for start, end in sorted(spans):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                edges = [0, *(x for span in merged for x in span), len(data)]
+                cover = []
+                for unit, size in ((BYTES, length), (WORDED, words)):
+                    own = [(m["anchor"] - m["first"], m["anchor"] - m["last"] + size) for m in marks if m["repeated"] and m["unit"] == unit]
+                    cover.append(_merged(own + [(m["start"], m["end"]) for m in more or () if m["unit"] == unit]))
+                edges = [0, *(x for span in cover[BYTES] for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, mark, doc_id, len(data), [{"start": a, "end": b} for a, b in merged], kept))
+                out.append((doc, mark, doc_id, len(data), *([{"start": a, "end": b} for a, b in c] for c in cover), kept))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "print", "doc_id", "n_bytes", "spans", "kept"])
-
-    all_of = touched.join(found, ["id", "print"], "left").select("id", "print", "doc_id", "text", "marks", "more")
-    return all_of.mapInArrow(removed, "id long, print long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-
-
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
-    found = written(
-        repeats(docs, length).select("id", "print", "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")),
-        "removed",
+                kinds = (*[pa.int64()] * 4, spans, spans, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "print", "doc_id", "n_bytes", "spans", "passages", "kept"])
+
+    every = touched.join(found, ["id", "print"], "left").select("id", "print", "doc_id", "text", "marks", "more")
+    listed = "array<struct<start:long,end:long>>"
+    return every.mapInArrow(removed, f"id long, print long, doc_id long, n_bytes long, spans {listed}, passages {listed}, kept binary")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row; then ``n_kept``, ``spans`` (start:end of the removed
+    stretches of bytes, comma-joined), ``n_passages`` (stretches of repeated words) and ``passage_words`` (how many words they hold)."""
+    number = lambda c: c.cast("long")
+    found = repeats(docs, length, words).select(
+        "id",
+        "print",
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        number(F.size("spans")).alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        number(F.octet_length("kept")).alias("n_kept"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+        number(F.size("passages")).alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("passage_words"),
+    )
+    found = written(found, "removed")
+    size, none = number(F.octet_length("text")), F.lit(0).cast("long")
+    rest = _identified(docs).select(
+        "id", "print", "doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), size.alias("n_kept"), F.lit("").alias("spans"), none.alias("n_passages"), none.alias("passage_words")
     )
-    rest = _identified(docs).select("id", "print", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     rest = rest.join(found.select("id", "print").distinct(), ["id", "print"], "left_anti")
     return rest.unionByName(found).drop("id", "print")

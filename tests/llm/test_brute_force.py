@@ -166,16 +166,49 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_language_vectors_by_hand():
-    text = "Abc é b"
-    symbols = [0, 1, 2, 3, 0, 27 + ord("é") % 37, 0, 2, 0]
-    assert language_id._trigrams(text).tolist() == [a * 64**2 + b * 64 + c for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False)]
-    letters = language_id._letters(256, 1).astype(int)
-    whole = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
-    profiles = language_id.Profiles(["other", "own"], np.array([np.roll(whole, 5), whole], float), 1)
-    names, scores = profiles.predict([text, None, "42 !"])
-    assert names == ["own", "und", "und"]
-    assert scores[0] == pytest.approx(1.0, abs=1e-5) and scores[1] == scores[2] == 0
+def plain_trigrams(text):
+    """Trigrams of lower-cased letters, with a separator (0) on either side of each word."""
+    line = [ord(c) if c.isalpha() else 0 for c in " " + (text or "").lower() + " "]
+    line = [c for i, c in enumerate(line) if c or i == 0 or line[i - 1]]
+    return collections.Counter(zip(line, line[1:], line[2:], strict=False))
+
+
+def plain_vector(counts):
+    letters = sorted({c for t in counts for c in t})
+    signs = {c: language_id._signs(np.array([c]), language_id.DIMENSIONS, 1)[0].astype(int) for c in letters}
+    return sum((np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c] * n for (a, b, c), n in counts.items()), np.zeros(language_id.DIMENSIONS, int))
+
+
+def test_languages_learned_and_predicted_plainly(spark, texts, monkeypatch):
+    table = pq.read_table(f"{DATA}/documents.parquet").to_pydict()
+    rows = [(d, t, g) for d, t, g in zip(table["doc_id"], table["text"], table["lang"], strict=True) if len(t) < 3_000][:70]
+    rows += [(1_000, "Привет мир, это язык", "ru"), (1_001, "Это другой текст", None), (1_002, "日本語の文章です。日本語", "ja"), (1_003, "ǅ İstanbul ΣΑΣ", None), (1_004, "", "en"), (1_005, None, "en")]
+    learned = collections.defaultdict(collections.Counter)
+    for d, t, g in rows:
+        if t and g and zlib.crc32(str(d).encode()) % 5:
+            learned[g] += plain_trigrams(t)
+    names = sorted(learned)
+    profiles = [plain_vector(learned[g]) for g in names]
+    docs = spark.createDataFrame([(d, t, g, "s", 0.5) for d, t, g in rows], "doc_id long, text string, lang string, row string, score double").repartition(3)
+    for chars, dense, part in ((language_id.GROUP_CHARS, language_id.DENSE, language_id.PART), (50, 1, 7)):
+        monkeypatch.setattr(language_id, "GROUP_CHARS", chars)
+        monkeypatch.setattr(language_id, "DENSE", dense)
+        monkeypatch.setattr(language_id, "PART", part)
+        found = language_id.learn(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+        assert found.names == names
+        for v, w in zip(found.vectors, profiles, strict=True):
+            assert np.allclose(v, w / np.linalg.norm(w), atol=1e-6)
+        got = dict(zip([d for d, _, _ in rows], zip(*found.predict([t for _, t, _ in rows]), strict=True), strict=True))
+        for d, t, _ in rows:
+            own = plain_vector(plain_trigrams(t))
+            cosines = [float(own @ p / np.linalg.norm(own) / np.linalg.norm(p)) if own.any() else 0.0 for p in profiles]
+            assert got[d][0] == (names[int(np.argmax(cosines))] if own.any() else "und")
+            assert got[d][1] == pytest.approx(max(0.0, *cosines) if own.any() else 0.0, abs=1e-5)
+    everywhere = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
+    assert {d: p for d, (p, _) in everywhere.items()} == {d: p for d, (p, _) in got.items()}
+    kept = language_id.recognised(docs, 0.12)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, (p, s) in got.items() if p != "und" and s >= 0.12}
 
 
 def test_languages_of_odd_rows(spark):
@@ -281,7 +314,7 @@ def test_edit_matching():
         if random.random() < 0.5:
             near = [c for c in item if random.random() > 0.1]
             text = text[:30] + "".join(near) + text[30:]
-        found = [*decontaminate.Matcher(((7, item),), 0.25).leaks(text)]
+        found = [*decontaminate.Matcher(((7, item, 1),), 0.25).leaks(text)]
         best = distance(item, text)
         assert bool(found) == (best <= int(len(item) * 0.25))
         if found:
@@ -293,9 +326,13 @@ def test_leaks(spark):
     item = "The quick brown fox jumps over the lazy dog, and then it rests for a long while."
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "...", "x"), (None, item, "x")], "item_id long, text string, words string")
     docs = [*ODD, (20, f"Before. {item} After."), (21, item.upper().replace(" ", "\n** ")), (22, f"x {item.replace('quick', 'quack').replace('lazy', 'lzy')} y"), (23, "The quick brown fox sleeps."), (20, item)]
-    for chars in (10, 1 << 20):
-        rows = decontaminate.leaks(frame(spark, docs), bench, block_chars=chars).collect()
-        assert collections.Counter((r["doc_id"], r["item_id"]) for r in rows) == collections.Counter((d, i) for d in (20, 20, 21, 22) for i in (1, None))
+    bench = bench.unionByName(bench.where("item_id = 1"))  # a repeated item
+    for chars, blocks in ((10, 16), (1 << 20, 1)):
+        assert decontaminate.items_of(bench, chars).blocks == blocks
+        found = decontaminate.leaks(frame(spark, docs), bench, block_chars=chars)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+        rows = found.collect()
+        assert collections.Counter((r["doc_id"], r["item_id"]) for r in rows) == collections.Counter((d, i) for d in (20, 20, 21, 22) for i in (1, 1, None))
         kept = decontaminate.without_leaks(frame(spark, docs), bench, block_chars=chars)
         assert kept.columns == frame(spark, docs).columns
         assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {20, 21, 22}
@@ -425,26 +462,40 @@ def plain_repeats(docs, length):
         for i in range(len(b) - length + 1):
             if starts[b[i : i + length]] > 1:
                 mark[i : i + length] = b"\1" * length
-        spans = sum(m and (i == 0 or not mark[i - 1]) for i, m in enumerate(mark))
-        yield d, len(b), sum(mark), spans, hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest()
+        edges = [i for i in range(len(b) + 1) if (mark[i] if i < len(b) else 0) != (mark[i - 1] if i else 0)]
+        spans = [f"{x}:{y}" for x, y in zip(edges[::2], edges[1::2], strict=True)]
+        yield d, len(b), sum(mark), len(spans), hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest(), len(b) - sum(mark), ",".join(spans)
+
+
+def plain_passages(docs, words):
+    """Of each document: how many stretches of words lie in windows of so many words that start elsewhere too, and their words."""
+    split = [(d, (t or "").split()) for d, t in docs]
+    starts = collections.Counter(tuple(w[i : i + words]) for _, w in split for i in range(len(w) - words + 1))
+    for d, w in split:
+        mark = bytearray(len(w) + 1)
+        for i in range(len(w) - words + 1):
+            if starts[tuple(w[i : i + words])] > 1:
+                mark[i : i + words] = b"\1" * words
+        yield d, sum(m and not mark[i - 1] for i, m in enumerate(mark)), sum(mark)
 
 
-@pytest.mark.parametrize(("length", "segment"), [(40, 1 << 18), (64, 16)])
-def test_repeats(spark, monkeypatch, length, segment):
-    monkeypatch.setattr(repeats, "SEGMENT", segment)
+def check_repeats(rows, docs, length, words):
+    plain = zip(plain_repeats([(d, (t or "").encode()) for d, t in docs], length), plain_passages(docs, words), strict=True)
+    assert collections.Counter(map(tuple, rows)) == collections.Counter((*a, *b[1:]) for a, b in plain)
+
+
+@pytest.mark.parametrize(("length", "words"), [(40, 4), (67, 6)])
+def test_repeats(spark, length, words):
     random.seed(length)
     parts = ["".join(random.choice("abcdé ") for _ in range(random.randint(10, 90))) for _ in range(12)]
     docs = [(i, "".join(random.choice(parts)[: random.randint(5, 90)] for _ in range(random.randint(0, 9)))) for i in range(120)]
     docs += [docs[5], (5, "other"), (None, "ab" * 60), (500, None), (501, "x" * 90), (502, "x" * (length + 1)), (503, "")]
-    rows = repeats.deduplicated(frame(spark, docs), length).collect()
-    want = plain_repeats([(d, (t or "").encode()) for d, t in docs], length)
-    assert collections.Counter(map(tuple, rows)) == collections.Counter(want)
+    check_repeats(repeats.deduplicated(frame(spark, docs), length, words).collect(), docs, length, words)
     assert repeats.deduplicated(frame(spark, []), length).isEmpty()
 
 
 def test_repeats_in_documents(spark, texts):
-    rows = repeats.deduplicated(frame(spark, list(texts.items()))).collect()
-    assert collections.Counter(map(tuple, rows)) == collections.Counter(plain_repeats([(d, t.encode()) for d, t in texts.items()], 400))
+    check_repeats(repeats.deduplicated(frame(spark, list(texts.items()))).collect(), list(texts.items()), 400, 51)
     found = repeats.repeats(frame(spark, list(texts.items()))).collect()
     for r in found:
         data, at, kept = texts[r["doc_id"]].encode(), 0, b""
@@ -454,6 +505,21 @@ def test_repeats_in_documents(spark, texts):
         assert kept + data[at:] == bytes(r["kept"])
 
 
+def test_runs_do_not_depend_on_segments(monkeypatch):
+    """Segments may cut runs, but the windows they hold and their anchors' strings stay."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice("abcd") * rng.randint(1, 4) for _ in range(500))
+
+    def windows(runs):
+        return {(int(a) - k, int(a), int(s)) for a, first, last, s in zip(*runs, strict=True) for k in range(int(last), int(first) + 1)}
+
+    whole = windows(repeats.byte_runs(text.encode(), 64)), windows(repeats.Words(text).runs(12))
+    monkeypatch.setattr(repeats, "SEGMENT", 16)
+    monkeypatch.setattr(repeats, "WORD_SEGMENT", 5)
+    assert (windows(repeats.byte_runs(text.encode(), 64)), windows(repeats.Words(text).runs(12))) == whole
+    assert {w for w, _, _ in whole[0]} == set(range(len(text) - 63)) and {w for w, _, _ in whole[1]} == set(range(489))
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
