@@ -1,9 +1,14 @@
 """Byte-level BPE ids as the tokenizers library gives them.
 
 The vocabulary is read from the tokenizer's .json. Encoding goes through tiktoken, which merges the same pairs several times
-faster; it is used only where the file says that both must agree: merged tokens have ascending ids in the order of the merges,
-no normalizer, the plain byte-level pre-tokenizer. Any other file, and any text at which tiktoken gives up, is encoded by
-tokenizers itself. Added tokens inside texts are single ids, as is that library's default.
+faster, where the file proves that both agree; any other file, and any text at which tiktoken gives up, is encoded by tokenizers
+itself. Added tokens inside texts are single ids, as is that library's default.
+
+The proof: the plain byte-level pre-tokenizer cuts words alike. Within a word the library applies the listed merge of the least
+rank; tiktoken joins whatever neighbours make the token of the least id. With one merge for each token and ids in the order of
+merges, both do the same until tiktoken joins some a and b, not a listed pair, to a token t. Then no merge of less rank is left,
+and as no merge crossed the ends of a or b, all merges of less rank make a and b of the bytes of t alone. But the library makes t
+of its own bytes, which is checked for each token, so these merges leave the listed pair of t: a and b are that pair.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ import regex
 
 #: Fixed value: how the byte-level pre-tokenizer cuts texts.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Between a letter and a space with a letter after it, a token always ends.
-SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
+#: Where a word of the pre-tokenizer always ends, whatever stands around: behind letters, digits, and signs before white space.
+SAFE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=\s)")
+LETTERS = regex.compile(r"\p{L}{2}")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -35,15 +41,19 @@ class ByteBpe:
         self.path, self._library, self._fast = path, None, None
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        if self._agrees(spec):
+        self._reach = max(map(len, added), default=0)
+        if self._agrees(spec, added):
             import tiktoken
 
             to_byte = _byte_of_char()
             ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
             self._fast = tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
+            #: Pairs of bytes that are neighbours in some token; between other bytes nothing is ever merged.
+            self._joins = np.zeros((256, 256), bool)
+            for token in ranks:
+                self._joins[list(token[:-1]), list(token[1:])] = True
 
-    @staticmethod
-    def _agrees(spec: dict) -> bool:
+    def _agrees(self, spec: dict, added: dict[str, int]) -> bool:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
             return False
@@ -53,7 +63,10 @@ class ByteBpe:
             return False
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         ids = np.array([model["vocab"][a + b] for a, b in pairs])
-        return bool((np.diff(ids) > 0).all())
+        if not (np.diff(ids) > 0).all():  # one merge for each token, too
+            return False
+        own = self.library.model.tokenize
+        return all(len(found := own(token)) == 1 and found[0].id == i for token, i in model["vocab"].items() if token not in added)
 
     @property
     def library(self):
@@ -77,19 +90,45 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def lengths(self, texts: list[str]) -> list[int]:
+        """How many ids each text has, by one batch call; texts with added tokens are encoded one by one."""
         if self._fast is None:
             return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [len(self.encode(t)) for t in texts]
+        plain = [not (self._added and self._added.search(t)) for t in texts]
+        try:
+            found = map(len, self._fast.encode_ordinary_batch([t for t, ok in zip(texts, plain, strict=True) if ok], num_threads=1))
+            return [next(found) if ok else len(self.encode(t)) for t, ok in zip(texts, plain, strict=True)]
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return [len(self.encode(t)) for t in texts]
+
+    def _inside_added(self, text: str, cut: int) -> bool:
+        low = max(0, cut - self._reach)
+        return bool(self._added) and any(m.start() < cut - low < m.end() for m in self._added.finditer(text[low : cut + self._reach]))
+
+    def _cut(self, text: str, start: int, end: int) -> int | None:
+        """The first safe boundary in a stretch of ``text``: where a word ends, else between letters that no token joins."""
+        for m in SAFE.finditer(text, start, end):
+            if not self._inside_added(text, m.start()):
+                return m.start()
+        if self._fast is not None:
+            raw = np.frombuffer(text[start - 1 : end].encode("utf-8", "surrogatepass"), np.uint8)
+            begins = np.flatnonzero((raw & 0xC0) != 0x80)
+            apart = np.flatnonzero(~self._joins[raw[begins[1:] - 1], raw[begins[1:]]])
+            for cut in (start + apart).tolist():
+                if LETTERS.fullmatch(text, cut - 1, cut + 1) and not self._inside_added(text, cut):
+                    return cut
+        return None
 
     def pieces(self, text: str, chars: int) -> list[str]:
         """``text`` cut at safe boundaries, each piece of about ``chars``; the ids of the pieces, joined, are those of the text."""
         out, at = [], 0
         while len(text) - at > chars:
-            cut = SAFE.search(text, at + chars)
-            if not cut:
+            cut = next((c for s in range(at + chars, len(text), chars) if (c := self._cut(text, s, min(s + chars, len(text)))) is not None), None)
+            if cut is None:
                 break
-            out.append(text[at : cut.start()])
-            at = cut.start()
+            out.append(text[at:cut])
+            at = cut
         return [*out, text[at:]]
 
     def encode_long(self, text: str, chars: int) -> np.ndarray:

@@ -55,6 +55,21 @@ def test_ids_are_the_librarys(texts):
         assert "".join(bpe.pieces(text, 64)) == text
 
 
+def test_pieces_end_at_safe_boundaries():
+    bpe, library = load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(9)
+    parts = ["'s", "'re", "'ll", " ", "  ", "\n", "\n\n", "\u3000", "a", "word", " don't", "I'll", "12", " 345", "!?", " --", "<|endoftext|>", "<|end", "oftext|>", "日本", "漢字かな", "，", "。", "é", "\u0301", "😀", "ـ", "\t"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(400)] + ["漢字仮名交文" * 3_000, "日本語の文章。\n" * 900, "<|endoftext|>" * 40, "x" * 3_000, "\n" * 3_000]
+    for text in cases:
+        ids = library.encode(text, add_special_tokens=False).ids
+        for chars in (1, 7, 500):
+            pieces = bpe.pieces(text, chars)
+            assert "".join(pieces) == text
+            assert np.concatenate([bpe.encode(p) for p in pieces]).tolist() == ids
+            assert sum(bpe.lengths(pieces)) == len(ids)
+    assert max(map(len, bpe.pieces("漢字仮名交文" * 3_000, 500))) <= 1_000 and max(map(len, bpe.pieces("日本語の文章。\n" * 900, 500))) <= 1_000
+
+
 def test_other_tokenizers_go_through_the_library():
     bpe = load(public_tokenizers.path("word_bpe_49k.json"))
     assert bpe._fast is None
