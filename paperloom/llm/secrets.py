@@ -8,8 +8,12 @@ c log2 c, is kept in whole millionths, so that no rounding depends on the order
 or that overlap a base span, are left out of the list; base spans always stay. Redaction also takes candidates that overlap a base
 span, if they are suspect as a whole or in a part that base spans leave over.
 
-Every row is judged by itself: no shuffle. Defined results: a null text is an empty one, without spans; repeated rows give
-repeated rows; an empty table gives none; spans are in order of start, then kind; other columns are ignored.
+Every row is judged by itself: no shuffle. Work is in proportion to a text's length, however many spans it holds: whether a
+candidate overlaps a base span is seen from a copy of the text in which base spans are blank.
+
+Defined results: a null text is an empty one, without spans, and stays null in redaction; repeated rows give repeated rows; an empty
+table gives none; spans are in order of start, then kind; other columns are ignored by ``scan`` and kept, whatever their names, by
+``redact``.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, matches
+from .columns import chunked, let, matches, part, replaced
 from .common import text_or_empty
 
 #: The base kinds.
@@ -95,24 +99,28 @@ def _suspects(text: Column) -> Column:
     return _kind(F.filter(matches(text, CANDIDATE), lambda m: ~_allowed(m["found"]) & _suspect(m["found"])), 3)
 
 
+def blanked(text: Column, base: Column, blank: str) -> Column:
+    """``text`` with ``blank`` in place of each character of a base span."""
+    return replaced(text, base, lambda size: F.repeat(F.lit(blank), size))
+
+
 def overlapping_spans(text: Column, base: Column) -> Column:
     """Suspect candidates that overlap a base span, and suspect parts that base spans leave of candidates; others may be among them."""
-    blank = lambda t, b: F.overlay(t, F.repeat(F.lit(" "), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"])
-    left = F.aggregate(base, text, blank)
-    return F.when(F.size(base) > 0, F.concat(_suspects(text), let(left, _suspects))).otherwise(F.slice(base, 1, 0))
+    return F.when(F.size(base) > 0, F.concat(_suspects(text), let(blanked(text, base, " "), _suspects))).otherwise(F.slice(base, 1, 0))
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    """Suspect candidates that overlap no base span."""
     likely = F.filter(matches(text, CANDIDATE), lambda m: ~_allowed(m["found"]))
-    return _kind(F.filter(likely, lambda m: apart(m) & _suspect(m["found"])), 3)
+    apart = lambda chunks: F.filter(likely, lambda m: part(chunks, m["start"], m["end"] - m["start"]) == m["found"])
+    free = F.when(F.size(base) > 0, let(chunked(blanked(text, base, " ")), apart)).otherwise(likely)
+    return _kind(F.filter(free, lambda m: _suspect(m["found"])), 3)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_text`` (null as empty), ``_base`` and ``_spans``: arrays of start, kind (its place in ``KINDS``), end."""
-    rows = docs.withColumn("_text", text_or_empty())
-    rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", entropy_spans(F.col("_text"), F.col("_base")))))
+def with_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``text``, none of it null, and ``base`` and ``spans``: arrays of start, kind (its place in ``KINDS``), end."""
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base")))))
 
 
 def listed(spans: Column) -> Column:
@@ -123,25 +131,13 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans`` of each row."""
-    number = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return with_spans(docs.select("doc_id", "text")).select("doc_id", *map(number, range(4)), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return with_spans(docs.select("doc_id", text_or_empty().alias("text"))).select("doc_id", *map(number, range(4)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, of ``text`` replaced by ``mark``; null texts stay null."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def joined(runs: Column, s: Column) -> Column:
-        last = F.element_at(runs, -1)
-        grown = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(runs) > 0) & (s["start"] < F.try_element_at(runs, F.lit(-1))["end"]), grown).otherwise(F.concat(runs, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    def cut(runs: Column) -> Column:
-        before = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(F.lit(0))
-        parts = F.transform(runs, lambda r, i: F.substring(F.col("_text"), before(i) + 1, r["start"] - before(i)))
-        last = F.substring(F.col("_text"), F.element_at(runs, -1)["end"] + 1, F.length("_text"))
-        return F.concat(F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit(mark))), ""), last)
-
-    changed = F.when(F.size("_spans") > 0, let(F.aggregate("_spans", empty, joined), cut)).otherwise(F.col("text"))
-    spans = F.array_sort(F.concat("_spans", overlapping_spans(F.col("_text"), F.col("_base"))))
-    return with_spans(docs).withColumn("_spans", spans).withColumn("text", changed).drop("_text", "_base", "_spans")
+    rows = with_spans(docs.select(F.struct("*").alias("row"), text_or_empty().alias("text")))
+    rows = rows.withColumn("spans", F.array_sort(F.concat("spans", overlapping_spans(F.col("text"), F.col("base")))))
+    changed = F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), lambda _: F.lit(mark))).otherwise(F.col("row.text"))
+    return rows.select(F.col("row").withField("text", changed).alias("row")).select("row.*")
