@@ -38,7 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again: all that was made of them is written itself."""
+    for t in tables:
+        system, root = filesystem(t.written_to)
+        system.delete_dir(root)
 
 
 def filesystem(path: str):
