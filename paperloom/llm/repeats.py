@@ -1,5 +1,5 @@
 """Suffix-array dedup by distributed prefix doubling: remove bytes covered by a string of ``length`` bytes that also starts
-anywhere else, and report passages of ``words`` words that do.
+anywhere else.
 
 A round knows positions by the rank of their first h bytes. It pairs the rank at a position with that at a growing offset, Spark
 sorts the distinct pairs, and their place in that order is the rank of a longer prefix. Positions whose pair no other has are
@@ -17,7 +17,9 @@ Ranking every byte's position would sort the corpus several times over, so posit
    the bytes that all of a block's windows share, and judged alike.
 4. Round at ``length``: the windows of the blocks left over, by the pair of the block's rank and their own 15 bytes.
 
-Passages are found in the same way over words in place of bytes, in two rounds: runs, then their windows.
+Words get the first round alone: strings of ``words / 2`` words that each window of ``words`` words has one of are ranked, and those
+that also start elsewhere are counted. A document without any holds no passage of ``words`` words that is also anywhere else,
+however few bytes it has.
 
 Fingerprints of 64 bits only choose anchors and candidates; what is removed is equal in digests of 128 bits or in bytes. Ranks
 are counted by aggregations that Spark combines before the shuffle, written, and joined back, so no group is taken whole into a
@@ -39,13 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import _U, _Powers, mix
-from .common import text_or_empty, written
+from .common import discard, text_or_empty, written
 
 LENGTH, WORDS = 400, 51
 BLOCK = 16
 #: Bytes, and words, of a text that are fingerprinted at once.
 SEGMENT, WORD_SEGMENT = 1 << 18, 1 << 15
-BYTES, WORDED = 0, 1
 
 
 class Prints:
@@ -72,10 +73,9 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(before[:n], after[width - 1 : width - 1 + n])
 
 
-def _anchored(numbers: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows of ``numbers``: its anchor, how far its first and last windows start before the anchor, the
-    fingerprint of the anchor's string."""
-    size = length // 4
+def _anchored(numbers: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
+    """Of each run of windows of ``length`` of the ``numbers``: its anchor, how far its first and last windows start before the
+    anchor, the fingerprint of the anchor's string of ``size``."""
     strings = Prints(numbers).all(size)
     found = least((strings & _U(0xFFFFFFFF00000000)) | np.arange(len(strings), dtype=_U), length - size + 1)
     anchors = (found & _U(0xFFFFFFFF)).astype(np.int64)
@@ -93,34 +93,24 @@ def byte_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     """``_anchored`` for the bytes of a text, some windows at a time."""
     parts, whole = [], np.frombuffer(data, np.uint8)
     for at in range(0, len(whole) - length + 1, SEGMENT):
-        anchor, *others = _anchored(whole[at : at + SEGMENT + length - 1], length)
+        anchor, *others = _anchored(whole[at : at + SEGMENT + length - 1], length, length // 4)
         parts.append((at + anchor, *others))
     return _joined(parts)
 
 
-class Words:
-    """The words of a text, as bytes with single spaces between them."""
-
-    def __init__(self, text: str):
-        self.data = " ".join(text.split()).encode()
-        self.raw = np.frombuffer(self.data, np.uint8)
-        spaces = np.flatnonzero(self.raw == 32)
-        some = len(self.data) > 0
-        self.starts = np.concatenate(([0], spaces + 1)) if some else spaces
-        self.ends = np.concatenate((spaces, [len(self.raw)])) if some else spaces
-
-    def runs(self, length: int) -> tuple[np.ndarray, ...]:
-        """``_anchored`` for the words, some windows at a time."""
-        parts = []
-        for at in range(0, len(self.starts) - length + 1, WORD_SEGMENT):
-            starts, ends = self.starts[at : at + WORD_SEGMENT + length - 1], self.ends[at : at + WORD_SEGMENT + length - 1]
-            words = Prints(self.raw[starts[0] : ends[-1]]).of(starts - starts[0], ends - starts[0])
-            anchor, *others = _anchored(words, length)
-            parts.append((at + anchor, *others))
-        return _joined(parts)
-
-    def cut(self, first: int, past: int) -> bytes:
-        return self.data[self.starts[first] : self.ends[past - 1]]
+def word_strings(text: str, words: int) -> np.ndarray:
+    """Fingerprints of the anchored strings of half as many words, one for each run of windows of ``words`` words."""
+    raw = np.frombuffer(" ".join(text.split()).encode(), np.uint8)
+    spaces = np.flatnonzero(raw == 32)
+    all_starts, all_ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(raw)]))
+    parts = [np.empty(0, _U)]
+    for at in range(0, len(all_starts) - words + 1, WORD_SEGMENT):
+        starts, ends = all_starts[at : at + WORD_SEGMENT + words - 1], all_ends[at : at + WORD_SEGMENT + words - 1]
+        hashes = Prints(raw[starts[0] : ends[-1]]).of(starts - starts[0], ends - starts[0])
+        anchor, _, _, strings = _anchored(hashes, words, words // 2)
+        parts.append(strings[1:] if at and anchor[0] + at == before else strings)
+        before = anchor[-1] + at
+    return np.concatenate(parts)
 
 
 def _digest(data: bytes) -> bytes:
@@ -137,14 +127,15 @@ def _ranked(pairs: list[DataFrame], key: list[str], name: str) -> DataFrame:
     return written(ordered.withColumn(name, F.monotonically_increasing_id()), name)  # written: numbers stay, and a join of two exchanges can split a hot key
 
 
-def _judged(rows: DataFrame, rank: list[str], whole: list[str]) -> DataFrame:
-    """``rows`` with ``repeated``: whether others of their ``rank`` have ``whole`` as well; and ``goes_on``: whether the next round
+def _judged(rows: DataFrame, rank: list[str], whole: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The kinds of ``rows``, written; ``rows`` with ``repeated``: whether others of their ``rank`` have ``whole`` as well; and ``goes_on``: whether the next round
     needs it, as it is not repeated, or as the first of its likes, which rows that are not repeated may match in part."""
     kinds = rows.groupBy(*rank, *whole).agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "anchor")).alias("least"))
     lone = kinds.groupBy(*rank).agg((F.min("n") == 1).alias("lone"))
-    rows = rows.join(written(kinds.join(lone, rank), "kinds"), [*rank, *whole])
+    kinds = written(kinds.join(lone, rank), "kinds")
+    rows = rows.join(kinds, [*rank, *whole])
     first = F.struct("id", "print", "anchor") == F.col("least")
-    return rows.withColumn("repeated", F.col("n") > 1).withColumn("goes_on", (F.col("n") == 1) | (F.col("lone") & first)).drop("n", "least", "lone")
+    return kinds, rows.withColumn("repeated", F.col("n") > 1).withColumn("goes_on", (F.col("n") == 1) | (F.col("lone") & first)).drop("n", "least", "lone")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -168,8 +159,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _byte_rounds(runs: DataFrame, length: int) -> DataFrame:
-    """Spans (id, print, unit, start, end) of windows of bytes that repeat in part of their runs."""
+def _rounds(runs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans (id, print, start, end) of windows that repeat in part of their runs; and the written tables they are read from."""
     quarter, shared = length // 4, length - BLOCK + 1
     offset = shared - 2 * quarter
     schema = "id long, print long, anchor int, block int, low int, high int, a binary, b binary, c binary, d binary, left binary, right binary"
@@ -180,6 +171,8 @@ def _byte_rounds(runs: DataFrame, length: int) -> DataFrame:
             for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for run in marks:
+                    if not run["goes_on"]:
+                        continue
                     at, first, last = run["anchor"], run["first"], run["last"]
                     for b in range(last // BLOCK * BLOCK, first + 1, BLOCK):
                         low, high, begin = max(b, last), min(b + BLOCK - 1, first), at - b
@@ -191,10 +184,14 @@ def _byte_rounds(runs: DataFrame, length: int) -> DataFrame:
     cut = written(runs.mapInArrow(blocks, schema), "blocks")
     two = _ranked([cut.select("a", "b"), cut.select(F.col("c").alias("a"), F.col("d").alias("b"))], ["a", "b"], "rank")
     near, far = two.withColumnRenamed("rank", "near"), two.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("rank").alias("far"))
-    rows = written(cut.join(near, ["a", "b"]).join(far, ["c", "d"]).drop("a", "b", "c", "d"), "twice")  # 2q bytes at the block and at the offset
+    rows = written(cut.join(near, ["a", "b"]).drop("a", "b").join(far, ["c", "d"]).drop("c", "d"), "twice")  # 2q bytes at the block and at the offset
+    discard(cut, two)
     ranks = _ranked([rows.select("near", "far")], ["near", "far"], "rank")
-    rows = written(rows.join(ranks, ["near", "far"]).drop("near", "far"), "shared")
-    judged = written(_judged(rows, ["block", "rank"], ["low", "high", "left", "right"]), "judged")
+    ranked = written(rows.join(ranks, ["near", "far"]).drop("near", "far"), "shared")
+    discard(rows, ranks)
+    kinds, judged = _judged(ranked, ["block", "rank"], ["low", "high", "left", "right"])
+    judged = written(judged, "judged")
+    discard(ranked, kinds)
 
     single = judged.where("goes_on").withColumn("back", F.explode(F.sequence("low", "high")))
     before = F.substring("left", F.octet_length("left") - (F.col("back") - F.col("block")) + 1, F.col("back") - F.col("block"))
@@ -203,64 +200,44 @@ def _byte_rounds(runs: DataFrame, length: int) -> DataFrame:
     last = _ranked([single.select("rank", "back", "rest")], ["rank", "back", "rest"], "last")
     found = single.join(last, ["rank", "back", "rest"]).select("id", "print", "start", (F.col("start") + length).alias("end"))
     whole = judged.where("repeated").select("id", "print", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + length).alias("end"))
-    return found.unionByName(whole).withColumn("unit", F.lit(BYTES))
-
-
-def _word_rounds(runs: DataFrame, words: int) -> DataFrame:
-    """Spans (id, print, unit, start, end) of windows of words that repeat in part of their runs."""
-    schema = "id long, print long, start int, window binary"
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = Words(text)
-                for run in marks:
-                    for start in range(run["anchor"] - run["first"], run["anchor"] - run["last"] + 1):
-                        out.append((doc, mark, start, _digest(held.cut(start, start + words))))
-            if out:
-                yield _batch(out, schema)
-
-    cut = written(runs.mapInArrow(windows, schema), "windows")
-    ranks = _ranked([cut.select("window")], ["window"], "rank")
-    return cut.join(ranks, "window").select("id", "print", "start", (F.col("start") + words).alias("end")).withColumn("unit", F.lit(WORDED))
+    return found.unionByName(whole), [judged, last]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
-    """Of documents with runs that may repeat: ``id, print`` (of the row), ``doc_id, n_bytes, spans, kept, passages``; spans are the
-    maximal removed stretches of bytes, kept the other bytes, passages the maximal stretches of repeated words."""
-    if length < 2 * BLOCK or words < 4:
-        raise ValueError(f"length must be {2 * BLOCK} or more, words 4 or more")
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Of documents with runs that may repeat: ``id, print`` (of the row), ``doc_id, n_bytes, spans, kept``; spans are the maximal
+    removed stretches of bytes, kept the other bytes."""
+    if length < 2 * BLOCK:
+        raise ValueError(f"length must be {2 * BLOCK} or more")
     rows = _identified(docs)
-    names = ["id", "print", "unit", "anchor", "first", "last", "string", "whole"]
+    names = ["id", "print", "anchor", "first", "last", "string", "whole"]
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in names[:-1]]
             wholes: list[bytes] = []
             for doc, mark, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), strict=True):
-                data, held = text.encode(), Words(text)
-                for unit, size, found, cut in ((BYTES, length, byte_runs(data, length), lambda a, b, data=data: data[a:b]), (WORDED, words, held.runs(words), held.cut)):
-                    anchor, first, last, _ = found
-                    n = len(anchor)
-                    for c, x in zip(columns, (np.full(n, doc), np.full(n, mark), np.full(n, unit), *found), strict=True):
-                        c.append(x)
-                    wholes += [_digest(cut(a, b)) for a, b in zip((anchor - first).tolist(), (anchor - last + size).tolist(), strict=True)]
+                data = text.encode()
+                found = anchor, first, last, _ = byte_runs(data, length)
+                for c, x in zip(columns, (np.full(len(anchor), doc), np.full(len(anchor), mark), *found), strict=True):
+                    c.append(x)
+                wholes += [_digest(data[a:b]) for a, b in zip((anchor - first).tolist(), (anchor - last + length).tolist(), strict=True)]
             if wholes:
                 joined = [np.concatenate(c).astype(np.int64) for c in columns]
-                joined[2:6] = [c.astype(np.int32) for c in joined[2:6]]
+                joined[2:5] = [c.astype(np.int32) for c in joined[2:5]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, joined), pa.array(wholes, pa.binary())], names)
 
-    anchors = written(rows.select("id", "print", "text").mapInArrow(anchored, "id long, print long, unit int, anchor int, first int, last int, string long, whole binary"), "anchors")
+    long_enough = rows.where(F.octet_length("text") >= length).select("id", "print", "text")
+    anchors = written(long_enough.mapInArrow(anchored, "id long, print long, anchor int, first int, last int, string long, whole binary"), "anchors")
     ranks = _ranked([anchors.select("string")], ["string"], "rank")
-    marks = _judged(written(anchors.join(ranks, "string").drop("string"), "several"), ["rank"], ["first", "last", "whole"])
-    marks = marks.groupBy("id", "print").agg(F.collect_list(F.struct("unit", "anchor", "first", "last", "repeated", "goes_on")).alias("marks"))
+    several = written(anchors.join(ranks, "string").drop("string"), "several")
+    discard(anchors, ranks)
+    kinds, marks = _judged(several, ["rank"], ["first", "last", "whole"])
+    marks = marks.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "first", "last", "repeated", "goes_on")).alias("marks"))
     touched = written(rows.join(marks, ["id", "print"]), "touched")
+    discard(several, kinds)
 
-    going = lambda unit: F.filter("marks", lambda m: m["goes_on"] & (m["unit"] == unit))
-    open_runs = lambda unit: touched.select("id", "print", "text", going(unit).alias("marks")).where(F.size("marks") > 0)
-    found = _byte_rounds(open_runs(BYTES), length).unionByName(_word_rounds(open_runs(WORDED), words))
-    found = found.groupBy("id", "print").agg(F.collect_set(F.struct("unit", "start", "end")).alias("more"))
+    found, held = _rounds(touched.where(F.exists("marks", lambda m: m["goes_on"])).select("id", "print", "text", "marks"), length)
+    found = found.groupBy("id", "print").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,27 +245,48 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFr
             out = []
             for doc, mark, doc_id, text, marks, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                cover = []
-                for unit, size in ((BYTES, length), (WORDED, words)):
-                    own = [(m["anchor"] - m["first"], m["anchor"] - m["last"] + size) for m in marks if m["repeated"] and m["unit"] == unit]
-                    cover.append(_merged(own + [(m["start"], m["end"]) for m in more or () if m["unit"] == unit]))
-                edges = [0, *(x for span in cover[BYTES] for x in span), len(data)]
+                cover = [(m["anchor"] - m["first"], m["anchor"] - m["last"] + length) for m in marks if m["repeated"]]
+                cover = _merged(cover + [(m["start"], m["end"]) for m in more or ()])
+                edges = [0, *(x for span in cover for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, mark, doc_id, len(data), *([{"start": a, "end": b} for a, b in c] for c in cover), kept))
+                out.append((doc, mark, doc_id, len(data), [{"start": a, "end": b} for a, b in cover], kept))
             if out:
-                kinds = (*[pa.int64()] * 4, spans, spans, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "print", "doc_id", "n_bytes", "spans", "passages", "kept"])
+                kinds = (*[pa.int64()] * 4, spans, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "print", "doc_id", "n_bytes", "spans", "kept"])
 
     every = touched.join(found, ["id", "print"], "left").select("id", "print", "doc_id", "text", "marks", "more")
-    listed = "array<struct<start:long,end:long>>"
-    return every.mapInArrow(removed, f"id long, print long, doc_id long, n_bytes long, spans {listed}, passages {listed}, kept binary")
+    every = every.mapInArrow(removed, "id long, print long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    every.read_from = [touched, *held]
+    return every
+
+
+def shared_strings(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``id, print`` (of the row), ``n_shared``: how many different anchored strings of ``words / 2`` words of a document also start
+    elsewhere, and so may be part of a repeated passage of ``words`` words; documents without any are left out."""
+    if words < 4:
+        raise ValueError("words must be 4 or more")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_strings(t, words) for t in batch.column(2).to_pylist()]
+            sizes = [len(f) for f in found]
+            if sum(sizes):
+                ids, prints = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array(np.concatenate(found).astype(np.int64))], ["id", "print", "string"])
+
+    rows = written(_identified(docs).select("id", "print", "text").mapInArrow(strings, "id long, print long, string long"), "strings")
+    ranks = _ranked([rows.select("string")], ["string"], "rank")
+    shared = written(rows.join(ranks, "string").select("id", "print", "rank").distinct().groupBy("id", "print").agg(F.count("*").alias("n_shared")), "shared_strings")
+    discard(rows, ranks)
+    return shared
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row; then ``n_kept``, ``spans`` (start:end of the removed
-    stretches of bytes, comma-joined), ``n_passages`` (stretches of repeated words) and ``passage_words`` (how many words they hold)."""
+    stretches of bytes, comma-joined) and ``n_shared`` (of ``shared_strings``)."""
     number = lambda c: c.cast("long")
-    found = repeats(docs, length, words).select(
+    every = repeats(docs, length)
+    found = every.select(
         "id",
         "print",
         "doc_id",
@@ -298,13 +296,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> D
         F.sha2("kept", 256).alias("kept_sha256"),
         number(F.octet_length("kept")).alias("n_kept"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-        number(F.size("passages")).alias("n_passages"),
-        F.aggregate("passages", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]).alias("passage_words"),
     )
     found = written(found, "removed")
+    discard(*every.read_from)
     size, none = number(F.octet_length("text")), F.lit(0).cast("long")
-    rest = _identified(docs).select(
-        "id", "print", "doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), size.alias("n_kept"), F.lit("").alias("spans"), none.alias("n_passages"), none.alias("passage_words")
-    )
+    rest = _identified(docs).select("id", "print", "doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), size.alias("n_kept"), F.lit("").alias("spans"))
     rest = rest.join(found.select("id", "print").distinct(), ["id", "print"], "left_anti")
-    return rest.unionByName(found).drop("id", "print")
+    whole = rest.unionByName(found).join(shared_strings(docs, words), ["id", "print"], "left")
+    return whole.withColumn("n_shared", F.coalesce("n_shared", none)).drop("id", "print")

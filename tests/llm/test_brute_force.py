@@ -499,20 +499,25 @@ def plain_repeats(docs, length):
 
 
 def plain_passages(docs, words):
-    """Of each document: how many stretches of words lie in windows of so many words that start elsewhere too, and their words."""
-    split = [(d, (t or "").split()) for d, t in docs]
-    starts = collections.Counter(tuple(w[i : i + words]) for _, w in split for i in range(len(w) - words + 1))
-    for d, w in split:
-        mark = bytearray(len(w) + 1)
-        for i in range(len(w) - words + 1):
-            if starts[tuple(w[i : i + words])] > 1:
-                mark[i : i + words] = b"\1" * words
-        yield d, sum(m and not mark[i - 1] for i, m in enumerate(mark)), sum(mark)
+    """Of each document: how many of its windows of so many words also start elsewhere, and how many of half as many words."""
+    split = [(t or "").split() for _, t in docs]
+    for n in (words, words // 2):
+        starts = collections.Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+        yield [sum(starts[tuple(w[i : i + n])] > 1 for i in range(len(w) - n + 1)) for w in split]
 
 
 def check_repeats(rows, docs, length, words):
-    plain = zip(plain_repeats([(d, (t or "").encode()) for d, t in docs], length), plain_passages(docs, words), strict=True)
-    assert collections.Counter(map(tuple, rows)) == collections.Counter((*a, *b[1:]) for a, b in plain)
+    plain = list(plain_repeats([(d, (t or "").encode()) for d, t in docs], length))
+    assert collections.Counter(tuple(r)[:-1] for r in rows) == collections.Counter(plain)
+    least, most = plain_passages(docs, words)
+    shared = collections.defaultdict(set)
+    for r in rows:
+        shared[tuple(r)[:-1]].add(r["n_shared"])
+    for p, a, b in zip(plain, least, most, strict=True):
+        if len(shared[p]) == 1:  # else several documents look alike in all but their words
+            (n,) = shared[p]
+            assert (n > 0 or a == 0) and n <= b
+    return sum(a > 0 for a in least)
 
 
 @pytest.mark.parametrize(("length", "words"), [(40, 4), (67, 6)])
@@ -521,7 +526,7 @@ def test_repeats(spark, length, words):
     parts = ["".join(random.choice("abcdé ") for _ in range(random.randint(10, 90))) for _ in range(12)]
     docs = [(i, "".join(random.choice(parts)[: random.randint(5, 90)] for _ in range(random.randint(0, 9)))) for i in range(120)]
     docs += [docs[5], (5, "other"), (None, "ab" * 60), (500, None), (501, "x" * 90), (502, "x" * (length + 1)), (503, "")]
-    check_repeats(repeats.deduplicated(frame(spark, docs), length, words).collect(), docs, length, words)
+    assert check_repeats(repeats.deduplicated(frame(spark, docs), length, words).collect(), docs, length, words) > 3
     assert repeats.deduplicated(frame(spark, []), length).isEmpty()
 
 
@@ -544,11 +549,12 @@ def test_runs_do_not_depend_on_segments(monkeypatch):
     def windows(runs):
         return {(int(a) - k, int(a), int(s)) for a, first, last, s in zip(*runs, strict=True) for k in range(int(last), int(first) + 1)}
 
-    whole = windows(repeats.byte_runs(text.encode(), 64)), windows(repeats.Words(text).runs(12))
+    whole, strings = windows(repeats.byte_runs(text.encode(), 64)), repeats.word_strings(text, 12).tolist()
     monkeypatch.setattr(repeats, "SEGMENT", 16)
     monkeypatch.setattr(repeats, "WORD_SEGMENT", 5)
-    assert (windows(repeats.byte_runs(text.encode(), 64)), windows(repeats.Words(text).runs(12))) == whole
-    assert {w for w, _, _ in whole[0]} == set(range(len(text) - 63)) and {w for w, _, _ in whole[1]} == set(range(489))
+    assert windows(repeats.byte_runs(text.encode(), 64)) == whole and repeats.word_strings(text, 12).tolist() == strings
+    assert {w for w, _, _ in whole} == set(range(len(text) - 63)) and len(strings) > 30
+    assert len(repeats.word_strings(" ".join("abcdefghijkl"), 12)) == 1 and len(repeats.word_strings(" ".join("abcdefghijk"), 12)) == 0
 
 
 def test_queries_are_registered():
