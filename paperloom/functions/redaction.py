@@ -49,11 +49,20 @@ def scrubbed(c: Column, kind: T.DataType, keys: tuple[str, ...] = KEYS, most: in
     return cut(c, most, True) if isinstance(kind, T.BinaryType) else c
 
 
-def scrubbed_table(events: DataFrame, exempt: str = "event", keys: tuple[str, ...] = KEYS, most: int = 500) -> DataFrame:
-    """All columns scrubbed but the top-level ``exempt``; columns named in ``keys`` are dropped."""
+def scrubbed_table(events: DataFrame, exempt: str = "event", keys: tuple[str, ...] = KEYS, most: int = 500, exception: str = "exception") -> DataFrame:
+    """All columns scrubbed but the top-level ``exempt``; columns named in ``keys`` are dropped, and a text in the top-level column
+    ``exception`` loses e-mails and long numbers before it is cut."""
     hidden = [k.casefold() for k in keys]
-    fields = [f for f in events.schema.fields if f.name == exempt or f.name.casefold() not in hidden]
-    return events.select(*(F.col(f.name) if f.name == exempt else scrubbed(F.col(f.name), f.dataType, keys, most).alias(f.name) for f in fields))
+
+    def kept(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if f.name == exempt:
+            return c
+        if f.name == exception and isinstance(f.dataType, T.StringType):
+            c = exception_text(c)
+        return scrubbed(c, f.dataType, keys, most).alias(f.name)
+
+    return events.select(*(kept(f) for f in events.schema.fields if f.name == exempt or f.name.casefold() not in hidden))
 
 
 def request_id(given: Column, *keys: Column) -> Column:

@@ -82,23 +82,30 @@ def nfkc_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
     return _ranges(texts, values, _compose_collapse)
 
 
+METHODS = (("whitespace", _collapse), ("nfkc", _compose_collapse))
+HIT = T.StructType([T.StructField("method", T.StringType()), *RANGE.fields])
+
+
+@F.pandas_udf(HIT)
+def near_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """The first of ``METHODS`` that finds the value, and the range; null texts and values cost nothing."""
+    rows = []
+    for text, value in zip(texts, values, strict=True):
+        found = ((name, _find(text, value, normal)) for name, normal in METHODS) if text and value is not None else ()
+        name, at = next(((n, r) for n, r in found if r), (None, (None, None)))
+        rows.append((name, *at))
+    names, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
+    return pd.DataFrame({"method": pd.Series(names, dtype=object), "start": pd.array(starts, "Int32"), "end": pd.array(ends, "Int32")})
+
+
 def match(rows: DataFrame, text: str = "text", value: str = "value") -> DataFrame:
     """``rows`` with ``match_method`` (direct, whitespace, nfkc; null for a miss) and ``match_start, match_end``.
 
-    The dearer comparisons see only the rows that the cheaper ones missed: rows are parted by filters, since a Python function
-    inside a ``when`` is computed for all."""
-    rows = rows.withColumn("_hit", located(F.col(text), F.col(value)))
-    names = [c for c in rows.columns if c != "_hit"]
-    out = lambda df, method, hit: df.select(*names, method.alias("match_method"), hit["start"].alias("match_start"), hit["end"].alias("match_end"))
-    direct = rows.where("_hit is not null")
-    possible = F.coalesce(F.col(text) != "", F.lit(False)) & F.col(value).isNotNull()
-    missed = rows.where("_hit is null")
-    tried = missed.where(possible).withColumn("_space", whitespace_range(text, value))
-    rest = tried.where("_space.start is null").withColumn("_nfkc", nfkc_range(text, value))
-    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    return (
-        out(direct, F.lit("direct"), F.col("_hit"))
-        .unionByName(out(tried.where("_space.start is not null"), F.lit("whitespace"), F.col("_space")))
-        .unionByName(out(rest, F.when(F.col("_nfkc.start").isNotNull(), F.lit("nfkc")), F.col("_nfkc")))
-        .unionByName(out(missed.where(~possible), F.lit(None).cast("string"), none))
-    )
+    One pass: the Python function gets nulls for rows that the exact comparison has found. A null or empty text, or a null value, is
+    a miss; rows are kept as often as they occur."""
+    tried = rows.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(value).alias("value"), located(F.col(text), F.col(value)).alias("hit"))
+    open_text, open_value = (F.when(F.col("hit").isNull(), F.col(c)) for c in ("text", "value"))
+    tried = tried.select("row", "hit", near_range(open_text, open_value).alias("near"))
+    either = lambda part: F.coalesce(F.col(f"hit.{part}"), F.col(f"near.{part}")).alias(f"match_{part}")
+    method = F.when(F.col("hit").isNotNull(), "direct").otherwise(F.col("near.method")).alias("match_method")
+    return tried.select("row.*", method, either("start"), either("end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .replies import violations
 
+#: What a schema may not hold at its root, the form of names, and the settings.
 COMPOSITION = ("anyOf", "oneOf", "allOf", "$ref")
 SLUG = r"^[a-z0-9][a-z0-9_\-]*$"
 OCR, TABLE_MODES = ("auto", "force", "off"), ("fast", "accurate")

@@ -17,6 +17,11 @@ from ..functions.text import SPACE, strip
 MAX_RETRIES = 3
 #: The envelope that every reply must be.
 ENVELOPE = {"type": "object", "required": ["extractions"], "properties": {"extractions": {"type": "array"}}}
+#: The texts between the parts of a correction prompt.
+REPLY_IS = "\n\nThe previous response was not valid JSON matching the required schema.\nPrevious output:\n"
+FAILED_AS = "\n\nValidation failure:\n"
+SCHEMA_IS = "\n\nExpected schema:\n"
+ONLY_JSON = "\n\nReturn only a valid JSON object matching the schema. Do not include any commentary, markdown fences, or surrounding prose."
 #: JSON Schema types and what ``schema_of_variant`` calls them.
 TYPES = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY", "object": "OBJECT", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT"}
 
@@ -85,17 +90,8 @@ def first_valid(judged_rows: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
 
 
 def correction_prompt(prompt: Column, output: Column, reason: Column, schema: Column) -> Column:
-    """``schema`` is pretty JSON with sorted keys (``pretty``). The texts between the parts."""
-    return F.concat(
-        prompt,
-        F.lit("\n\nThe previous response was not valid JSON matching the required schema.\nPrevious output:\n"),
-        output,
-        F.lit("\n\nValidation failure:\n"),
-        reason,
-        F.lit("\n\nExpected schema:\n"),
-        schema,
-        F.lit("\n\nReturn only a valid JSON object matching the schema. Do not include any commentary, markdown fences, or surrounding prose."),
-    )
+    """``schema`` is pretty JSON with sorted keys (``pretty``)."""
+    return F.concat(prompt, F.lit(REPLY_IS), output, F.lit(FAILED_AS), reason, F.lit(SCHEMA_IS), schema, F.lit(ONLY_JSON))
 
 
 def pretty(schema: dict) -> str:

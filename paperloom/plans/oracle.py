@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from ..operators.replies import ENVELOPE, pretty
+from ..functions.redaction import EMAIL
+from ..operators.assemble import CATALOGUE
+from ..operators.replies import ENVELOPE, FAILED_AS, ONLY_JSON, REPLY_IS, SCHEMA_IS, pretty
 from ..sources.derived import SCHEMA_DOC, SCHEMA_FAULTS, SCHEMA_INVOICE
 from .queries import MAX_BYTES, MAX_PAGES, SAMPLE_PAGE
 
 _PAIR = "CAST(doc_id + seq AS BIGINT)"
-_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+_EMAIL = EMAIL
 
 CTES = {
     "lines": "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS seq, unnest(string_split(text, chr(10))) AS line FROM documents",
@@ -126,9 +128,7 @@ CTES = {
         UNION ALL SELECT doc_id, 'PDF_TOO_MANY_PAGES', 6, 'actual=' || page_count || ';limit={MAX_PAGES}' FROM docs WHERE page_count > {MAX_PAGES}
         UNION ALL SELECT doc_id, 'PDF_NO_TEXT_EXTRACTABLE', 7, '' FROM no_blocks UNION ALL SELECT doc_id, 'STRUCTURED_OUTPUT_FAILED', 8, '' FROM failed""",
     "errs": "SELECT doc_id, min_by(code, stage) AS code, min_by(params, stage) AS params FROM gates GROUP BY doc_id",
-    "codes": """SELECT * FROM (VALUES ('NOT_FOUND', 404, ''), ('VALIDATION_FAILED', 422, ''), ('INTERNAL_ERROR', 500, ''), ('SKILL_VALIDATION_FAILED', 500, 'file,reason'), ('SKILL_NOT_FOUND', 404, 'name,version'), ('PDF_INVALID', 400, ''),
-        ('PDF_PASSWORD_PROTECTED', 400, ''), ('PDF_TOO_MANY_PAGES', 413, 'actual,limit'), ('PDF_NO_TEXT_EXTRACTABLE', 422, ''), ('INTELLIGENCE_UNAVAILABLE', 503, ''), ('STRUCTURED_OUTPUT_FAILED', 502, ''), ('INTELLIGENCE_TIMEOUT', 504, 'budget_seconds'),
-        ('EXTRACTION_BUDGET_EXCEEDED', 504, 'budget_seconds'), ('PDF_TOO_LARGE', 413, 'actual_bytes,max_bytes'), ('PDF_PARSER_UNAVAILABLE', 500, 'dependency'), ('EXTRACTION_OVERLOADED', 503, 'max_concurrent')) v(code, http_status, params)""",
+    "codes": "SELECT * FROM (VALUES " + ", ".join(f"('{code}', {status}, '{','.join(sorted(params))}')" for code, status, params in CATALOGUE) + ") v(code, http_status, params)",
     "lat": "SELECT 'fixture' || (user_id % 3) AS fixture, CASE event_type WHEN 'view' THEN 'JSON_ONLY' WHEN 'click' THEN 'PDF_ONLY' ELSE 'BOTH' END AS mode, event_id AS iter, value AS seconds FROM events WHERE event_type IN ('view', 'click', 'purchase')",
     "warm": "SELECT * FROM lat QUALIFY row_number() OVER (PARTITION BY fixture, mode ORDER BY iter) > 1",
     "part_params": """SELECT CAST(p_partkey AS BIGINT) AS k, CASE WHEN p_partkey % 19 = 0 THEN 'part_' ELSE 'PART_' END || p_partkey AS code, CAST(390 + p_partkey % 220 AS INTEGER) AS http_status,
@@ -145,7 +145,7 @@ CTES = {
     "checks": "SELECT user_id AS key, ts, event_id AS seq, event_type <> 'error' AS ok, lag(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events",
 }
 
-_PROMPT = f"'Prompt ' || doc_id || chr(10) || chr(10) || 'The previous response was not valid JSON matching the required schema.' || chr(10) || 'Previous output:' || chr(10) || raw_text || chr(10) || chr(10) || 'Validation failure:' || chr(10) || cause || chr(10) || chr(10) || 'Expected schema:' || chr(10) || '{pretty(ENVELOPE)}' || chr(10) || chr(10) || 'Return only a valid JSON object matching the schema. Do not include any commentary, markdown fences, or surrounding prose.'"
+_PROMPT = " || ".join(f"'{part}'" if i % 2 else part for i, part in enumerate(("'Prompt ' || doc_id", REPLY_IS, "raw_text", FAILED_AS, "cause", SCHEMA_IS, f"'{pretty(ENVELOPE)}'", ONLY_JSON)))
 
 _SELECTS = {
     "src_1": f"SELECT doc_id, CAST(n_bytes AS INTEGER) AS n_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN {MAX_BYTES} END AS max_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN CAST(n_bytes AS INTEGER) END AS actual_bytes FROM docs",
@@ -168,14 +168,21 @@ _SELECTS = {
     "off_4": 'SELECT s.doc_id, s.ord, s.start AS "offset", w.block_id, s.start - w.start AS local FROM shifted s LEFT JOIN wide w ON w.doc_id = s.doc_id AND s.start >= w.start AND s.start < w."end" WHERE s.start IS NOT NULL',
     "off_5": "SELECT doc_id, count(*) AS n_blocks FROM offsets GROUP BY doc_id",
     "mat_1": "SELECT doc_id, seq, CASE WHEN value = '' THEN 0 WHEN strpos(text, value) > 0 THEN strpos(text, value) - 1 END AS start, CASE WHEN value = '' THEN 0 WHEN strpos(text, value) > 0 THEN strpos(text, value) - 1 + length(value) END AS \"end\" FROM vals",
-    "mat_2": r"SELECT doc_id, seq, contains(regexp_replace(replace(text, ' ', ' ' || chr(9) || ' '), '\s+', ' ', 'g'), regexp_replace(value, '\s+', ' ', 'g')) AND text <> '' AS hit FROM vals WHERE value <> ''",
+    "mat_2": r"""SELECT * FROM (WITH v AS (SELECT doc_id, seq, replace(text, ' ', ' ' || chr(9) || ' ') AS t, regexp_replace(replace(text, ' ', ' ' || chr(9) || ' '), '\s+', ' ', 'g') AS c, regexp_replace(value, '\s+', ' ', 'g') AS w FROM vals WHERE value <> ''),
+        h AS (SELECT *, instr(c, w) - 1 AS a, instr(c, w) - 1 + length(w) AS b FROM v WHERE t <> '' AND contains(c, w)),
+        p AS (SELECT doc_id, seq, unnest(regexp_extract_all(t, '\s+|\S+')) AS tok, generate_subscripts(regexp_extract_all(t, '\s+|\S+'), 1) AS k FROM h),
+        q AS (SELECT *, length(tok) AS n, regexp_matches(tok, '^\s') AS gap, CASE WHEN regexp_matches(tok, '^\s') THEN 1 ELSE length(tok) END AS m FROM p),
+        o AS (SELECT *, sum(n) OVER x - n AS t0, sum(m) OVER x - m AS c0 FROM q WINDOW x AS (PARTITION BY doc_id, seq ORDER BY k)),
+        f AS (SELECT h.doc_id, h.seq, max(CASE WHEN a >= c0 AND a < c0 + m THEN t0 + CASE WHEN gap THEN 0 ELSE a - c0 END END) AS s,
+            coalesce(max(CASE WHEN b >= c0 AND b < c0 + m THEN t0 + CASE WHEN gap THEN 0 ELSE b - c0 END END), any_value(length(t))) AS e FROM h JOIN o ON o.doc_id = h.doc_id AND o.seq = h.seq GROUP BY ALL)
+        SELECT v.doc_id, v.seq, CAST(f.s AS BIGINT) AS start, CAST(f.e AS BIGINT) AS "end" FROM v LEFT JOIN f ON f.doc_id = v.doc_id AND f.seq = v.seq)""",
     "out_1": "SELECT doc_id, attempt, cleaned FROM cleaned",
     "out_3": "SELECT doc_id, attempt, cause FROM judged",
     "out_4": "SELECT doc_id, attempt, coalesce(replace(cause, 'schema_violation:', ''), '') AS paths FROM judged WHERE cause IS NULL OR cause LIKE 'schema%'",
     "out_5": """SELECT j.doc_id, CAST(any_value(w.a) AS INTEGER) AS attempt, coalesce(string_agg(cause, ';' ORDER BY attempt) FILTER (cause IS NOT NULL AND (w.a IS NULL OR attempt < w.a)), '') AS causes, CASE WHEN any_value(w.a) IS NULL THEN 'STRUCTURED_OUTPUT_FAILED' END AS code
         FROM judged j LEFT JOIN (SELECT doc_id, min(attempt) AS a FROM judged WHERE cause IS NULL AND attempt <= 4 GROUP BY doc_id) w ON w.doc_id = j.doc_id WHERE attempt <= 4 GROUP BY j.doc_id""",
     "out_6": f"SELECT doc_id, attempt, md5({_PROMPT}) AS digest, CAST(length({_PROMPT}) AS INTEGER) AS n FROM judged WHERE cause IS NOT NULL",
-    "out_7": f"SELECT * FROM (SELECT doc_id, 'number' AS field_name, nullif(regexp_extract(text, '[0-9]{{4,}}'), '') AS value FROM documents UNION ALL SELECT doc_id, 'email', nullif(regexp_extract(text, '{_EMAIL}'), '') FROM documents) WHERE value IS NOT NULL",
+    "out_7": f"SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt, field_name, value FROM (SELECT doc_id, 'number' AS field_name, nullif(regexp_extract(text, '[0-9]{{4,}}'), '') AS value FROM documents UNION ALL SELECT doc_id, 'email', nullif(regexp_extract(text, '{_EMAIL}'), '') FROM documents) WHERE value IS NOT NULL",
     "out_8": "SELECT doc_id, attempt, CAST(unnest([0, 1, 2]) AS INTEGER) AS ord, unnest(['id', 'n', 'id']) AS field_name, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), 'again']) AS value FROM judged WHERE cause IS NULL",
     "out_9": "SELECT path, CAST(example_no AS INTEGER) AS example_no, 'input ' || example_no AS input, field_name, json_extract_string(ex, '$.' || field_name) AS value FROM (SELECT path, generate_subscripts(examples, 1) - 1 AS example_no, unnest(examples) AS ex FROM skills), unnest(json_keys(ex)) AS u(field_name)",
     "fld_1": "SELECT path, CAST(generate_subscripts(json_keys(output_schema, '$.properties'), 1) - 1 AS INTEGER) AS field_pos, unnest(json_keys(output_schema, '$.properties')) AS field_name FROM skills",
@@ -204,13 +211,13 @@ _SELECTS = {
     "reg_8": "SELECT doc_id, skill_name, skill_version, version, code FROM asked",
     "reg_9": "SELECT path, coalesce(ocr, 'auto') AS ocr, coalesce(table_mode, 'accurate') AS table_mode, coalesce(ocr, 'auto') NOT IN ('auto', 'force', 'off') AS bad FROM skills",
     "asm_1": "SELECT doc_id, 'STRUCTURED_OUTPUT_FAILED' AS code FROM failed",
-    "asm_2": "SELECT f.doc_id, a.skill_name, a.version AS skill_version, f.field_name, f.value, f.status FROM fields f JOIN asked a ON a.doc_id = f.doc_id WHERE a.code IS NULL",
+    "asm_2": "SELECT f.doc_id, a.skill_name, a.version AS skill_version, f.field_name, f.value, f.status, f.source, f.grounded, CAST(CASE WHEN f.grounded THEN 1 ELSE 0 END AS BIGINT) AS n_boxes FROM fields f JOIN asked a ON a.doc_id = f.doc_id WHERE a.code IS NULL",
     "asm_3": "SELECT f.doc_id, d.page_count, f.field_name, f.attempts FROM fields f JOIN docs d ON d.doc_id = f.doc_id",
     "asm_4": "SELECT r.skill_name, r.skill_version, count(*) FILTER (status = 'extracted') AS n_extracted, count(*) FILTER (status = 'failed') AS n_failed FROM fields f JOIN requests r ON r.doc_id = f.doc_id GROUP BY ALL",
     "asm_5": "SELECT doc_id, code FROM errs",
     "asm_6": """SELECT doc_id, array_to_string(list_filter([CASE WHEN length(skill_name) > 6 THEN 'body -> skill_name=too_long' END, CASE WHEN skill_version IN ('abc', '0') THEN 'body -> skill_version=string_pattern_mismatch' END], lambda x: x IS NOT NULL), ';') AS details
         FROM requests WHERE length(skill_name) > 6 OR skill_version IN ('abc', '0')""",
-    "log_1": "SELECT event_id, event_type AS event, unnest(['user', 'note', 'event']) AS key, unnest([CAST(user_id AS VARCHAR), repeat('x', CAST(event_id % 700 AS INTEGER)), 'inner']) AS value FROM events",
+    "log_1": "SELECT event_id, event_type AS event, '[REDACTED_EMAIL] failed on line 1234 with [REDACTED_NUMBER]' || repeat('!', 941) || '... [truncated]' AS exception, unnest(['user', 'note', 'event']) AS key, unnest([CAST(user_id AS VARCHAR), repeat('x', CAST(event_id % 700 AS INTEGER)), 'inner']) AS value FROM events",
     "log_2": "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '... [truncated]' ELSE text END) AS text_digest, '<bytes len=' || strlen(text) || ' truncated>' AS bytes FROM documents",
     "log_3": f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g')) AS digest FROM documents",
     "log_6": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(CAST(event_id AS VARCHAR)) ELSE CASE WHEN event_id % 3 = 1 AND regexp_full_match(upper(md5(CAST(event_id AS VARCHAR))), '[a-f0-9]{32}') THEN upper(md5(CAST(event_id AS VARCHAR))) ELSE md5(event_id || ':' || event_type) END END AS request_id FROM events",
@@ -221,7 +228,7 @@ _SELECTS = {
     "ben_3": "SELECT g.fixture, g.mode, round(avg(w.seconds), 6) AS mean, quantile_cont(w.seconds, 0.5) AS p50, quantile_cont(w.seconds, 0.95) AS p95, count(w.seconds) AS n FROM (SELECT DISTINCT fixture, m.mode FROM warm, (SELECT unnest(['JSON_ONLY', 'PDF_ONLY', 'BOTH', 'NONE']) AS mode) m) g LEFT JOIN warm w ON w.fixture = g.fixture AND w.mode = g.mode GROUP BY ALL",
     "ben_4": "SELECT fixture, metric, value, target, value <= target AS passes FROM (SELECT fixture, unnest(['p50', 'p95']) AS metric, unnest([quantile_cont(seconds, 0.5), quantile_cont(seconds, 0.95)]) AS value FROM warm WHERE mode = 'JSON_ONLY' GROUP BY fixture) JOIN (VALUES ('fixture0', 'p50', 7.0::DOUBLE), ('fixture0', 'p95', 30.0::DOUBLE), ('fixture1', 'p50', 8.0::DOUBLE), ('fixture1', 'p95', 31.0::DOUBLE)) t(fixture, metric, target) USING (fixture, metric)",
     "ben_5": "SELECT fixture, round(o, 6) AS overhead, o <= 2 AS passes FROM (SELECT fixture, quantile_cont(seconds, 0.5) FILTER (mode = 'PDF_ONLY') - quantile_cont(seconds, 0.5) FILTER (mode = 'JSON_ONLY') AS o FROM lat GROUP BY fixture) WHERE o IS NOT NULL",
-    "ben_6": "SELECT DISTINCT user_id AS fixture FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40)",
+    "ben_6": "SELECT DISTINCT user_id AS fixture FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40 AND user_id % 3 <> 0)",
     "ben_7": "SELECT field_name, round(e, 6) AS extracted_rate, round(g, 6) AS grounded_rate, e >= 0.9 AS extracted_ok, g >= 0.95 AS grounded_ok FROM (SELECT field_name, avg(CASE WHEN status = 'extracted' THEN 1.0 ELSE 0 END)::DOUBLE AS e, avg(CASE WHEN grounded THEN 1.0 ELSE 0 END) FILTER (status = 'extracted')::DOUBLE AS g FROM fields GROUP BY field_name)",
     "con_1": """SELECT code, problem FROM (SELECT code, unnest(list_concat(list_concat([CASE WHEN NOT regexp_full_match(code, '[A-Z][A-Z0-9_]*') THEN 'bad_code' END, CASE WHEN http_status NOT BETWEEN 400 AND 599 THEN 'bad_status' END],
         list_transform(params, lambda x: CASE WHEN NOT regexp_full_match(x.name, '[a-zA-Z_][a-zA-Z0-9_]*') THEN 'bad_param:' || x.name END)), list_transform(params, lambda x: CASE WHEN x.type NOT IN ('string', 'integer', 'number', 'boolean') THEN 'bad_type:' || x.name END))) AS problem FROM part_params) WHERE problem IS NOT NULL""",

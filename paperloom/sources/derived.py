@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEIGHT = 792.0
 
 
+class Prepared(str):
+    """A folder of tables, some of whose derived inputs (by their functions' names) were computed and written before."""
+
+    frames: dict[str, DataFrame] = {}
+
+
+def prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f``, or what ``Prepared`` has in its place."""
+
+    @functools.wraps(f)
+    def got(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = sf_dir.frames if isinstance(sf_dir, Prepared) else {}
+        return frames[f.__name__] if f.__name__ in frames else f(spark, sf_dir)
+
+    return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,6 +36,7 @@ def _mod(c: Column | str, n: int) -> Column:
     return F.pmod(F.col(c) if isinstance(c, str) else c, F.lit(n))
 
 
+@prepared
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line of a document."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"))
@@ -42,6 +63,17 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with empty ones kept, so that some have no width."""
+    return blocks_and_lines(spark, sf_dir).drop("line")
+
+
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose texts, joined by line breaks, are the document."""
+    return blocks_and_lines(spark, sf_dir).drop("text").withColumnRenamed("line", "text")
+
+
+@prepared
+def blocks_and_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with both: ``text``, which is empty here and there, and the whole ``line``."""
     slot = _mod("seq", 10)
     page = (F.floor(F.col("seq") / 10) + 1).cast("int")
     y1 = HEIGHT - 72.0 - 12.0 * slot
@@ -51,10 +83,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p"), page.cast("string"), F.lit("_b"), slot.cast("string")).alias("block_id"),
         page.alias("page"),
         F.when(_mod(F.col("doc_id") + F.col("seq"), 7) == 0, F.lit("")).otherwise(F.col("line")).alias("text"),
+        "line",
         F.struct(F.lit(72.0).alias("x0"), (y1 - 10.0).alias("y0"), F.lit(540.0).alias("x1"), y1.alias("y1")).alias("bbox"),
     )
 
 
+@prepared
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with sizes and page counts; a few are flagged as what a preflight would refuse. A null text has no bytes and no pages."""
     pages = lines(spark, sf_dir).groupBy("doc_id").agg((F.floor(F.max("seq") / 10) + 1).cast("int").alias("page_count"))
@@ -84,6 +118,7 @@ def raw_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@prepared
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an extractor says of each document: its first line twice, the first long number, an undeclared field, a null value,
     with broken intervals here and there."""
@@ -115,6 +150,7 @@ SCHEMA_INVOICE = '{"type":"object","required":["total"],"properties":{"total":{"
 SCHEMA_FAULTS = ('{"$ref":"#/x","anyOf":[],"properties":{"a":{}}}', '{"type":"object","properties":{}}', '{"type":"object","additionalProperties":true}', '{"type":["object","null"]}')
 
 
+@prepared
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry with a file for each supplier: name by nation, version by key, and faults here and there."""
     k = F.col("s_suppkey").cast("long")
@@ -143,6 +179,7 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(again)
 
 
+@prepared
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request a document."""
     m = F.col("doc_id") % 8

@@ -1,7 +1,9 @@
 """Literal cases of the operators."""
 
+import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,10 +228,35 @@ def test_nested_keys_are_removed(spark):
 
 
 def test_percentiles(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
-    row = df.agg(latency.percentile("x", 50).alias("a"), latency.percentile("x", 95).alias("b")).first()
-    assert (row["a"], round(row["b"], 9)) == (5.5, 9.55)
-    assert df.where("x < 0").agg(latency.percentile("x", 50).alias("a")).first()["a"] is None
+    rng = random.Random(5)
+    cells = {("a", "m"): [float(i) for i in range(1, 11)], ("b", "m"): [3.0], ("b", None): [rng.choice([1.5, 2.5, rng.random() * 1e6]) for _ in range(2_000)], ("c", "n"): [None], ("d", "n"): [7.0] * 500 + [8.0]}
+    df = spark.createDataFrame([(f, m, v, "x") for (f, m), vs in cells.items() for v in vs], "fixture string, mode string, seconds double, v string").repartition(5)
+    got = {(r["fixture"], r["mode"]): (r["p50"], r["p95"], r["low"]) for r in latency.percentiles(df, {"p50": 50, "p95": 95, "low": 0}).collect()}
+    assert set(got) == set(cells) - {("c", "n")}
+    for cell, values in got.items():
+        assert values == pytest.approx(np.percentile(cells[cell], [50, 95, 0]).tolist(), rel=1e-12)
+    assert latency.percentiles(df.limit(0), {"p50": 50}).isEmpty()
+
+
+def test_warmup_goes_by_iteration(spark):
+    df = spark.createDataFrame([("a", "m", i, float(i)) for i in (5, 3, 3, 9, 7)] + [("b", "m", 1, 1.0)], "fixture string, mode string, iter long, seconds double")
+    assert sorted(r["iter"] for r in latency.without_warmup(df, 2).collect()) == [7, 9]
+    assert latency.without_warmup(df, 0).count() == 6 and latency.without_warmup(df.limit(0)).isEmpty()
+
+
+def test_latency_has_no_task_for_a_group(spark):
+    df = spark.range(1_000).selectExpr("'a' fixture", "'m' mode", "id iter", "rand(1) seconds")
+    for plan in (latency.percentiles(df, {"p50": 50}), latency.without_warmup(df)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "percentile(" not in text
+    assert "WindowGroupLimit" in latency.without_warmup(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exceptions_are_redacted_before_they_are_cut(spark):
+    df = spark.createDataFrame([("e", "a@b.org saw 12345 " + "x" * 600, "a@b.org 12345")], "event string, exception string, other string")
+    row = redaction.scrubbed_table(df).first()
+    whole = "[REDACTED_EMAIL] saw [REDACTED_NUMBER] " + "x" * 600
+    assert row["exception"] == whole[:500] + redaction.CUT and row["other"] == "a@b.org 12345"
 
 
 def test_translations_and_drift(spark):
