@@ -72,8 +72,9 @@ def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs from a table of conversations: each is chosen over itself with its last assistant's turn taken from the
     conversation whose id differs in the lowest bit (an empty turn if there is none)."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
-    whole = gathered(rows).withColumn("answer", F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))["text"])
-    other = whole.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))
+    whole = gathered(rows)
+    answers = rows.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("answer"))
+    other = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer.text").alias("other"))  # one text of each conversation
     last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == "assistant"), True).cast("int")
     swapped = F.transform("turns", lambda t, i: F.when(i == F.col("last"), F.struct(t["role"].alias("role"), F.coalesce("other", F.lit("")).alias("text"))).otherwise(t))
     rows = whole.join(other, "pair_id", "left").withColumn("last", last)
