@@ -10,7 +10,7 @@ sees neighbours together and a text is shuffled once; what the last row of a ran
 handed on in a small join with one row for each range.
 
 Defined results: a null text is an empty one, whose digest is all zeros; texts under five bytes are padded with zero bytes;
-equal texts have equal digests; rows with equal doc_id follow each other by text; a null doc_id comes first; a single row is its
+equal texts have equal digests; rows with equal doc_id follow each other by a hash of their texts; a null doc_id comes first; a single row is its
 own next one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -124,7 +124,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             yield batch_of([edge("last", last)])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ranges = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text"))  # so that ranges can split rows of one doc_id, or of none
+    ranges = rows.repartitionByRange(partitions(spark), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     found = written(ranges.mapInArrow(neighbours, f"{_RESULT}, part int, place string, text string"), "neighbours")
 
     first = found.where("place = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
