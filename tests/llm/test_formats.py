@@ -1,4 +1,4 @@
-"""Chat formatting, WARC archives, and the pipeline."""
+"""Chat formatting and WARC archives."""
 
 import collections
 import gzip
@@ -9,8 +9,7 @@ import zlib
 import duckdb
 import pytest
 
-import corpus_pipeline
-from paperloom.llm import chat, near_dups, queries, warc
+from paperloom.llm import chat, queries, warc
 from paperloom.llm.common import new_path
 
 DATA = "/root/testdata/sf0.001"
@@ -129,29 +128,3 @@ def test_foreign_archive(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(b"warcinfo", b"software: x\r\n\r\nmore")) + gzip.compress(record(b"resource", b"\x00\xffbytes")))
     rows = warc.read_warc(spark, str(tmp_path)).orderBy("record_type").collect()
     assert [(r["record_type"], bytes(r["payload"])) for r in rows] == [("resource", b"\x00\xffbytes"), ("warcinfo", b"software: x\r\n\r\nmore")]
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    classes = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
-    names, rows = docs.columns, docs
-    seen = []
-    for name, stage in corpus_pipeline.STAGES:
-        rows = corpus_pipeline.written(stage(spark, rows, DATA), name)
-        seen.append(rows.count())
-        if name != "packing":
-            assert rows.columns == names
-        if name == "near_dedup":
-            kept = [r["doc_id"] for r in rows.select("doc_id").collect()]
-            assert len(kept) == len(set(kept)) and all(classes[d] == d for d in kept)
-    assert seen[1] <= seen[0] <= docs.count() and seen[3] == seen[2] <= seen[1]
-    final = corpus_pipeline.run(spark, DATA)
-    assert final.count() == seen[4]
-
-
-def test_pipeline_of_odd_rows(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, words string, bucket long"
-    rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, "some plain words of a text", None, "s", 26), (4, "some plain words of a text", "en", "s", 26), (None, "without an id", "en", "s", 13), (5, "token = abcdefghijkl0123", "en", "s", 24), (5, "token = abcdefghijkl0123", "en", "s", 24)]
-    spark.createDataFrame([(*r, "s", 1, "w", 2) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {3, 5}
