@@ -1,4 +1,8 @@
-"""From source text items to the block table."""
+"""From source text items to the block table.
+
+Defined results: an item with a null text is like one without text; blocks with one number follow each other by text, nulls ahead;
+repeated blocks are blocks of their own; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ def with_text_and_place(items: DataFrame) -> DataFrame:
 
 def in_reading_order(items: DataFrame) -> DataFrame:
     """``seq`` numbered by ``reading_seq``, in storage order (``storage_seq``) where there is none."""
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("reading_seq", "storage_seq"), "storage_seq")
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("reading_seq", "storage_seq"), "storage_seq", "text")
     return items.withColumn("seq", F.row_number().over(order) - 1)
 
 
@@ -29,7 +33,7 @@ def bottom_left(items: DataFrame, heights: DataFrame) -> DataFrame:
 
 def with_block_ids(blocks: DataFrame) -> DataFrame:
     """``block_id``: p{page}_b{i}, i counting a page's blocks from 0."""
-    within = Window.partitionBy("doc_id", "page").orderBy("seq")
+    within = Window.partitionBy("doc_id", "page").orderBy("seq", "text")
     return blocks.withColumn("block_id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), (F.row_number().over(within) - 1).cast("string")))
 
 

@@ -1,4 +1,8 @@
-"""Declared fields: one row for each of them and document, whatever the extractor says."""
+"""Declared fields: one row for each of them and document, whatever the extractor says.
+
+Defined results: rows without a doc_id or field name match nothing; of rows with one ``ord`` the least value comes first, nulls ahead;
+repeated rows count once where one is chosen and are kept elsewhere; empty tables give no rows, or placeholders for what is wanted.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,8 @@ def drop_undeclared(raw: DataFrame, fields: DataFrame, on: tuple[str, ...] = ("f
 
 
 def first_arrival(raw: DataFrame) -> DataFrame:
-    """Of rows for the same document and field, the first by ``ord``."""
-    order = Window.partitionBy("doc_id", "field_name").orderBy("ord")
+    """Of rows for the same document and field, the first by ``ord``, then value, start and end."""
+    order = Window.partitionBy("doc_id", "field_name").orderBy("ord", "value", "start", "end")
     return raw.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

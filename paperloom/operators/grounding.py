@@ -1,4 +1,10 @@
-"""From spans of the concatenated text to rectangles on pages."""
+"""From spans of the concatenated text to rectangles on pages.
+
+Windows look at what they have passed, in one order or the other, so Spark streams them.
+
+Defined results: null offsets are in no block; of blocks with one id the last is shown; repeated spans are spans of their own; empty
+tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +17,8 @@ from .offsets import lookup
 
 def _entries(offsets: DataFrame) -> DataFrame:
     """Index entries with the start of the next one that has any width."""
-    ahead = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("start") < F.col("end"), F.col("start")), ignorenulls=True).over(ahead)
+    passed = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("start") < F.col("end"), F.col("start")), ignorenulls=True).over(passed)
     return offsets.withColumns({"next_start": following, "entry_end": F.col("end")})
 
 
@@ -74,8 +80,10 @@ def boxes(found: DataFrame, offsets: DataFrame, blocks: DataFrame) -> DataFrame:
     broken = F.when(F.col("start_block") == F.col("end_block"), None).when(F.col("from_idx").isNull(), "start_block_not_seen").when(F.col("end_last").isNull(), "end_block_not_seen_after_start").when(F.col("end_last") < F.col("from_idx"), "end_block_seen_before_start_block")
     rows = rows.withColumn("broken", broken)
     several = rows.where("start_block <> end_block and broken is null")
-    stops = offsets.select(F.col("doc_id").alias("d"), F.col("block_id").alias("e"), F.col("idx").alias("i"))
-    several = several.join(stops, (F.col("doc_id") == F.col("d")) & (F.col("end_block") == F.col("e")) & (F.col("i") >= F.col("from_idx"))).groupBy("doc_id", "ord", "from_idx").agg(F.min("i").alias("to_idx"))
+    stops = offsets.select("doc_id", "block_id", F.col("idx").alias("at"), F.col("idx").alias("stop"), F.lit(None).cast("int").alias("ord"))
+    asked = several.select("doc_id", F.col("end_block").alias("block_id"), F.col("from_idx").alias("at"), F.lit(None).cast(stops.schema["stop"].dataType).alias("stop"), "ord")
+    passed = Window.partitionBy("doc_id", "block_id").orderBy(F.desc("at"), F.asc_nulls_last("stop")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    several = stops.unionByName(asked).withColumn("to_idx", F.last("stop", ignorenulls=True).over(passed)).where("stop is null").select("doc_id", "ord", F.col("at").alias("from_idx"), "to_idx").distinct()
     several = several.withColumn("idx", F.explode(F.sequence("from_idx", "to_idx")))
     wide = offsets.where("start < end").select("doc_id", "idx", "block_id")
     chosen = several.join(wide, ["doc_id", "idx"]).groupBy("doc_id", "ord", "block_id").agg(F.min("idx").alias("idx")).withColumn("broken", F.lit(None).cast("string"))

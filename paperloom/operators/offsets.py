@@ -1,4 +1,8 @@
-"""Concatenated text and the index of its blocks' offsets (code points)."""
+"""Concatenated text and the index of its blocks' offsets (code points).
+
+Defined results: a null text is an empty one; blocks with one ``seq`` follow each other by text, then id, in both; repeated blocks are
+blocks of their own; a point without an offset lies in no entry; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ STRETCH = 4096
 
 def concatenated(blocks: DataFrame, docs: DataFrame | None = None, separator: str = SEPARATOR) -> DataFrame:
     """``doc_id, full_text``; with ``docs``, those without blocks have an empty text."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))
     whole = blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("full_text"))
     if docs is None:
         return whole
@@ -21,9 +25,10 @@ def concatenated(blocks: DataFrame, docs: DataFrame | None = None, separator: st
 
 def offset_index(blocks: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """``doc_id, idx, start, end, block_id``: one entry for each block, half-open."""
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    so_far = F.sum((F.length("text") + len(separator)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - len(separator)
-    return blocks.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), (so_far - F.length("text")).alias("start"), so_far.alias("end"), "block_id")
+    text = F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("doc_id").orderBy("seq", text, "block_id")
+    so_far = F.sum((F.length(text) + len(separator)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - len(separator)
+    return blocks.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), (so_far - F.length(text)).alias("start"), so_far.alias("end"), "block_id")
 
 
 def index_violations(offsets: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .replies import violations
+from pyspark.sql import types as T
 
 #: What a schema may not hold at its root, the form of names, and the settings.
 COMPOSITION = ("anyOf", "oneOf", "allOf", "$ref")
@@ -54,14 +58,59 @@ def schema_problems(skills: DataFrame) -> DataFrame:
     return placed(skills).select("path", problem.alias("problem")).where("problem is not null")
 
 
-def example_problems(skills: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """``path, example_no, place``: where examples break their skill's schema. ``schemas`` are the distinct schemas by text; each is
-    compiled to columns once."""
-    rows = placed(skills).select("path", "output_schema", F.posexplode("examples").alias("example_no", "example")).withColumn("parsed", F.try_parse_json("example"))
-    paths = F.array().cast("array<string>")
-    for text, schema in schemas.items():
-        paths = F.when(F.col("output_schema") == text, violations(F.col("parsed"), schema)).otherwise(paths)
-    return rows.select("path", "example_no", F.explode(paths).alias("place"))
+#: JSON Schema types and the Python ones that JSON values of them become; whole numbers are numbers too, booleans are neither.
+PYTHON_TYPES = {"string": str, "boolean": bool, "null": type(None), "array": list, "object": dict, "integer": int, "number": (int, float)}
+_ABSENT = object()
+
+
+@functools.lru_cache(4096)
+def _schema(text: str | None) -> dict | None:
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _has_type(value: object, name: str) -> bool:
+    kind = PYTHON_TYPES.get(name, ())
+    return isinstance(value, kind) and (name == "boolean" or not isinstance(value, bool))
+
+
+def _places(value: object, schema: dict, where: str = "$") -> Iterator[str]:
+    """Where a value breaks the flat part of a JSON schema: type, enum, required, properties and items; a broken example breaks all."""
+    types = schema.get("type", ())
+    types = [types] if isinstance(types, str) else list(types)
+    wrong = bool(types) and not any(_has_type(value, t) for t in types)
+    missing = not wrong and any(not isinstance(value, dict) or name not in value for name in schema.get("required", ()))
+    if wrong or missing or "enum" in schema and value not in schema["enum"]:
+        yield where
+    for name, inner in schema.get("properties", {}).items():
+        if isinstance(value, dict) and name in value and isinstance(inner, dict):
+            yield from _places(value[name], inner, f"{where}.{name}")
+    if isinstance(value, list) and isinstance(inner := schema.get("items"), dict):
+        for i, element in enumerate(value):
+            yield from _places(element, inner, f"{where}[{i}]")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _broken(schemas: pd.Series, examples: pd.Series) -> pd.Series:
+    out = []
+    for text, example in zip(schemas, examples, strict=True):
+        try:
+            value = json.loads(example)
+        except (TypeError, ValueError):
+            value = _ABSENT
+        schema = _schema(text)
+        out.append(sorted(set(_places(value, schema))) if schema else [])
+    return pd.Series(out, dtype=object)
+
+
+def example_problems(skills: DataFrame) -> DataFrame:
+    """``path, example_no, place``: where examples break their skill's schema, whatever it is. A schema that is no JSON object breaks
+    nothing here; it is a problem of its own."""
+    rows = placed(skills).select("path", "output_schema", F.posexplode("examples").alias("example_no", "example"))
+    return rows.select("path", "example_no", F.explode(_broken("output_schema", "example")).alias("place"))
 
 
 def duplicates(skills: DataFrame) -> DataFrame:
@@ -71,19 +120,21 @@ def duplicates(skills: DataFrame) -> DataFrame:
     return rows.where("n > 1").drop("n")
 
 
-def report(problems: DataFrame) -> DataFrame:
-    """One row: how many problems there are, and whether the registry is refused. The texts stay in the table of problems, which
-    is the report; one row cannot hold those of a large registry."""
-    return problems.agg(F.count("*").alias("n_problems"), F.count_distinct("path").alias("n_files"), (F.count("*") > 0).alias("refused"))
+def report(problems: DataFrame, skills: DataFrame) -> DataFrame:
+    """One row: how many problems and files with problems there are, whether the registry is refused, and whether it has no files,
+    which is only a warning. The texts stay in the table of problems, which is the report; one row cannot hold those of a large registry."""
+    counts = problems.agg(F.count("*").alias("n_problems"), F.count_distinct("path").alias("n_files"), (F.count("*") > 0).alias("refused"), F.lit(0).alias("one"))
+    files = skills.agg((F.count("*") == 0).alias("empty"), F.lit(0).alias("one"))
+    return counts.join(files, "one").drop("one")
 
 
-def problems(skills: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def problems(skills: DataFrame) -> DataFrame:
     """All of them: ``path, problem``."""
     misplaced = skills.select("path", path_problem(F.col("path")).alias("problem")).where("problem is not null")
     return (
         misplaced.unionByName(row_problems(skills))
         .unionByName(schema_problems(skills))
-        .unionByName(example_problems(skills, schemas).select("path", F.concat(F.lit("example "), F.col("example_no").cast("string"), F.lit(": "), F.col("place")).alias("problem")))
+        .unionByName(example_problems(skills).select("path", F.concat(F.lit("example "), F.col("example_no").cast("string"), F.lit(": "), F.col("place")).alias("problem")))
         .unionByName(duplicates(skills).select("path", F.concat(F.lit("duplicate of "), F.col("kept_path")).alias("problem")))
     )
 

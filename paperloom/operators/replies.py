@@ -82,7 +82,7 @@ def judged(completions: DataFrame, schema: dict = ENVELOPE) -> DataFrame:
 def first_valid(judged_rows: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """``doc_id, attempt, cleaned, causes, code``: the first valid attempt of those allowed, or an error; and the causes in order."""
     allowed = judged_rows.where(F.col("attempt") <= max_retries + 1)
-    won = F.min_by(F.when(F.col("cause").isNull(), F.struct("attempt", "cleaned")), F.when(F.col("cause").isNull(), F.col("attempt")))
+    won = F.min(F.when(F.col("cause").isNull(), F.struct("attempt", "cleaned")))
     causes = F.array_sort(F.collect_list(F.when(F.col("cause").isNotNull(), F.struct("attempt", "cause"))))
     rows = allowed.groupBy("doc_id").agg(won.alias("won"), causes.alias("lost"))
     before = F.filter("lost", lambda x: F.col("won").isNull() | (x["attempt"] < F.col("won.attempt")))

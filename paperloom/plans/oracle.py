@@ -206,7 +206,7 @@ _SELECTS = {
     "reg_3": "SELECT path, problem FROM schema_problems",
     "reg_4": "SELECT path, example_no, place FROM example_problems",
     "reg_5": "SELECT path, kept_path FROM duplicates",
-    "reg_6": "SELECT count(*) AS n_problems, count(DISTINCT path) AS n_files, count(*) > 0 AS refused FROM problems",
+    "reg_6": "SELECT count(*) AS n_problems, count(DISTINCT path) AS n_files, count(*) > 0 AS refused, (SELECT count(*) = 0 FROM skills) AS empty FROM problems",
     "reg_7": "SELECT name, version FROM newest",
     "reg_8": "SELECT doc_id, skill_name, skill_version, version, code FROM asked",
     "reg_9": "SELECT path, coalesce(ocr, 'auto') AS ocr, coalesce(table_mode, 'accurate') AS table_mode, coalesce(ocr, 'auto') NOT IN ('auto', 'force', 'off') AS bad FROM skills",

@@ -386,13 +386,6 @@ def spn_6(s: SparkSession, d: str) -> DataFrame:
 # ---- registry
 
 
-
-def _schemas() -> dict[str, dict]:
-    import json
-
-    return {t: json.loads(t) for t in (derived.SCHEMA_DOC, derived.SCHEMA_INVOICE)}
-
-
 @query
 def reg_1(s: SparkSession, d: str) -> DataFrame:
     return derived.skills(s, d).select("path", registry.path_problem(F.col("path")).alias("problem"))
@@ -410,7 +403,7 @@ def reg_3(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def reg_4(s: SparkSession, d: str) -> DataFrame:
-    return registry.example_problems(derived.skills(s, d), _schemas())
+    return registry.example_problems(derived.skills(s, d))
 
 
 @query
@@ -420,7 +413,8 @@ def reg_5(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def reg_6(s: SparkSession, d: str) -> DataFrame:
-    return registry.report(registry.problems(derived.skills(s, d), _schemas()))
+    skills = derived.skills(s, d)
+    return registry.report(registry.problems(skills), skills)
 
 
 @query

@@ -382,3 +382,41 @@ def test_json_is_decoded_like_python(spark):
         except ValueError:
             want = None
         assert (json.loads(r["j"]) if r["j"] else None) == want, texts[r["doc_id"]]
+
+
+def test_examples_are_held_against_any_schema(spark):
+    nested = '{"type":"object","required":["a"],"properties":{"a":{"type":"array","items":{"type":["integer","null"]}},"b":{"enum":[1,"x",null]},"c":{"type":"boolean"},"n":{"type":"number"}}}'
+    cases = [
+        (nested, '{"a":[1,null,"x",true],"b":"x","c":true,"n":1}', ["$.a[2]", "$.a[3]"]),
+        (nested, '{"b":2,"c":0,"n":false}', ["$", "$.b", "$.c", "$.n"]),
+        (nested, "[]", ["$"]),
+        (nested, "{", ["$"]),
+        (nested, None, ["$"]),
+        ('{"type":"string"}', '"x"', []),
+        ('{"properties":{"a":{"type":"integer"}}}', '{"a":1.5}', ["$.a"]),
+        ("not json", "{}", []),
+        (None, "{}", []),
+    ]
+    rows = spark.createDataFrame([(f"s/{i + 1}.yaml", schema, [example]) for i, (schema, example, _) in enumerate(cases)], "path string, output_schema string, examples array<string>")
+    got = sorted((r["path"], r["example_no"], r["place"]) for r in registry.example_problems(rows).collect())
+    assert got == sorted((f"s/{i + 1}.yaml", 0, place) for i, (_, _, places) in enumerate(cases) for place in places)
+
+
+def test_an_empty_registry_is_a_warning(spark):
+    from paperloom.sources import derived
+
+    skills = derived.skills(spark, "/root/testdata/sf0.001")
+    row = registry.report(registry.problems(skills.limit(0)), skills.limit(0)).first()
+    assert (row["n_problems"], row["refused"], row["empty"]) == (0, False, True)
+    assert not registry.report(registry.problems(skills), skills).first()["empty"]
+
+
+def test_ties_and_nulls(spark):
+    rows = [(1, 0, "b", 1, "yy", BOX), (1, 0, "a", 1, "x", BOX), (1, 1, "c", 1, None, BOX), (1, 2, "d", 1, "z", BOX), (1, 2, "d", 1, "z", BOX)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, BLOCKS).repartition(parts)
+        assert offsets.concatenated(df, separator="|").first()["full_text"] == "x|yy||z|z"
+        index = [(r["start"], r["end"], r["block_id"]) for r in offsets.offset_index(df, "|").orderBy("idx").collect()]
+        assert index == [(0, 1, "a"), (2, 4, "b"), (5, 5, "c"), (6, 7, "d"), (8, 9, "d")]
+        raw = spark.createDataFrame([(1, 0, "f", "b", 1, 2, True, 1), (1, 0, "f", "a", 3, 4, True, 1), (None, 0, "f", None, None, None, True, 1)], RAW).repartition(parts)
+        assert {(r["doc_id"], r["value"]) for r in fields.first_arrival(raw).collect()} == {(1, "a"), (None, None)}
