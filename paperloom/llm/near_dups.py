@@ -41,7 +41,7 @@ SLOTS = 1 << 20
 #: Bags, or runs in all, that are sketched at once.
 GROUP, GROUP_RUNS = 512, 1 << 19
 #: Ratio of neighbouring bins of sizes.
-BIN = 1.05
+BIN = 1.1
 
 
 def _words() -> Column:
