@@ -13,6 +13,14 @@ from .queries import MAX_BYTES, MAX_PAGES, SAMPLE_PAGE
 _PAIR = "CAST(doc_id + seq AS BIGINT)"
 _EMAIL = EMAIL
 
+
+
+def _numbers(text: str) -> str:
+    """Long numbers redacted in texts without request ids. There is no look-behind: a letter after "line " makes its number a part of a word."""
+    held = f"regexp_replace({text}, 'line ([0-9])', 'line Q_\\1', 'g')"
+    return f"replace(regexp_replace({held}, '\\b([0-9]{{1,3}}([,\\s][0-9]{{3}})+(\\.[0-9]+)?|[0-9]{{4,}}(\\.[0-9]+)?)\\b', '[REDACTED_NUMBER]', 'g'), 'line Q_', 'line ')"
+
+
 CTES = {
     "lines": "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS seq, unnest(string_split(text, chr(10))) AS line FROM documents",
     "items": f"""SELECT doc_id, seq, CASE WHEN {_PAIR} % 7 = 0 THEN '' ELSE line END AS text,
@@ -177,6 +185,7 @@ _SELECTS = {
             coalesce(max(CASE WHEN b >= c0 AND b < c0 + m THEN t0 + CASE WHEN gap THEN 0 ELSE b - c0 END END), any_value(length(t))) AS e FROM h JOIN o ON o.doc_id = h.doc_id AND o.seq = h.seq GROUP BY ALL)
         SELECT v.doc_id, v.seq, CAST(f.s AS BIGINT) AS start, CAST(f.e AS BIGINT) AS "end" FROM v LEFT JOIN f ON f.doc_id = v.doc_id AND f.seq = v.seq)""",
     "out_1": "SELECT doc_id, attempt, cleaned FROM cleaned",
+    "out_2": "SELECT doc_id, attempt, CASE WHEN strpos(cleaned, '{') > 0 AND json_valid(substring(cleaned, strpos(cleaned, '{'))) THEN substring(cleaned, strpos(cleaned, '{')) END AS json FROM judged",
     "out_3": "SELECT doc_id, attempt, cause FROM judged",
     "out_4": "SELECT doc_id, attempt, coalesce(replace(cause, 'schema_violation:', ''), '') AS paths FROM judged WHERE cause IS NULL OR cause LIKE 'schema%'",
     "out_5": """SELECT j.doc_id, CAST(any_value(w.a) AS INTEGER) AS attempt, coalesce(string_agg(cause, ';' ORDER BY attempt) FILTER (cause IS NOT NULL AND (w.a IS NULL OR attempt < w.a)), '') AS causes, CASE WHEN any_value(w.a) IS NULL THEN 'STRUCTURED_OUTPUT_FAILED' END AS code
@@ -219,6 +228,9 @@ _SELECTS = {
         FROM requests WHERE length(skill_name) > 6 OR skill_version IN ('abc', '0')""",
     "log_1": "SELECT event_id, event_type AS event, '[REDACTED_EMAIL] failed on line 1234 with [REDACTED_NUMBER]' || repeat('!', 941) || '... [truncated]' AS exception, unnest(['user', 'note', 'event']) AS key, unnest([CAST(user_id AS VARCHAR), repeat('x', CAST(event_id % 700 AS INTEGER)), 'inner']) AS value FROM events",
     "log_2": "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '... [truncated]' ELSE text END) AS text_digest, '<bytes len=' || strlen(text) || ' truncated>' AS bytes FROM documents",
+    "log_4": f"SELECT doc_id, md5('line 1234: ' || {_numbers('text')}) AS digest FROM documents",
+    "log_5": f"""SELECT doc_id, md5(t) AS digest, length(t) AS n, CAST(len(regexp_extract_all(t, '\\[REDACTED_EMAIL\\]')) AS BIGINT) AS n_emails, CAST(len(regexp_extract_all(t, '\\[REDACTED_NUMBER\\]')) AS BIGINT) AS n_numbers
+        FROM (SELECT doc_id, 'X-Request-Id: ' || lpad(CAST(doc_id AS VARCHAR), 32, '1') || ' account [REDACTED_NUMBER] ' || {_numbers(f"regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g')")} AS t FROM documents)""",
     "log_3": f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g')) AS digest FROM documents",
     "log_6": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(CAST(event_id AS VARCHAR)) ELSE CASE WHEN event_id % 3 = 1 AND regexp_full_match(upper(md5(CAST(event_id AS VARCHAR))), '[a-f0-9]{32}') THEN upper(md5(CAST(event_id AS VARCHAR))) ELSE md5(event_id || ':' || event_type) END END AS request_id FROM events",
     "log_7": """SELECT status, CASE WHEN status >= 500 THEN 'warning' ELSE 'info' END AS level, count(*) AS n, CAST(sum(CAST(round_even(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total_ms FROM (
