@@ -249,6 +249,11 @@ _SELECTS = {
         list_transform(list_filter(used, lambda x: NOT list_contains(params, x)), lambda x: 'undefined_param:' || x)) END) AS problem FROM compared""",
     "con_4": "SELECT * FROM (SELECT coalesce(was.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'missing' WHEN was.path IS NULL THEN 'extra' WHEN was.text <> now.text THEN 'differs' END AS drift FROM was FULL JOIN now ON now.path = was.path) WHERE drift IS NOT NULL",
     "str_1": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_blocks FROM documents",
+    "str_2_ttl": """SELECT * FROM (WITH RECURSIVE o AS (SELECT user_id AS key, ts, event_id AS seq, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+        n AS (SELECT a.key, a.rn, min(b.rn) AS nx FROM o a JOIN o b ON b.key = a.key AND b.rn > a.rn AND b.ts >= a.ts + INTERVAL 3600 SECOND GROUP BY ALL),
+        w AS (SELECT key, rn FROM o WHERE rn = 1 UNION ALL SELECT n.key, n.nx FROM w JOIN n ON n.key = w.key AND n.rn = w.rn),
+        c AS (SELECT o.key, o.seq, o.ok, lag(o.ok) OVER (PARTITION BY o.key ORDER BY o.rn) AS prev FROM o JOIN w ON w.key = o.key AND w.rn = o.rn)
+        SELECT key, seq, CASE WHEN ok THEN 'recovered' ELSE 'became_unreachable' END AS event FROM c WHERE ok <> prev)""",
     "str_2": "SELECT key, seq, CASE WHEN ok THEN 'recovered' ELSE 'became_unreachable' END AS event FROM checks WHERE ok <> prev",
     "run": """SELECT f.doc_id, f.field_pos, f.field_name, f.status, f.source, f.grounded, b.page, b.x0, b.y0, b.x1, b.y1 FROM fields f
         LEFT JOIN (SELECT o.doc_id, o.idx, k.page, k.x0, k.y0, k.x1, k.y1 FROM line_offsets o JOIN blocks k ON k.doc_id = o.doc_id AND k.seq = o.idx WHERE o.start < o."end") b ON f.grounded AND b.doc_id = f.doc_id AND b.idx BETWEEN f.ai AND f.bi
