@@ -123,9 +123,9 @@ def duplicates(skills: DataFrame) -> DataFrame:
 def report(problems: DataFrame, skills: DataFrame) -> DataFrame:
     """One row: how many problems and files with problems there are, whether the registry is refused, and whether it has no files,
     which is only a warning. The texts stay in the table of problems, which is the report; one row cannot hold those of a large registry."""
-    counts = problems.agg(F.count("*").alias("n_problems"), F.count_distinct("path").alias("n_files"), (F.count("*") > 0).alias("refused"), F.lit(0).alias("one"))
-    files = skills.agg((F.count("*") == 0).alias("empty"), F.lit(0).alias("one"))
-    return counts.join(files, "one").drop("one")
+    both = problems.select("path", F.lit(True).alias("bad")).unionByName(skills.select("path", F.lit(False).alias("bad")))
+    n = F.count_if("bad")
+    return both.agg(n.alias("n_problems"), F.count_distinct(F.when(F.col("bad"), F.col("path"))).alias("n_files"), (n > 0).alias("refused"), (F.count_if(~F.col("bad")) == 0).alias("empty"))
 
 
 def problems(skills: DataFrame) -> DataFrame:
