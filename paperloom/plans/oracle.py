@@ -248,7 +248,7 @@ _SELECTS = {
     "con_3": """SELECT lang, key, unnest(CASE WHEN text IS NULL THEN ['missing_key'] WHEN code IS NULL THEN ['extra_key'] WHEN trim(text) = '' THEN ['empty'] ELSE list_concat(list_transform(list_filter(params, lambda x: NOT list_contains(used, x)), lambda x: 'missing_param:' || x),
         list_transform(list_filter(used, lambda x: NOT list_contains(params, x)), lambda x: 'undefined_param:' || x)) END) AS problem FROM compared""",
     "con_4": "SELECT * FROM (SELECT coalesce(was.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'missing' WHEN was.path IS NULL THEN 'extra' WHEN was.text <> now.text THEN 'differs' END AS drift FROM was FULL JOIN now ON now.path = was.path) WHERE drift IS NOT NULL",
-    "str_1": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_blocks FROM documents",
+    "str_1": "SELECT doc_id, field_pos, field_name, value, status, source, grounded, attempts FROM fields",
     "str_2_ttl": """SELECT * FROM (WITH RECURSIVE o AS (SELECT user_id AS key, ts, event_id AS seq, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
         n AS (SELECT a.key, a.rn, min(b.rn) AS nx FROM o a JOIN o b ON b.key = a.key AND b.rn > a.rn AND b.ts >= a.ts + INTERVAL 3600 SECOND GROUP BY ALL),
         w AS (SELECT key, rn FROM o WHERE rn = 1 UNION ALL SELECT n.key, n.nx FROM w JOIN n ON n.key = w.key AND n.rn = w.rn),

@@ -619,14 +619,20 @@ def con_4(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def str_1(s: SparkSession, d: str) -> DataFrame:
-    """What a stream over the documents' file counts of each document; the same as the batch query ``off_5`` on its lines."""
+    """The extraction of documents that arrive in files, two files a batch; all in all the rows of the batch query ``fld_4``."""
     from ..streaming import arrival
 
     base = f"{_shared(s)}/arrival-{uuid.uuid4().hex}"
     docs = derived.table(s, d, "documents")
-    count = lambda batch: batch.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_blocks"))
-    arrival.process(s, f"{d}/documents.parquet*", docs.schema, count, f"{base}/out", f"{base}/checkpoint")
-    return s.read.schema("doc_id long, n_blocks long").parquet(f"{base}/out/batch=*")
+    docs.repartition(4).write.parquet(f"{base}/in")
+
+    def extract(batch: DataFrame) -> DataFrame:
+        arrived = derived.Prepared(d)
+        arrived.frames = {"documents": batch}
+        return fld_4(batch.sparkSession, arrived)
+
+    arrival.process(s, f"{base}/in", docs.schema, extract, f"{base}/out", f"{base}/checkpoint", files_per_batch=2)
+    return s.read.schema(fld_4(s, d).schema).parquet(f"{base}/out/batch=*")
 
 
 @query

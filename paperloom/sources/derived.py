@@ -12,7 +12,7 @@ HEIGHT = 792.0
 
 
 class Prepared(str):
-    """A folder of tables, some of whose derived inputs (by their functions' names) were computed and written before."""
+    """A folder of tables; ``frames`` has some of them, or of the inputs derived from them (by their functions' names), in their place."""
 
     frames: dict[str, DataFrame] = {}
 
@@ -29,7 +29,8 @@ def prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frames = sf_dir.frames if isinstance(sf_dir, Prepared) else {}
+    return frames[name] if name in frames else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _mod(c: Column | str, n: int) -> Column:
