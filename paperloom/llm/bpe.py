@@ -34,6 +34,17 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _merged(token: str, vocab: dict[str, int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """What the merges make of a token's own bytes: of all listed neighbours the pair of the least rank is joined, again and again."""
+    ids = [vocab[c] for c in token]
+    while len(ids) > 1:
+        least, at = min((ranks.get(pair, len(vocab)), i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)))
+        if least == len(vocab):
+            break
+        ids[at : at + 2] = [least]
+    return ids
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -61,12 +72,11 @@ class ByteBpe:
             return False
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             return False
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        ids = np.array([model["vocab"][a + b] for a, b in pairs])
-        if not (np.diff(ids) > 0).all():  # one merge for each token, too
+        vocab = model["vocab"]
+        ranks = {(vocab[a], vocab[b]): vocab[a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
+        if not (np.diff(list(ranks.values())) > 0).all():  # one merge for each token, too
             return False
-        own = self.library.model.tokenize
-        return all(len(found := own(token)) == 1 and found[0].id == i for token, i in model["vocab"].items() if token not in added)
+        return all(_merged(token, vocab, ranks) == [i] for token, i in vocab.items() if token not in added)
 
     @property
     def library(self):
