@@ -43,11 +43,14 @@ def _is_letter() -> np.ndarray:
 
 def _signs(letters: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     """A vector of signs for each code point, from the bits of a multiplicative hash, so that every worker has the same."""
-    x = letters.astype(np.uint64)[:, None] * np.uint64(dimensions) + np.arange(dimensions, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    bits = (x ^ (x >> np.uint64(31))) & np.uint64(1)
-    return np.where(bits == 1, 1, -1).astype(np.int8)
+    out = np.empty((len(letters), dimensions), np.int8)
+    for at in range(0, len(letters), 256):
+        x = letters[at : at + 256].astype(np.uint64)[:, None] * np.uint64(dimensions) + np.arange(dimensions, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = (x ^ (x >> np.uint64(31))) & np.uint64(1)
+        out[at : at + 256] = np.where(bits == 1, 1, -1)
+    return out
 
 
 def _segments(text: str) -> Iterator[np.ndarray]:
@@ -146,7 +149,7 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = 1) -> P
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
                 held = totals.setdefault(lang, np.zeros((1, dimensions)))
-                for rows, parts in _groups(texts.tolist(), 4 * GROUP_CHARS):
+                for rows, parts in _groups(texts.tolist(), GROUP_CHARS):
                     _added(held, [0] * len(rows), parts, seed)
             if len(totals) > 256:  # bounds what a task holds
                 yield from listed(totals)
