@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
-from .common import text_or_empty, written
+from .common import discard, text_or_empty, written
 from .components import components
 
 THRESHOLD = 0.8
@@ -167,7 +167,9 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
     a, b = found.alias("a"), found.alias("b")
     meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
     apart = (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    return a.join(b, meet & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    pairs = a.join(b, meet & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    pairs.read_from = [rows, found]
+    return pairs
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS) -> DataFrame:
@@ -198,7 +200,9 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS)
     marked = buckets.join(joined, "node", "left").select("bucket", "node", own_or)
     still = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     members = written(marked.join(still, "bucket").select("node", "component").distinct(), "open")
-    more = written(_verified(_prefix_pairs(members, texts, threshold, slots), texts, threshold), "more")
+    pairs = _prefix_pairs(members, texts, threshold, slots)
+    more = written(_verified(pairs, texts, threshold), "more")
+    discard(sizes, buckets, texts, ranked, stars, members, *pairs.read_from)
     whole = components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     every = links.unionByName(more)
@@ -207,7 +211,9 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS)
     named = written(nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     ids = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "ids")
     labels = named.join(ids, "component").join(linked, "node", "left").select("digest", "component", "class_id", F.when(F.col("copies") > 1, F.least("least", "to_id")).otherwise(F.col("to_id")).alias("linked_to"))
-    return sketch.select("doc_id", "digest").join(written(labels, "labels"), "digest")
+    labels = written(labels, "labels")
+    discard(nodes, links, more, named, ids)
+    return sketch.select("doc_id", "digest").join(labels, "digest")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
