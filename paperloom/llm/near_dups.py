@@ -38,8 +38,8 @@ from .components import components
 THRESHOLD = 0.8
 #: Counters of the filter that orders runs by how many bags hold them.
 SLOTS = 1 << 20
-#: Bags, or runs in all, that are sketched at once.
-GROUP, GROUP_RUNS = 512, 1 << 19
+#: Bags, or runs in all, that are sketched at once, and prefix rows that are handed on at once.
+GROUP, GROUP_RUNS, PLACED = 512, 1 << 19, 1 << 18
 #: Ratio of neighbouring bins of sizes.
 BIN = 1.1
 
@@ -140,8 +140,9 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["node", "component", "run", "own", "other"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        parts: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in names]
             for node, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs = _runs(text)
                 n = len(runs)
@@ -160,8 +161,12 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
                 at, other = at[several], other[several]
                 for c, x in zip(parts, (np.full(len(at), node), np.full(len(at), component), runs[at].astype(np.int64), np.full(len(at), bin_of(n)), other), strict=True):
                     c.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(parts, kinds, strict=True)], names)
+                size += len(at)
+                if size > PLACED:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(parts, kinds, strict=True)], names)
+                    parts, size = [[] for _ in names], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(parts, kinds, strict=True)], names)
 
     found = written(rows.mapInArrow(placed, "node long, component long, run long, own int, other int"), "prefixes")
     a, b = found.alias("a"), found.alias("b")

@@ -47,6 +47,8 @@ LENGTH, WORDS = 400, 51
 BLOCK = 16
 #: Bytes, and words, of a text that are fingerprinted at once.
 SEGMENT, WORD_SEGMENT = 1 << 18, 1 << 15
+#: Rows of blocks that a task holds before it hands them on.
+HELD = 1 << 15
 
 
 class Prints:
@@ -173,6 +175,9 @@ def _rounds(runs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
                 for run in marks:
                     if not run["goes_on"]:
                         continue
+                    if len(out) > HELD:
+                        yield _batch(out, schema)
+                        out = []
                     at, first, last = run["anchor"], run["first"], run["last"]
                     for b in range(last // BLOCK * BLOCK, first + 1, BLOCK):
                         low, high, begin = max(b, last), min(b + BLOCK - 1, first), at - b
