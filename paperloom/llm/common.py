@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: What a batch of rows for a Python function holds at most; a single longer row is a batch of its own.
-BATCH_BYTES, BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 DEFAULT_BATCH = "67108864b"
 
 

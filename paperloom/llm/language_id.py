@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Characters, texts and trigrams that are looked at at once.
-GROUP_CHARS, GROUP_TEXTS, PART = 1 << 19, 128, 4096
+GROUP_CHARS, GROUP_TEXTS, PART = 1 << 19, 128, 2048
 #: Counts of up to so many possible trigrams are kept in a table, of more by sorting; results are equal.
 DENSE = 1 << 18
 

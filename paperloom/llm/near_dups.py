@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 #: Counters of the filter that orders runs by how many bags hold them.
 SLOTS = 1 << 20
 #: Bags, or runs in all, that are sketched at once, and prefix rows that are handed on at once.
-GROUP, GROUP_RUNS, PLACED = 512, 1 << 19, 1 << 18
+GROUP, GROUP_RUNS, PLACED = 256, 1 << 18, 1 << 18
 #: Ratio of neighbouring bins of sizes.
 BIN = 1.1
 
