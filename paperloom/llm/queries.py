@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import token_shards
 from .chat import format_pairs, neighbour_pairs
 from .common import new_path, table
 from .decontaminate import leaks
+from .fill_in_middle import digests
 from .fingerprints import edited_pairs
+from .hard_negatives import hard_negatives
 from .language_id import identify
 from .near_dups import classes
 from .oracle import ORACLE_SQL
@@ -62,6 +65,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), new_path(spark, "shards"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_wavelet_token_shards": op12_wavelet_token_shards,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
