@@ -1,8 +1,10 @@
 """Byte-level BPE ids as the tokenizers library gives them.
 
 The vocabulary is read from the tokenizer's .json. Encoding goes through tiktoken, which merges the same pairs several times
-faster, where the file proves that both agree; any other file, and any text at which tiktoken gives up, is encoded by tokenizers
-itself. Added tokens inside texts are single ids, as is that library's default.
+faster, where the file proves that both agree; any other file is encoded by tokenizers itself. Added tokens inside texts are single
+ids, as is that library's default. A long run of white space is one word but for its last character, if something else stands behind
+it; such words are merged by themselves, as the regular expression that cuts texts gives up on them. Should it give up on anything
+else, tokenizers encodes that text.
 
 The proof: the plain byte-level pre-tokenizer cuts words alike. Within a word the library applies the listed merge of the least
 rank; tiktoken joins whatever neighbours make the token of the least id. With one merge for each token and ids in the order of
@@ -25,6 +27,11 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where a word of the pre-tokenizer always ends, whatever stands around: behind letters, digits, and signs before white space.
 SAFE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=\s)")
 LETTERS = regex.compile(r"\p{L}{2}")
+#: Runs of white space that are encoded apart.
+RUN = 1 << 14
+BLANK = regex.compile(rf"\s{{{RUN},}}")
+#: How tiktoken's regular expressions give up on some endless runs.
+GIVES_UP = ("PanicException", "ValueError")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -88,27 +95,40 @@ class ByteBpe:
             self._library.no_truncation()
         return self._library
 
-    def encode(self, text: str) -> np.ndarray:
-        if self._fast is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _library_ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _plain(self, text: str) -> np.ndarray:
         special = self._fast.special_tokens_set if self._added and self._added.search(text) else set()
         try:
             return self._fast.encode_to_numpy(text, allowed_special=special, disallowed_special=())
         except BaseException as e:
-            if type(e).__name__ != "PanicException":  # how its regular expressions give up on some endless runs
+            if type(e).__name__ not in GIVES_UP:
                 raise
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self._library_ids(text)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self._fast is None:
+            return self._library_ids(text)
+        parts, at = [], 0
+        for m in BLANK.finditer(text) if len(text) >= RUN else ():
+            start, end = m.span()
+            if end < len(text) and not (self._added and self._added.match(text, end)):
+                end -= 1
+            parts += [self._plain(text[at:start]), np.array(self._fast._encode_single_piece(text[start:end]), np.uint32)]
+            at = end
+        return np.concatenate([*parts, self._plain(text[at:])]) if parts else self._plain(text)
 
     def lengths(self, texts: list[str]) -> list[int]:
-        """How many ids each text has, by one batch call; texts with added tokens are encoded one by one."""
+        """How many ids each text has, by one batch call; texts with added tokens or long runs are encoded one by one."""
         if self._fast is None:
             return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        plain = [not (self._added and self._added.search(t)) for t in texts]
+        plain = [not (self._added and self._added.search(t)) and not (len(t) >= RUN and BLANK.search(t)) for t in texts]
         try:
             found = map(len, self._fast.encode_ordinary_batch([t for t, ok in zip(texts, plain, strict=True) if ok], num_threads=1))
             return [next(found) if ok else len(self.encode(t)) for t, ok in zip(texts, plain, strict=True)]
         except BaseException as e:
-            if type(e).__name__ != "PanicException":
+            if type(e).__name__ not in GIVES_UP:
                 raise
             return [len(self.encode(t)) for t in texts]
 

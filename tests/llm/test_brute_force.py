@@ -71,6 +71,39 @@ def test_pieces_end_at_safe_boundaries():
     assert max(map(len, bpe.pieces("漢字仮名交文" * 3_000, 500))) <= 1_000 and max(map(len, bpe.pieces("日本語の文章。\n" * 900, 500))) <= 1_000
 
 
+ENDLESS = [c * n for c, n in ((" ", 2_000_000), ("\n", 2_000_000), ("x", 2_000_000), ("\t ", 100_000), ("\u3000", 100_000), ("!", 100_000), ("7", 100_000), ("漢", 100_000))]
+
+
+@pytest.mark.parametrize("run", ENDLESS, ids=[repr(r[:2]) for r in ENDLESS])
+def test_endless_runs(run):
+    bpe, library = load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for text in (run, f"some words{run}behind"):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(text).tolist() == ids
+        assert bpe.encode_long(text, 1 << 15).tolist() == ids
+        assert sum(bpe.lengths(bpe.pieces(text, 1 << 15))) == len(ids)
+
+
+def test_runs_and_what_stands_around():
+    bpe, library = load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for blank in (" " * 20_000, "\n" * 20_000, "\r\n\t \x0b\x85\u2003" * 3_000):
+        for before in ("", "a", "!", "7 ", "<|endoftext|>", "\x1c"):
+            for after in ("", "a", " a", "!", "'s", "\u0301", "<|endoftext|>", "<|endof", "\x1f\x1e", blank[:9_000] + "x" + blank):
+                text = before + blank + after
+                ids = library.encode(text, add_special_tokens=False).ids
+                assert bpe.encode(text).tolist() == ids, (blank[:3], before, after)
+                assert bpe.encode_long(text, 500).tolist() == ids, (blank[:3], before, after)
+
+
+def test_endless_runs_in_jobs(spark):
+    docs = [(i, r) for i, r in enumerate([*ENDLESS[:4], f"words{ENDLESS[1]}behind", "short"])]
+    ids = {d: [*reference_ids(t), 0] for d, t in docs}
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in token_counts.token_counts(frame(spark, docs), TOKENIZER).collect()} == {d: len(x) for d, x in ids.items()}
+    pieces = packing.pack_documents(frame(spark, docs), TOKENIZER).collect()
+    assert {(r["doc_id"], r["start"]): r["ids_crc32"] for r in pieces} == {(r["doc_id"], r["start"]): zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in pieces}
+    assert sum(r["length"] for r in pieces) == sum(map(len, ids.values()))
+
+
 def test_other_tokenizers_go_through_the_library():
     bpe = load(public_tokenizers.path("word_bpe_49k.json"))
     assert bpe._fast is None
