@@ -14,10 +14,10 @@ from __future__ import annotations
 import functools
 import json
 import struct
-import zlib
 from typing import BinaryIO
 
 import numpy as np
+import zstandard
 
 MAGIC = b"WAVELET1"
 #: Bytes, and bits, of a plane that are compressed together.
@@ -26,10 +26,17 @@ BITS = 8 * CHUNK
 TAIL = struct.Struct("<Q8s")
 
 
+def _kind(levels: int) -> type:
+    """The narrowest type for ids of so many bits."""
+    return np.uint16 if levels <= 16 else np.uint32
+
+
 def planes(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     """The planes of ``ids``, as bytes of packed bits, and how many zeros each has."""
     out, zeros = [], []
-    for bit in reversed(range(int(ids.max()).bit_length() if len(ids) else 0)):
+    levels = int(ids.max()).bit_length() if len(ids) else 0
+    ids = ids.astype(_kind(levels), copy=False)
+    for bit in reversed(range(levels)):
         ones = (ids >> ids.dtype.type(bit) & ids.dtype.type(1)).astype(bool)
         out.append(np.packbits(ones, bitorder="little"))
         ids = np.concatenate((ids[~ones], ids[ones]))
@@ -39,11 +46,11 @@ def planes(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
 
 def write(out: BinaryIO, ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> int:
     """Write a shard of documents' ``ids``, one document after the other; returns the bytes written."""
-    at = out.write(MAGIC)
+    at, compress = out.write(MAGIC), zstandard.ZstdCompressor(3).compress
 
     def put(data: bytes) -> tuple[int, int]:
         nonlocal at
-        start, packed = at, zlib.compress(data, 6)
+        start, packed = at, compress(data)
         at += out.write(packed)
         return start, len(packed)
 
@@ -72,10 +79,10 @@ class Shard:
         size, magic = TAIL.unpack(self._read(end - TAIL.size, TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        spec = json.loads(zlib.decompress(self._read(end - TAIL.size - size, size)))
+        spec = json.loads(self._inflated(end - TAIL.size - size, size))
         self.n, self.zeros, self.planes = spec["n"], spec["zeros"], spec["planes"]
         self.levels = len(self.planes)
-        ids, known, lengths = (zlib.decompress(self._read(*x)) for x in spec["docs"])
+        ids, known, lengths = (self._inflated(*x) for x in spec["docs"])
         self.lengths = np.frombuffer(lengths, "<i8")
         self.docs = [d if k else None for d, k in zip(np.frombuffer(ids, "<i8").tolist(), known, strict=True)]
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -86,9 +93,12 @@ class Shard:
         self.file.seek(start)
         return self.file.read(size)
 
+    def _inflated(self, start: int, size: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._read(start, size))
+
     def _raw(self, level: int, chunk: int) -> np.ndarray:
         start, size, _ = self.planes[level][chunk]
-        return np.frombuffer(zlib.decompress(self._read(start, size)), np.uint8)
+        return np.frombuffer(self._inflated(start, size), np.uint8)
 
     def _chunk(self, level: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of 64 bits of a chunk, one more than it has, and the ones before each."""
@@ -160,12 +170,13 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids: what the last plane has in its order is dealt back to the order of the plane above, again and again."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = _kind(self.levels)
+        ids = np.zeros(self.n, kind)
         for level in reversed(range(self.levels)):
             raw = np.concatenate([self._raw(level, c) for c in range(len(self.planes[level]))])
             ones = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
-            above, bit = np.empty_like(ids), np.uint32(1 << (self.levels - 1 - level))
+            above, bit = np.empty_like(ids), kind(1 << (self.levels - 1 - level))
             above[~ones] = ids[: self.zeros[level]]
             above[ones] = ids[self.zeros[level] :] | bit
             ids = above
-        return ids
+        return ids.astype(np.uint32, copy=False)
