@@ -3,13 +3,14 @@
 Base kinds are ``assign`` (a key word, a sign and a value), ``access`` (access keys) and ``hex`` (long hexadecimal runs). The
 entropy kind takes candidate strings (long runs of letters, digits and a few signs), places each in the narrowest character class
 that holds it, slides a window of ``WINDOW`` characters over it and flags the candidate if the entropy within some window reaches
-the threshold of its class. The counts of the window change by one character out and one in; what they add up to, the sum of
-c log2 c, is kept in whole millionths, so that no rounding depends on the order of steps. Candidates that the allow list names,
-or that overlap a base span, are left out of the list; base spans always stay. Redaction also takes candidates that overlap a base
-span, if they are suspect as a whole or in a part that base spans leave over.
+the threshold of its class. The counts of the window, fields of ``FIELD`` bits in a few numbers, change by one character out and one
+in; what they add up to, the sum of c log2 c, is kept in whole millionths, so that no rounding depends on the order of steps.
 
-Every row is judged by itself: no shuffle. Work is in proportion to a text's length, however many spans it holds: whether a
-candidate overlaps a base span is seen from a copy of the text in which base spans are blank.
+Base spans always stay. Suspect candidates that the allow list does not name are added to them, those aside that base spans cover
+whole; so are suspect parts that base spans leave over of other candidates. Redaction removes what is listed.
+
+Every row is judged by itself: no shuffle. Work is in proportion to a text's length, however many spans it holds: what base spans
+leave of a candidate is seen from a copy of the text in which they are blank.
 
 Defined results: a null text is an empty one, without spans, and stays null in redaction; repeated rows give repeated rows; an empty
 table gives none; spans are in order of start, then kind; other columns are ignored by ``scan`` and kept, whatever their names, by
@@ -36,6 +37,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Bits of a count, and counts in a number of 64 bits.
+FIELD, FIELDS = 5, 12
 #: Character classes, narrowest first, and the bits a character from which a window is suspect.
 CLASSES = (("[0-9a-f]+|[0-9A-F]+", 3.0), ("[a-z0-9]+|[A-Z0-9]+", 3.5), ("[A-Za-z0-9]+", 3.7), (".+", 3.8))
 #: A change of case as words seldom have: one small letter between capitals, or a capital behind a small letter and before none.
@@ -54,29 +57,28 @@ def _suspect(candidate: Column) -> Column:
         bits = F.when(full(pattern), F.lit(least)).otherwise(bits)
     # H = log2(WINDOW) - sum / WINDOW, so H >= bits means sum <= WINDOW * (log2(WINDOW) - bits)
     most = F.floor((F.lit(math.log2(WINDOW)) - bits) * (WINDOW * 1_000_000))
-    weights = F.array(*map(F.lit, WEIGHTS))
-    counted = lambda counts, place, by: F.transform(counts, lambda n, i: F.when(i == place, n + by).otherwise(n))
+    numbers = -(-len(SYMBOLS) // FIELDS)
+    bits_of = lambda place: (place % FIELDS * FIELD).cast("int")
+    one = lambda place, i: F.when(i == F.floor(place / FIELDS), F.call_function("shiftleft", F.lit(1).cast("long"), bits_of(place))).otherwise(F.lit(0).cast("long"))
+    count = lambda counts, place: F.call_function("shiftright", counts[F.floor(place / FIELDS).cast("int")], bits_of(place)).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")
 
     def slid(places: Column, weight: Column) -> Column:
-        first = F.slice(places, 1, WINDOW)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(len(SYMBOLS) - 1)), lambda s: F.size(F.filter(first, lambda p: p == s)))
-        begun = let(counts, lambda c: F.struct(c.alias("counts"), F.aggregate(c, F.lit(0), lambda acc, n: acc + weight[n]).alias("sum")))
-        start = let(begun, lambda b: F.struct(b["counts"].alias("counts"), b["sum"].alias("sum"), b["sum"].alias("least")))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"))
 
         def step(state: Column, i: Column) -> Column:
-            leaving, coming = places[i - WINDOW], places[i]
-
-            def moved(counts: Column) -> Column:
-                out, into = counts[leaving], counts[coming]
-                total = state["sum"] + weight[out - 1] - weight[out] + weight[into + 1] - weight[into]
-                return let(total, lambda t: F.struct(counted(counted(counts, leaving, -1), coming, 1).alias("counts"), t.alias("sum"), F.least(state["least"], t).alias("least")))
+            coming, full = places[i], i >= WINDOW
+            leaving = F.when(full, F.get(places, i - WINDOW))
 
-            return F.when(leaving == coming, state).otherwise(let(state["counts"], moved))
+            out, into = count(state["counts"], leaving), count(state["counts"], coming)
+            less = F.when(full, weight[out - 1] - weight[out]).otherwise(F.lit(0))
+            counts = F.transform(state["counts"], lambda n, k: n + one(coming, k) - F.when(full, one(leaving, k)).otherwise(F.lit(0).cast("long")))
+            moved = lambda t: F.struct(counts.alias("counts"), t.alias("sum"), F.when(i >= WINDOW - 1, F.least(state["least"], t)).otherwise(state["least"]).alias("least"))
+            return F.when(full & (leaving == coming), state).otherwise(let(state["sum"] + less + weight[into + 1] - weight[into], moved))
 
-        rest = F.when(F.size(places) > WINDOW, F.sequence(F.lit(WINDOW), F.size(places) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(rest, start, step, lambda state: state["least"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda state: state["least"])
 
     places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    weights = F.array(*map(F.lit, WEIGHTS))
     return let(weights, lambda w: let(F.filter(places, lambda p: p >= 0), lambda at: slid(at, w))) <= most
 
 
@@ -104,23 +106,18 @@ def blanked(text: Column, base: Column, blank: str) -> Column:
     return replaced(text, base, lambda size: F.repeat(F.lit(blank), size))
 
 
-def overlapping_spans(text: Column, base: Column) -> Column:
-    """Suspect candidates that overlap a base span, and suspect parts that base spans leave of candidates; others may be among them."""
-    return F.when(F.size(base) > 0, F.concat(_suspects(text), let(blanked(text, base, " "), _suspects))).otherwise(F.slice(base, 1, 0))
-
-
-def entropy_spans(text: Column, base: Column) -> Column:
-    """Suspect candidates that overlap no base span."""
-    likely = F.filter(matches(text, CANDIDATE), lambda m: ~_allowed(m["found"]))
-    apart = lambda chunks: F.filter(likely, lambda m: part(chunks, m["start"], m["end"] - m["start"]) == m["found"])
-    free = F.when(F.size(base) > 0, let(chunked(blanked(text, base, " ")), apart)).otherwise(likely)
-    return _kind(F.filter(free, lambda m: _suspect(m["found"])), 3)
-
-
 def with_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` with a column ``text``, none of it null, and ``base`` and ``spans``: arrays of start, kind (its place in ``KINDS``), end."""
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base")))))
+    """``rows`` with a column ``text``, none of it null, and ``base`` and ``spans``: arrays of start, kind (its place in ``KINDS``), end.
+
+    To the base spans come suspect candidates that they do not cover, and suspect parts that they leave of other candidates."""
+    text, base, whole, some = F.col("text"), F.col("base"), F.col("whole"), F.size("base") > 0
+    rows = rows.withColumn("base", base_spans(text)).withColumn("whole", _suspects(text))
+    rows = rows.withColumn("without_base", F.when(some & (F.size(whole) > 0), chunked(blanked(text, base, " "))))
+    rows = rows.withColumn("without_both", F.when(some, blanked(text, F.array_sort(F.concat(base, whole)), " ")))
+    uncovered = F.filter(whole, lambda m: part(F.col("without_base"), m["start"], m["end"] - m["start"]).rlike("[^ ]"))
+    rows = rows.withColumn("parts", F.when(some, _suspects(F.col("without_both"))))
+    more = F.when(some, F.concat(F.when(F.size(whole) > 0, uncovered).otherwise(whole), "parts")).otherwise(whole)
+    return rows.withColumn("spans", F.array_sort(F.concat(base, more))).drop("whole", "without_base", "without_both", "parts")
 
 
 def listed(spans: Column) -> Column:
@@ -138,6 +135,5 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, of ``text`` replaced by ``mark``; null texts stay null."""
     rows = with_spans(docs.select(F.struct("*").alias("row"), text_or_empty().alias("text")))
-    rows = rows.withColumn("spans", F.array_sort(F.concat("spans", overlapping_spans(F.col("text"), F.col("base")))))
     changed = F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), lambda _: F.lit(mark))).otherwise(F.col("row.text"))
     return rows.select(F.col("row").withField("text", changed).alias("row")).select("row.*")
