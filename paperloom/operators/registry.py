@@ -1,20 +1,67 @@
-"""The registry of skills: checks that report all problems, and lookups."""
+"""The registry of skills: what files say, checks that report all problems, and lookups.
+
+A registry table has a row for each file: ``path``, ``name, version, description, prompt, examples`` (input, output as JSON),
+``output_schema`` (JSON, its keys in the file's order), ``ocr, table_mode``, and ``shape``, what is wrong with the file as a whole.
+
+Defined results: what a file does not have, or has in another kind, is null and in ``shape``; checks of single values say nothing of
+nulls; of files with one name and version the first in order of path stays; repeated rows are files of their own, all but the first
+duplicates; a null path is stray; no files give no rows, and a report that the registry is empty.
+"""
 
 from __future__ import annotations
 
-import functools
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.values import elements, json_kind
+from .json_schema import levels_of, most_levels, with_violations
 
 #: What a schema may not hold at its root, the form of names, and the settings.
 COMPOSITION = ("anyOf", "oneOf", "allOf", "$ref")
 SLUG = r"^[a-z0-9][a-z0-9_\-]*$"
 OCR, TABLE_MODES = ("auto", "force", "off"), ("fast", "accurate")
+#: What a file must be; other keys are refused.
+_TEXT, _OPTIONAL = {"type": "string"}, {"type": ["string", "null"]}
+_EXAMPLE = {"type": "object", "required": ["input", "output"], "additionalProperties": False, "properties": {"input": _TEXT, "output": {"type": "object"}}}
+_SETTINGS = {"type": ["object", "null"], "additionalProperties": False, "properties": {"ocr": _OPTIONAL, "table_mode": _OPTIONAL}}
+FILE = json.dumps({
+    "type": "object",
+    "required": ["name", "version", "prompt", "examples", "output_schema"],
+    "additionalProperties": False,
+    "properties": {
+        "name": _TEXT,
+        "version": {"type": "integer", "minimum": -(2**31), "maximum": 2**31 - 1},
+        "description": _OPTIONAL,
+        "prompt": _TEXT,
+        "examples": {"type": "array", "items": _EXAMPLE},
+        "output_schema": {"type": "object"},
+        "docling": _SETTINGS,
+    },
+})
+
+
+def from_files(files: DataFrame) -> DataFrame:
+    """The registry table of ``files`` (path, text). Broken JSON, with repeated keys or none, is a file of nulls."""
+    rows = files.select("path", "text", F.try_parse_json("text").alias("body"))
+    rows = with_violations(rows, F.col("body"), F.parse_json(F.lit(FILE)), levels_of(FILE), "shape")
+    at = lambda place, kind="variant": F.try_variant_get("body", f"$.{place}", kind)
+    text = lambda place: F.when(json_kind(at(place)) == "string", at(place, "string"))
+    part = lambda e, name: F.try_variant_get(e, f"$.{name}", "variant")
+    example = lambda e: F.struct(F.when(json_kind(part(e, "input")) == "string", F.try_variant_get(e, "$.input", "string")).alias("input"), F.to_json(part(e, "output")).alias("output"))
+    return rows.select(
+        "path",
+        text("name").alias("name"),
+        F.when(json_kind(at("version")) == "integer", at("version", "int")).alias("version"),
+        text("description").alias("description"),
+        text("prompt").alias("prompt"),
+        F.transform(elements(at("examples")), example).alias("examples"),
+        F.when(json_kind(at("output_schema")) == "object", F.get_json_object("text", "$.output_schema")).alias("output_schema"),
+        text("docling.ocr").alias("ocr"),
+        text("docling.table_mode").alias("table_mode"),
+        "shape",
+    )
 
 
 def _listed(*problems: Column) -> Column:
@@ -23,7 +70,7 @@ def _listed(*problems: Column) -> Column:
 
 def path_problem(path: Column) -> Column:
     """Null for ``<name>/<stem>.yaml``."""
-    return F.when(path.endswith(".yml"), "bad_extension").when(~path.rlike(r"^[^/]+/[^/]+\.yaml$"), "stray")
+    return F.when(path.endswith(".yml"), "bad_extension").when(~F.coalesce(path.rlike(r"^[^/]+/[^/]+\.yaml$"), F.lit(False)), "stray")
 
 
 def placed(skills: DataFrame) -> DataFrame:
@@ -31,7 +78,7 @@ def placed(skills: DataFrame) -> DataFrame:
 
 
 def row_problems(skills: DataFrame) -> DataFrame:
-    """``path, problem`` of well-placed files: rules of single rows."""
+    """``path, problem`` of well-placed files: what is wrong with their shape, as place: rule, and rules of single values."""
     stem, folder = F.regexp_extract("path", r"([^/]+)\.yaml$", 1), F.regexp_extract("path", "^([^/]+)/", 1)
     number = F.when(stem.rlike("^[+-]?[0-9]+$"), stem.try_cast("int"))
     problems = _listed(
@@ -42,9 +89,9 @@ def row_problems(skills: DataFrame) -> DataFrame:
         F.when(number.isNull(), "stem_not_an_integer"),
         F.when(number != F.col("version"), "stem_is_not_version"),
         F.when(folder != F.col("name"), "folder_is_not_name"),
-        F.when(F.col("unknown_keys") != "", "unknown_keys"),
     )
-    return placed(skills).select("path", F.explode(problems).alias("problem"))
+    shape = F.transform("shape", lambda v: F.concat(v["place"], F.lit(": "), v["rule"]))
+    return placed(skills).select("path", F.explode(F.concat(shape, problems)).alias("problem"))
 
 
 def schema_problems(skills: DataFrame) -> DataFrame:
@@ -55,68 +102,22 @@ def schema_problems(skills: DataFrame) -> DataFrame:
     permits = kind.isNull() | (kind == "object") | (kind.startswith("[") & F.coalesce(F.array_contains(F.from_json(kind, "array<string>"), "object"), F.lit(False)))
     declared = F.coalesce(F.size(F.json_object_keys(F.get_json_object(schema, "$.properties"))), F.lit(0))
     problem = F.when(F.size(used) > 0, F.concat(F.lit("composition:"), F.array_join(used, ","))).when(permits & (declared <= 0), "no_properties")
-    return placed(skills).select("path", problem.alias("problem")).where("problem is not null")
-
-
-#: JSON Schema types and the Python ones that JSON values of them become; whole numbers are numbers too, booleans are neither.
-PYTHON_TYPES = {"string": str, "boolean": bool, "null": type(None), "array": list, "object": dict, "integer": int, "number": (int, float)}
-_ABSENT = object()
-
-
-@functools.lru_cache(4096)
-def _schema(text: str | None) -> dict | None:
-    try:
-        found = json.loads(text or "")
-    except ValueError:
-        return None
-    return found if isinstance(found, dict) else None
-
-
-def _has_type(value: object, name: str) -> bool:
-    kind = PYTHON_TYPES.get(name, ())
-    return isinstance(value, kind) and (name == "boolean" or not isinstance(value, bool))
-
-
-def _places(value: object, schema: dict, where: str = "$") -> Iterator[str]:
-    """Where a value breaks the flat part of a JSON schema: type, enum, required, properties and items; a broken example breaks all."""
-    types = schema.get("type", ())
-    types = [types] if isinstance(types, str) else list(types)
-    wrong = bool(types) and not any(_has_type(value, t) for t in types)
-    missing = not wrong and any(not isinstance(value, dict) or name not in value for name in schema.get("required", ()))
-    if wrong or missing or "enum" in schema and value not in schema["enum"]:
-        yield where
-    for name, inner in schema.get("properties", {}).items():
-        if isinstance(value, dict) and name in value and isinstance(inner, dict):
-            yield from _places(value[name], inner, f"{where}.{name}")
-    if isinstance(value, list) and isinstance(inner := schema.get("items"), dict):
-        for i, element in enumerate(value):
-            yield from _places(element, inner, f"{where}[{i}]")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _broken(schemas: pd.Series, examples: pd.Series) -> pd.Series:
-    out = []
-    for text, example in zip(schemas, examples, strict=True):
-        try:
-            value = json.loads(example)
-        except (TypeError, ValueError):
-            value = _ABSENT
-        schema = _schema(text)
-        out.append(sorted(set(_places(value, schema))) if schema else [])
-    return pd.Series(out, dtype=object)
+    return placed(skills).where("output_schema is not null").select("path", problem.alias("problem")).where("problem is not null")
 
 
 def example_problems(skills: DataFrame) -> DataFrame:
-    """``path, example_no, place``: where examples break their skill's schema, whatever it is. A schema that is no JSON object breaks
-    nothing here; it is a problem of its own."""
+    """``path, example_no, place, rule``: where examples break their skill's schema, whatever it is. A schema that is no JSON object
+    breaks nothing here; it is a problem of its own."""
+    levels = most_levels(skills, "output_schema")
     rows = placed(skills).select("path", "output_schema", F.posexplode("examples").alias("example_no", "example"))
-    return rows.select("path", "example_no", F.explode(_broken("output_schema", "example")).alias("place"))
+    rows = with_violations(rows, F.try_parse_json("example.output"), F.try_parse_json("output_schema"), levels)
+    return rows.select("path", "example_no", F.inline("violations"))
 
 
 def duplicates(skills: DataFrame) -> DataFrame:
     """``path, kept_path``: files that repeat the name and version of one before them in order of path."""
     order = Window.partitionBy("name", "version").orderBy("path")
-    rows = placed(skills).select("path", F.first("path").over(order).alias("kept_path"), F.row_number().over(order).alias("n"))
+    rows = placed(skills).where("name is not null and version is not null").select("path", F.first("path").over(order).alias("kept_path"), F.row_number().over(order).alias("n"))
     return rows.where("n > 1").drop("n")
 
 
@@ -134,7 +135,7 @@ def problems(skills: DataFrame) -> DataFrame:
     return (
         misplaced.unionByName(row_problems(skills))
         .unionByName(schema_problems(skills))
-        .unionByName(example_problems(skills).select("path", F.concat(F.lit("example "), F.col("example_no").cast("string"), F.lit(": "), F.col("place")).alias("problem")))
+        .unionByName(example_problems(skills).select("path", F.concat(F.lit("example "), F.col("example_no").cast("string"), F.lit(": "), F.col("place"), F.lit(": "), F.col("rule")).alias("problem")))
         .unionByName(duplicates(skills).select("path", F.concat(F.lit("duplicate of "), F.col("kept_path")).alias("problem")))
     )
 

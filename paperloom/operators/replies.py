@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
+from ..functions.values import json_kind
+from . import json_schema
 
 MAX_RETRIES = 3
 #: The envelope that every reply must be.
@@ -22,9 +24,6 @@ REPLY_IS = "\n\nThe previous response was not valid JSON matching the required s
 FAILED_AS = "\n\nValidation failure:\n"
 SCHEMA_IS = "\n\nExpected schema:\n"
 ONLY_JSON = "\n\nReturn only a valid JSON object matching the schema. Do not include any commentary, markdown fences, or surrounding prose."
-#: JSON Schema types and what ``schema_of_variant`` calls them.
-TYPES = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY", "object": "OBJECT", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT"}
-
 
 def clean(raw: Column) -> Column:
     """Without surrounding whitespace and without one code fence at either end."""
@@ -38,45 +37,23 @@ def parse(cleaned: Column) -> Column:
     return F.try_parse_json(F.when(at > 0, F.substring(cleaned, at, F.length(cleaned))))
 
 
-def _is(value: Column, types: list[str]) -> Column:
-    pattern = "|".join(TYPES[t] for t in types)
-    return F.schema_of_variant(value).rlike(f"^({pattern})")
-
-
-def violations(value: Column, schema: dict, path: str = "$") -> Column:
-    """Paths at which a variant breaks a flat JSON schema (type, required, enum, properties), sorted and distinct."""
-    rules: list[Column] = []
-
-    def walk(at: Column, spec: dict, where: str, present: Column) -> None:
-        wrong = F.lit(False)
-        if "type" in spec:
-            types = [spec["type"]] if isinstance(spec["type"], str) else list(spec["type"])
-            wrong = ~F.coalesce(_is(at, types), F.lit(False))
-        rules.append(F.when(present & wrong, F.lit(where)))
-        if "enum" in spec:
-            rules.append(F.when(present & ~F.coalesce(F.to_json(at).isin([json.dumps(v) for v in spec["enum"]]), F.lit(False)), F.lit(where)))
-        for name in spec.get("required", ()):
-            rules.append(F.when(present & ~wrong & F.variant_get(at, f"$.{name}", "variant").isNull(), F.lit(where)))
-        for name, inner in spec.get("properties", {}).items():
-            child = F.try_variant_get(at, f"$.{name}", "variant")
-            walk(child, inner, f"{where}.{name}", present & child.isNotNull())
-
-    walk(value, schema, path, F.lit(True))
-    return F.array_sort(F.array_distinct(F.filter(F.array(*rules), lambda p: p.isNotNull())))
+def with_violations(rows: DataFrame, schema: dict, parsed: str = "parsed") -> DataFrame:
+    """``rows`` with ``violations``: where the variant ``parsed`` breaks a schema, and which rule."""
+    text = json.dumps(schema)
+    return json_schema.with_violations(rows, F.col(parsed), F.parse_json(F.lit(text)), json_schema.levels_of(text))
 
 
-def failure(cleaned: Column, value: Column, schema: dict = ENVELOPE) -> Column:
-    """Why a reply is refused; null if it is valid. Names paths, never values."""
-    paths = violations(value, schema)
-    refused = F.when(F.instr(cleaned, "{") == 0, "no_json_object").when(value.isNull(), "json_parse_error").when(~_is(value, ["object"]), "not_object")
-    return refused.when(F.size(paths) > 0, F.concat(F.lit("schema_violation:"), F.array_join(paths, ",")))
+def failure(cleaned: Column, value: Column, violations: Column) -> Column:
+    """Why a reply is refused; null if it is valid. Names places, never values."""
+    refused = F.when(F.instr(cleaned, "{") == 0, "no_json_object").when(value.isNull(), "json_parse_error").when(json_kind(value) != "object", "not_object")
+    return refused.when(F.size(violations) > 0, F.concat(F.lit("schema_violation:"), F.array_join(json_schema.places(violations), ",")))
 
 
 def judged(completions: DataFrame, schema: dict = ENVELOPE) -> DataFrame:
-    """``completions`` with ``cleaned, parsed, cause``."""
+    """``completions`` with ``cleaned, parsed, violations, cause``."""
     rows = completions.withColumn("cleaned", clean(F.col("raw_text")))
-    rows = rows.withColumn("parsed", parse(F.col("cleaned")))
-    return rows.withColumn("cause", failure(F.col("cleaned"), F.col("parsed"), schema))
+    rows = with_violations(rows.withColumn("parsed", parse(F.col("cleaned"))), schema)
+    return rows.withColumn("cause", failure(F.col("cleaned"), F.col("parsed"), F.col("violations")))
 
 
 def first_valid(judged_rows: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:

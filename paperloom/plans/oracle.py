@@ -7,7 +7,7 @@ import re
 from ..functions.redaction import EMAIL
 from ..operators.assemble import CATALOGUE
 from ..operators.replies import ENVELOPE, FAILED_AS, ONLY_JSON, REPLY_IS, SCHEMA_IS, pretty
-from ..sources.derived import SCHEMA_DOC, SCHEMA_FAULTS, SCHEMA_INVOICE
+from ..sources.derived import NESTED_EXAMPLES, SCHEMA_DOC, SCHEMA_FAULTS, SCHEMA_INVOICE, SCHEMA_NESTED
 from .queries import MAX_BYTES, MAX_PAGES, SAMPLE_PAGE
 
 _PAIR = "CAST(doc_id + seq AS BIGINT)"
@@ -103,25 +103,38 @@ CTES = {
         CASE WHEN k % 37 = 0 THEN 'Other' ELSE n END AS folder FROM base_skills""",
     "single_skills": f"""SELECT CASE WHEN k % 41 = 0 THEN stem || ext WHEN k % 47 = 0 THEN folder || '/deep/' || stem || ext ELSE folder || '/' || stem || ext END AS path,
         CASE WHEN k % 53 = 0 THEN upper(n) ELSE n END AS name, CAST(CASE WHEN k % 59 = 0 THEN 0 ELSE k END AS INTEGER) AS version, CASE WHEN k % 61 = 0 THEN '' ELSE 'Read ' || k END AS prompt,
-        CASE WHEN k % 67 = 0 THEN 'extra' ELSE '' END AS unknown_keys, CASE WHEN k % 5 = 0 THEN '{SCHEMA_INVOICE}' {" ".join(f"WHEN k % 20 = {2 * i + 1} THEN '{f}'" for i, f in enumerate(SCHEMA_FAULTS))} ELSE '{SCHEMA_DOC}' END AS output_schema,
-        CASE WHEN k % 71 = 0 THEN [] ELSE [CASE WHEN k % 10 = 0 THEN '{{"kind":"c"}}' WHEN k % 5 = 0 THEN '{{"total":"12","kind":"a"}}' ELSE '{{"number":"12"}}' END, CASE WHEN k % 15 = 0 THEN '{{"total":12}}' ELSE '{{}}' END]::VARCHAR[] END AS examples,
+        k, CASE WHEN k % 5 = 0 THEN '{SCHEMA_INVOICE}' WHEN k % 5 = 2 THEN '{SCHEMA_NESTED}' {" ".join(f"WHEN k % 20 = {2 * i + 1} THEN '{f}'" for i, f in enumerate(SCHEMA_FAULTS))} ELSE '{SCHEMA_DOC}' END AS output_schema,
+        CASE WHEN k % 71 = 0 THEN [] ELSE [CASE WHEN k % 10 = 0 THEN '{{"kind":"c"}}' WHEN k % 5 = 0 THEN '{{"total":"12","kind":"a"}}' WHEN k % 10 = 2 THEN '{NESTED_EXAMPLES[0]}' WHEN k % 10 = 7 THEN '{NESTED_EXAMPLES[1]}' ELSE '{{"number":"12"}}' END,
+          CASE WHEN k % 15 = 0 THEN '{{"total":12}}' WHEN k % 10 = 2 THEN '{NESTED_EXAMPLES[2]}' WHEN k % 10 = 7 THEN '{NESTED_EXAMPLES[3]}' ELSE '{{}}' END]::VARCHAR[] END AS examples,
         CASE WHEN k % 3 = 0 THEN 'force' WHEN k % 73 = 0 THEN 'maybe' END AS ocr, CASE WHEN k % 4 = 0 THEN 'fast' END AS table_mode FROM skill_parts""",
     "skills": "SELECT * FROM single_skills UNION ALL SELECT replace(path, '/', '/00'), * EXCLUDE (path) FROM single_skills WHERE version % 12 = 0",
-    "placed": r"SELECT * FROM skills WHERE regexp_full_match(path, '[^/]+/[^/]+\.yaml')",
+    "files": """SELECT path, k, CAST(k % 11 AS INTEGER) AS c, CASE WHEN k % 11 NOT IN (1, 2, 3) THEN name END AS name, CASE WHEN k % 11 NOT IN (1, 2, 3, 4) THEN version END AS version, CASE WHEN k % 11 NOT IN (1, 2, 3, 5) THEN prompt END AS prompt,
+        CASE WHEN k % 11 NOT IN (1, 2, 3) THEN output_schema END AS output_schema, CASE WHEN k % 11 NOT IN (1, 2, 3, 5) THEN examples END AS examples, CASE WHEN k % 11 NOT IN (1, 2, 3) THEN ocr END AS ocr, CASE WHEN k % 11 NOT IN (1, 2, 3) THEN table_mode END AS table_mode,
+        list_filter(CASE CAST(k % 11 AS INTEGER) WHEN 1 THEN ['$: json'] WHEN 2 THEN ['$: type'] WHEN 3 THEN ['$: json'] WHEN 4 THEN ['$.version: type'] WHEN 5 THEN ['$: required:examples', '$: required:prompt']
+          WHEN 6 THEN ['$: unknown:extra', '$.docling: unknown:speed', CASE WHEN len(examples) > 0 THEN '$.examples[0]: unknown:note' END] ELSE [] END, lambda x: x IS NOT NULL) AS shape FROM (SELECT DISTINCT ON (path) * FROM skills)""",
+    "placed": r"SELECT * FROM files WHERE regexp_full_match(path, '[^/]+/[^/]+\.yaml')",
     "placed_parts": r"SELECT *, regexp_extract(path, '([^/]+)\.yaml$', 1) AS stem, regexp_extract(path, '^([^/]+)/', 1) AS folder FROM placed",
-    "row_problems": """SELECT path, unnest(list_filter([CASE WHEN NOT regexp_full_match(name, '[a-z0-9][a-z0-9_\\-]*') THEN 'name_not_a_slug' END, CASE WHEN version <= 0 THEN 'version_not_positive' END,
+    "row_problems": """SELECT path, unnest(list_concat(shape, list_filter([CASE WHEN NOT regexp_full_match(name, '[a-z0-9][a-z0-9_\\-]*') THEN 'name_not_a_slug' END, CASE WHEN version <= 0 THEN 'version_not_positive' END,
         CASE WHEN prompt = '' THEN 'prompt_empty' END, CASE WHEN len(examples) = 0 THEN 'no_examples' END, CASE WHEN NOT regexp_full_match(stem, '[+-]?[0-9]+') THEN 'stem_not_an_integer' END,
         CASE WHEN regexp_full_match(stem, '[+-]?[0-9]+') AND TRY_CAST(stem AS INTEGER) <> version THEN 'stem_is_not_version' END, CASE WHEN folder <> name THEN 'folder_is_not_name' END,
-        CASE WHEN unknown_keys <> '' THEN 'unknown_keys' END], lambda p: p IS NOT NULL)) AS problem FROM placed_parts""",
+        NULL], lambda p: p IS NOT NULL))) AS problem FROM placed_parts""",
     "schema_problems": f"""SELECT path, CASE WHEN output_schema = '{SCHEMA_FAULTS[0]}' THEN 'composition:anyOf,$ref' ELSE 'no_properties' END AS problem FROM placed
-        WHERE coalesce(len(json_keys(output_schema, '$.properties')), 0) = 0 OR json_exists(output_schema, '$."$ref"')""",
+        WHERE output_schema IS NOT NULL AND (coalesce(len(json_keys(output_schema, '$.properties')), 0) = 0 OR json_exists(output_schema, '$."$ref"'))""",
     "example_rows": "SELECT path, output_schema, CAST(generate_subscripts(examples, 1) - 1 AS INTEGER) AS example_no, unnest(examples) AS ex FROM placed",
-    "example_problems": f"""SELECT path, example_no, place FROM (SELECT path, example_no, unnest(list_filter(
-        CASE WHEN output_schema = '{SCHEMA_INVOICE}' THEN [CASE WHEN NOT json_exists(ex, '$.total') THEN '$' END, CASE WHEN json_extract_string(ex, '$.kind') NOT IN ('a', 'b') THEN '$.kind' END, CASE WHEN json_exists(ex, '$.total') AND json_type(ex, '$.total') <> 'VARCHAR' THEN '$.total' END]
-        WHEN output_schema = '{SCHEMA_DOC}' THEN [CASE WHEN json_exists(ex, '$.number') AND json_type(ex, '$.number') <> 'VARCHAR' THEN '$.number' END] ELSE [] END, lambda p: p IS NOT NULL)) AS place FROM example_rows)""",
-    "duplicates": """SELECT path, kept_path FROM (SELECT path, first_value(path) OVER w AS kept_path, row_number() OVER w AS n FROM placed WINDOW w AS (PARTITION BY name, version ORDER BY path)) WHERE n > 1""",
-    "problems": r"""SELECT path, CASE WHEN path LIKE '%.yml' THEN 'bad_extension' ELSE 'stray' END AS problem FROM skills WHERE path LIKE '%.yml' OR NOT regexp_full_match(path, '[^/]+/[^/]+\.yaml')
-        UNION ALL SELECT * FROM row_problems UNION ALL SELECT * FROM schema_problems UNION ALL SELECT path, 'example ' || example_no || ': ' || place FROM example_problems UNION ALL SELECT path, 'duplicate of ' || kept_path FROM duplicates""",
+    "nested_items": f"SELECT e.path, e.example_no, CAST(i.key AS INTEGER) AS n, i.value AS v FROM (SELECT * FROM example_rows WHERE output_schema = '{SCHEMA_NESTED}' AND json_type(ex, '$.items') = 'ARRAY') e, json_each(e.ex, '$.items') i",
+    "item_problems": """SELECT path, example_no, '$.items[' || n || ']' AS base, v FROM nested_items""",
+    "example_problems": f"""SELECT path, example_no, v.place, v.rule FROM (SELECT path, example_no, unnest(
+        CASE WHEN output_schema = '{SCHEMA_INVOICE}' THEN [CASE WHEN NOT json_exists(ex, '$.total') THEN {{'place': '$', 'rule': 'required:total'}} END, CASE WHEN json_extract_string(ex, '$.kind') NOT IN ('a', 'b') THEN {{'place': '$.kind', 'rule': 'enum'}} END, CASE WHEN json_exists(ex, '$.total') AND json_type(ex, '$.total') <> 'VARCHAR' THEN {{'place': '$.total', 'rule': 'type'}} END]
+        WHEN output_schema = '{SCHEMA_DOC}' THEN [CASE WHEN json_exists(ex, '$.number') AND json_type(ex, '$.number') <> 'VARCHAR' THEN {{'place': '$.number', 'rule': 'type'}} END]
+        WHEN output_schema = '{SCHEMA_NESTED}' THEN [CASE WHEN NOT json_exists(ex, '$.items') THEN {{'place': '$', 'rule': 'required:items'}} END, CASE WHEN json_array_length(ex, '$.items') = 0 THEN {{'place': '$.items', 'rule': 'minItems'}} END,
+          CASE WHEN json_type(ex, '$.total') NOT IN ('NULL', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN {{'place': '$.total', 'rule': 'type'}} END] END) AS v FROM example_rows
+        UNION ALL SELECT path, example_no, unnest([CASE WHEN NOT json_exists(v, '$.sku') THEN {{'place': base, 'rule': 'required:sku'}} END, CASE WHEN json_type(v, '$.sku') <> 'VARCHAR' THEN {{'place': base || '.sku', 'rule': 'type'}} END,
+          CASE WHEN json_type(v, '$.sku') = 'VARCHAR' AND length(json_extract_string(v, '$.sku')) > 4 THEN {{'place': base || '.sku', 'rule': 'maxLength'}} END,
+          CASE WHEN json_type(v, '$.count') = 'VARCHAR' OR CAST(json_extract(v, '$.count') AS DOUBLE) % 1 <> 0 THEN {{'place': base || '.count', 'rule': 'type'}} END, CASE WHEN json_type(v, '$.count') <> 'VARCHAR' AND CAST(json_extract(v, '$.count') AS DOUBLE) < 1 THEN {{'place': base || '.count', 'rule': 'minimum'}} END,
+          CASE WHEN CAST(json_extract(v, '$.flag') AS VARCHAR) NOT IN ('1', '1.0', '"yes"') THEN {{'place': base || '.flag', 'rule': 'enum'}} END]) FROM item_problems) WHERE v IS NOT NULL""",
+    "duplicates": """SELECT path, kept_path FROM (SELECT path, first_value(path) OVER w AS kept_path, row_number() OVER w AS n FROM placed WHERE name IS NOT NULL AND version IS NOT NULL WINDOW w AS (PARTITION BY name, version ORDER BY path)) WHERE n > 1""",
+    "problems": r"""SELECT path, CASE WHEN path LIKE '%.yml' THEN 'bad_extension' ELSE 'stray' END AS problem FROM files WHERE path LIKE '%.yml' OR NOT regexp_full_match(path, '[^/]+/[^/]+\.yaml')
+        UNION ALL SELECT * FROM row_problems UNION ALL SELECT * FROM schema_problems UNION ALL SELECT path, 'example ' || example_no || ': ' || place || ': ' || rule FROM example_problems UNION ALL SELECT path, 'duplicate of ' || kept_path FROM duplicates""",
     "newest": "SELECT name, max(version) AS version FROM skills GROUP BY name",
     "requests": """SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'nothing' ELSE 'skill' || (doc_id % 25) END AS skill_name, CASE CAST(doc_id % 8 AS INTEGER) WHEN 0 THEN 'latest' WHEN 1 THEN '999999' WHEN 2 THEN 'abc' WHEN 3 THEN '0' WHEN 4 THEN 'latest' ELSE CAST(doc_id % 10 + 1 AS VARCHAR) END AS skill_version,
         CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN 'JSON_ONLY' WHEN 1 THEN 'PDF_ONLY' ELSE 'BOTH' END AS output_mode FROM documents""",
@@ -157,7 +170,7 @@ _PROMPT = " || ".join(f"'{part}'" if i % 2 else part for i, part in enumerate(("
 
 _SELECTS = {
     "src_1": f"SELECT doc_id, CAST(n_bytes AS INTEGER) AS n_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN {MAX_BYTES} END AS max_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN CAST(n_bytes AS INTEGER) END AS actual_bytes FROM docs",
-    "src_2": "SELECT path, name, version, CAST(len(examples) AS INTEGER) AS n_examples, output_schema FROM skills",
+    "src_2": "SELECT path, name, version, prompt, CAST(len(examples) AS INTEGER) AS n_examples, output_schema, ocr, table_mode, array_to_string(shape, ';') AS shape FROM files",
     "src_3": "SELECT c.code, c.http_status, c.params, count(e.doc_id) AS n FROM codes c LEFT JOIN errs e ON e.code = c.code GROUP BY ALL",
     "snk_1": "SELECT output_mode, unnest(CASE output_mode WHEN 'JSON_ONLY' THEN ['json'] WHEN 'PDF_ONLY' THEN ['annotation'] ELSE ['json', 'annotation'] END) AS part, n, doc_ids FROM (SELECT output_mode, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS doc_ids FROM requests GROUP BY output_mode)",
     "snk_2": "SELECT e.doc_id, e.code, c.http_status, e.params, md5('request:' || e.doc_id) AS request_id FROM errs e JOIN codes c ON c.code = e.code",
@@ -193,8 +206,8 @@ _SELECTS = {
     "out_6": f"SELECT doc_id, attempt, md5({_PROMPT}) AS digest, CAST(length({_PROMPT}) AS INTEGER) AS n FROM judged WHERE cause IS NOT NULL",
     "out_7": f"SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt, field_name, value FROM (SELECT doc_id, 'number' AS field_name, nullif(regexp_extract(text, '[0-9]{{4,}}'), '') AS value FROM documents UNION ALL SELECT doc_id, 'email', nullif(regexp_extract(text, '{_EMAIL}'), '') FROM documents) WHERE value IS NOT NULL",
     "out_8": "SELECT doc_id, attempt, CAST(unnest([0, 1, 2]) AS INTEGER) AS ord, unnest(['id', 'n', 'id']) AS field_name, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), 'again']) AS value FROM judged WHERE cause IS NULL",
-    "out_9": "SELECT path, CAST(example_no AS INTEGER) AS example_no, 'input ' || example_no AS input, field_name, json_extract_string(ex, '$.' || field_name) AS value FROM (SELECT path, generate_subscripts(examples, 1) - 1 AS example_no, unnest(examples) AS ex FROM skills), unnest(json_keys(ex)) AS u(field_name)",
-    "fld_1": "SELECT path, CAST(generate_subscripts(json_keys(output_schema, '$.properties'), 1) - 1 AS INTEGER) AS field_pos, unnest(json_keys(output_schema, '$.properties')) AS field_name FROM skills",
+    "out_9": "SELECT path, CAST(example_no AS INTEGER) AS example_no, 'input ' || k AS input, field_name, json_extract_string(ex, '$.' || field_name) AS value FROM (SELECT path, k, generate_subscripts(examples, 1) - 1 AS example_no, unnest(examples) AS ex FROM skills), unnest(json_keys(ex)) AS u(field_name)",
+    "fld_1": "SELECT path, CAST(generate_subscripts(json_keys(output_schema, '$.properties'), 1) - 1 AS INTEGER) AS field_pos, unnest(json_keys(output_schema, '$.properties')) AS field_name FROM files",
     "fld_2": "SELECT doc_id, ord, field_name FROM raw WHERE field_name <> 'junk'",
     "fld_3": "SELECT doc_id, ord, field_name, value FROM raw WHERE ord <> 2",
     "fld_4": "SELECT doc_id, field_pos, field_name, value, status, source, grounded, attempts FROM fields",
@@ -210,12 +223,13 @@ _SELECTS = {
     "spn_4": "SELECT doc_id, ord, box_no, block_id, page, x0, y0, x1, y1 FROM boxes",
     "spn_5": "SELECT c.doc_id, c.ord, CAST(row_number() OVER (PARTITION BY c.doc_id, c.ord ORDER BY c.idx) - 1 AS INTEGER) AS box_no, c.block_id, b.page, b.x0, b.y0, b.x1, b.y1, c.broken FROM repeated_chosen c JOIN last_block b ON b.doc_id = c.doc_id AND b.block_id = c.block_id",
     "spn_6": "SELECT b.doc_id, b.ord, b.box_no, b.page, b.x0, h.height - b.y1 AS y0, b.x1, h.height - b.y0 AS y1 FROM boxes b JOIN heights h ON h.doc_id = b.doc_id AND h.page = b.page WHERE b.seq % 5 <> 0",
-    "reg_1": r"SELECT path, CASE WHEN path LIKE '%.yml' THEN 'bad_extension' WHEN NOT regexp_full_match(path, '[^/]+/[^/]+\.yaml') THEN 'stray' END AS problem FROM skills",
+    "reg_1": r"SELECT path, CASE WHEN path LIKE '%.yml' THEN 'bad_extension' WHEN NOT regexp_full_match(path, '[^/]+/[^/]+\.yaml') THEN 'stray' END AS problem FROM files",
     "reg_2": "SELECT path, problem FROM row_problems",
     "reg_3": "SELECT path, problem FROM schema_problems",
-    "reg_4": "SELECT path, example_no, place FROM example_problems",
+    "reg_4": "SELECT path, example_no, place, rule FROM example_problems",
     "reg_5": "SELECT path, kept_path FROM duplicates",
-    "reg_6": "SELECT count(*) AS n_problems, count(DISTINCT path) AS n_files, count(*) > 0 AS refused, (SELECT count(*) = 0 FROM skills) AS empty FROM problems",
+    "reg_6": "SELECT count(*) AS n_problems, count(DISTINCT path) AS n_files, count(*) > 0 AS refused, (SELECT count(*) = 0 FROM files) AS empty FROM problems",
+    "reg_6_problems": "SELECT path, problem FROM problems",
     "reg_7": "SELECT name, version FROM newest",
     "reg_8": "SELECT doc_id, skill_name, skill_version, version, code FROM asked",
     "reg_9": "SELECT path, coalesce(ocr, 'auto') AS ocr, coalesce(table_mode, 'accurate') AS table_mode, coalesce(ocr, 'auto') NOT IN ('auto', 'force', 'off') AS bad FROM skills",

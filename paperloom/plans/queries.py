@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction, text
-from ..operators import assemble, blocks, contracts, fields, grounding, latency, offsets, registry, replies
-from ..sources import derived
+from ..operators import assemble, blocks, contracts, fields, grounding, json_schema, latency, offsets, registry, replies
+from ..sources import derived, files
 from ..streaming import probes
 
 MAX_BYTES, MAX_PAGES, SAMPLE_PAGE = 20_000, 5, 2
@@ -52,9 +52,17 @@ def src_1(s: SparkSession, d: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", none.alias("max_bytes"), none.alias("actual_bytes")).unionByName(refused.select("doc_id", F.col("actual_bytes").alias("n_bytes"), "max_bytes", "actual_bytes"))
 
 
+def _registry(s: SparkSession, d: str) -> DataFrame:
+    """The registry as it is read from its files."""
+    folder = f"{_shared(s)}/registry-{uuid.uuid4().hex}"
+    files.write_files(derived.skill_files(s, d), folder)
+    return files.read_registry(s, folder)
+
+
 @query
 def src_2(s: SparkSession, d: str) -> DataFrame:
-    return derived.skills(s, d).select("path", "name", "version", F.size("examples").alias("n_examples"), "output_schema")
+    shape = F.array_join(F.transform("shape", lambda v: F.concat(v["place"], F.lit(": "), v["rule"])), ";")
+    return _registry(s, d).select("path", "name", "version", "prompt", F.size("examples").alias("n_examples"), "output_schema", "ocr", "table_mode", shape.alias("shape"))
 
 
 @query
@@ -227,7 +235,7 @@ def out_3(s: SparkSession, d: str) -> DataFrame:
 @query
 def out_4(s: SparkSession, d: str) -> DataFrame:
     rows = replies.judged(derived.completions(s, d)).where("parsed is not null")
-    return rows.select("doc_id", "attempt", F.array_join(replies.violations(F.col("parsed"), replies.ENVELOPE), ",").alias("paths"))
+    return rows.select("doc_id", "attempt", F.array_join(json_schema.places(F.col("violations")), ",").alias("paths"))
 
 
 @query
@@ -267,8 +275,7 @@ def out_8(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def out_9(s: SparkSession, d: str) -> DataFrame:
-    skills = derived.skills(s, d).withColumn("examples", F.transform("examples", lambda e, i: F.struct(F.concat(F.lit("input "), i.cast("string")).alias("input"), e.alias("output"))))
-    return replies.examples(skills, ("path",))
+    return replies.examples(derived.skills(s, d), ("path",))
 
 
 # ---- fields
@@ -298,7 +305,7 @@ def _fields(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def fld_1(s: SparkSession, d: str) -> DataFrame:
-    return fields.declared(derived.skills(s, d), ("path",))
+    return fields.declared(_registry(s, d), ("path",))
 
 
 @query
@@ -388,35 +395,41 @@ def spn_6(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def reg_1(s: SparkSession, d: str) -> DataFrame:
-    return derived.skills(s, d).select("path", registry.path_problem(F.col("path")).alias("problem"))
+    return _registry(s, d).select("path", registry.path_problem(F.col("path")).alias("problem"))
 
 
 @query
 def reg_2(s: SparkSession, d: str) -> DataFrame:
-    return registry.row_problems(derived.skills(s, d))
+    return registry.row_problems(_registry(s, d))
 
 
 @query
 def reg_3(s: SparkSession, d: str) -> DataFrame:
-    return registry.schema_problems(derived.skills(s, d))
+    return registry.schema_problems(_registry(s, d))
 
 
 @query
 def reg_4(s: SparkSession, d: str) -> DataFrame:
-    return registry.example_problems(derived.skills(s, d))
+    return registry.example_problems(_registry(s, d))
 
 
 @query
 def reg_5(s: SparkSession, d: str) -> DataFrame:
-    return registry.duplicates(derived.skills(s, d))
+    return registry.duplicates(_registry(s, d))
 
 
 @query
 def reg_6(s: SparkSession, d: str) -> DataFrame:
-    skills = derived.skills(s, d)
+    skills = _registry(s, d)
     return registry.report(registry.problems(skills), skills)
 
 
+@query
+def reg_6_problems(s: SparkSession, d: str) -> DataFrame:
+    """All problems of the registry as it is read from its files."""
+    return registry.problems(_registry(s, d))
+
+
 @query
 def reg_7(s: SparkSession, d: str) -> DataFrame:
     return registry.latest(derived.skills(s, d))

@@ -149,6 +149,14 @@ SCHEMA_DOC = '{"type":"object","properties":{"number":{"type":"string"},"first_l
 SCHEMA_INVOICE = '{"type":"object","required":["total"],"properties":{"total":{"type":"string"},"kind":{"enum":["a","b"]}}}'
 #: Faulty ones: composition at the root, no property, additionalProperties only, a type that permits an object.
 SCHEMA_FAULTS = ('{"$ref":"#/x","anyOf":[],"properties":{"a":{}}}', '{"type":"object","properties":{}}', '{"type":"object","additionalProperties":true}', '{"type":["object","null"]}')
+#: One with lists of objects, and examples that keep to it or break it in many places.
+SCHEMA_NESTED = '{"type":"object","required":["items"],"properties":{"items":{"type":"array","minItems":1,"items":{"type":"object","required":["sku"],"properties":{"sku":{"type":"string","maxLength":4},"count":{"type":"integer","minimum":1},"flag":{"enum":[1,"yes"]}}}},"total":{"type":["number","null"]}}}'
+NESTED_EXAMPLES = (
+    '{"items":[{"sku":"A1","count":2.0,"flag":1},{"sku":"B2","flag":"yes"}],"total":12.5}',
+    '{"items":[{"sku":"A12345","count":0,"flag":true},{"count":"2","flag":"no"},{"sku":7,"count":1.5,"flag":1.0}],"total":"12"}',
+    '{"items":[]}',
+    '{"total":true}',
+)
 
 
 @prepared
@@ -160,26 +168,50 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.when(k % 31 == 0, F.lit(".yml")).otherwise(F.lit(".yaml"))
     folder = F.when(k % 37 == 0, F.lit("Other")).otherwise(name)
     path = F.when(k % 41 == 0, F.concat(stem, ext)).when(k % 47 == 0, F.concat(folder, F.lit("/deep/"), stem, ext)).otherwise(F.concat(folder, F.lit("/"), stem, ext))
-    schema = F.when(k % 5 == 0, F.lit(SCHEMA_INVOICE))
+    schema = F.when(k % 5 == 0, F.lit(SCHEMA_INVOICE)).when(k % 5 == 2, F.lit(SCHEMA_NESTED))
     for i, fault in enumerate(SCHEMA_FAULTS):
         schema = schema.when(k % 20 == 2 * i + 1, F.lit(fault))
-    example = F.when(k % 10 == 0, F.lit('{"kind":"c"}')).when(k % 5 == 0, F.lit('{"total":"12","kind":"a"}')).otherwise(F.lit('{"number":"12"}'))
-    second = F.when(k % 15 == 0, F.lit('{"total":12}')).otherwise(F.lit("{}"))
+    example = F.when(k % 10 == 0, F.lit('{"kind":"c"}')).when(k % 5 == 0, F.lit('{"total":"12","kind":"a"}')).when(k % 5 == 2, F.element_at(F.array(*map(F.lit, NESTED_EXAMPLES[:2])), (k % 2 + 1).cast("int"))).otherwise(F.lit('{"number":"12"}'))
+    second = F.when(k % 15 == 0, F.lit('{"total":12}')).when(k % 5 == 2, F.element_at(F.array(*map(F.lit, NESTED_EXAMPLES[2:])), (k % 2 + 1).cast("int"))).otherwise(F.lit("{}"))
+    shown = lambda output: F.struct(F.concat(F.lit("input "), k.cast("string")).alias("input"), output.alias("output"))
     rows = table(spark, sf_dir, "supplier").select(
         path.alias("path"),
         F.when(k % 53 == 0, F.upper(name)).otherwise(name).alias("name"),
         F.when(k % 59 == 0, F.lit(0)).otherwise(k).cast("int").alias("version"),
         F.when(k % 61 == 0, F.lit("")).otherwise(F.concat(F.lit("Read "), k.cast("string"))).alias("prompt"),
-        F.when(k % 67 == 0, F.lit("extra")).otherwise(F.lit("")).alias("unknown_keys"),
+        k.alias("k"),
         schema.otherwise(F.lit(SCHEMA_DOC)).alias("output_schema"),
-        F.when(k % 71 == 0, F.slice(F.array(F.lit("")), 1, 0)).otherwise(F.array(example, second)).alias("examples"),
+        F.when(k % 71 == 0, F.slice(F.array(shown(example)), 1, 0)).otherwise(F.array(shown(example), shown(second))).alias("examples"),
         F.when(k % 3 == 0, F.lit("force")).when(k % 73 == 0, F.lit("maybe")).alias("ocr"),
         F.when(k % 4 == 0, F.lit("fast")).alias("table_mode"),
+        F.array().cast("array<struct<place:string,rule:string>>").alias("shape"),
     )
     again = rows.where(_mod("version", 12) == 0).withColumn("path", F.concat(F.lit(""), F.regexp_replace("path", "/", "/00")))
     return rows.unionByName(again)
 
 
+def skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as files (path, content): six of eleven are broken, no mapping, have a key twice, a version that is a text, no
+    prompt and examples, or keys that nobody knows."""
+    c = F.col("k") % 11
+    text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    example = lambda e, i: F.concat(F.lit('{"input":"'), e["input"], F.lit('","output":'), e["output"], F.when((c == 6) & (i == 0), F.lit(',"note":1')).otherwise(F.lit("")), F.lit("}"))
+    settings = F.concat_ws(",", text("ocr", F.col("ocr")), text("table_mode", F.col("table_mode")), F.when(c == 6, F.lit('"speed":1')))
+    parts = F.concat_ws(
+        ",",
+        text("name", F.col("name")),
+        F.concat(F.lit('"version":'), F.when(c == 4, F.concat(F.lit('"v'), F.col("k").cast("string"), F.lit('"'))).otherwise(F.col("version").cast("string"))),
+        F.when(c != 5, text("prompt", F.col("prompt"))),
+        F.when(c == 3, text("prompt", F.lit("again"))),
+        F.when(c != 5, F.concat(F.lit('"examples":['), F.array_join(F.transform("examples", example), ","), F.lit("]"))),
+        F.concat(F.lit('"output_schema":'), F.col("output_schema")),
+        F.when(settings != "", F.concat(F.lit('"docling":{'), settings, F.lit("}"))),
+        F.when(c == 6, F.lit('"extra":true')),
+    )
+    content = F.when(c == 2, F.lit("[1]")).otherwise(F.concat(F.lit("{"), parts, F.when(c == 1, F.lit("")).otherwise(F.lit("}\n"))))
+    return skills(spark, sf_dir).select("path", content.alias("content"))
+
+
 @prepared
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request a document."""

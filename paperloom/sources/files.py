@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
 
-#: A registry file: everything a skill is, with its examples and schema as JSON text.
-SKILL = "name string, version int, description string, prompt string, examples array<struct<input:string,output:string>>, output_schema string, ocr string, table_mode string, _corrupt_record string"
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.registry import from_files
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
     """Files up to the limit (path, n_bytes, content) and what is larger (path, max_bytes, actual_bytes). The limit is applied to
@@ -18,11 +20,34 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = 50 << 20) ->
     return kept, refused
 
 
+def below(folder: str) -> Column:
+    """The ``path`` of a file relative to ``folder``, which may or may not name its file system."""
+    root = re.sub("^[a-z0-9]+:/+", "/", f"{folder.rstrip('/')}/")  # Spark writes file:/ for file:///
+    return F.substring("path", F.instr("path", F.lit(root)) + F.lit(len(root)), F.length("path"))
+
+
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each file below ``folder``, at any depth, with its ``path`` relative to it; a file that is no skill has nulls
-    and its text in ``_corrupt_record``."""
-    rows = spark.read.schema(SKILL).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
-    root = F.lit(f"{folder.rstrip('/')}/")
-    path = F.col("_metadata.file_path")
-    below = F.instr(path, root)
-    return rows.select(F.substring(path, below + F.length(root), F.length(path)).alias("path"), *rows.columns)
+    """The registry table of the .yaml and .yml files below ``folder``, at any depth. They are read whole and must be JSON, which is
+    YAML too. A folder that is not there is an error, one without files gives no rows. Spark's readers pass over files
+    of no bytes, so those have no row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yaml,yml}").load(folder)
+    return from_files(found.select(below(folder).alias("path"), F.col("content").cast("string").alias("text")))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file below ``folder`` for each row of ``path`` (relative) and ``content`` (text or bytes; null is empty). Tasks write them; a task that runs again writes
+    the same files again. Of rows with one path any one stays."""
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
+
+    rows.select("path", F.col("content").cast("binary")).mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one number

@@ -1,5 +1,6 @@
 """Literal cases of the operators."""
 
+import collections
 import random
 import unicodedata
 
@@ -363,12 +364,112 @@ def test_files(spark, tmp_path):
     kept, refused = files.read_documents(spark, str(tmp_path / "docs"), 10)
     assert [(r["n_bytes"], bytes(r["content"])) for r in kept.collect()] == [(10, b"x" * 10)]
     assert [(r["max_bytes"], r["actual_bytes"]) for r in refused.collect()] == [(10, 11)]
-    (tmp_path / "skills" / "inv" / "deep").mkdir(parents=True)
-    (tmp_path / "skills" / "inv" / "1.json").write_text('{"name": "inv", "version": 1,\n "prompt": "p", "output_schema": "{}"}')
-    (tmp_path / "skills" / "inv" / "deep" / "2.json").write_text('{"name": "inv", "version": 2}')
-    (tmp_path / "skills" / "bad.json").write_text("{nothing")
-    rows = {r["path"]: (r["name"], r["version"]) for r in files.read_registry(spark, str(tmp_path / "skills")).collect()}
-    assert rows == {"inv/1.json": ("inv", 1), "inv/deep/2.json": ("inv", 2), "bad.json": (None, None)}
+
+
+def written_skill(folder, path, text=None, **changes):
+    """A sound skill but for ``changes``; a change to None takes the key out."""
+    import json
+
+    body = {"name": "inv", "version": 1, "prompt": "p", "examples": [{"input": "i", "output": {"a": "x"}}], "output_schema": {"type": "object", "properties": {"b": {}, "a": {"type": "string"}}}} | changes
+    file = folder / path
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_text(json.dumps({k: v for k, v in body.items() if v is not None}, indent=1) if text is None else text)
+
+
+def test_registry_is_read_as_it_is(spark, tmp_path):
+    """Every fault of a file is a row of problems, and sound files have none."""
+    from paperloom.sources import files
+
+    root = tmp_path / "skills"
+    written_skill(root, "inv/1.yaml", description="d", docling={"ocr": "off"})
+    written_skill(root, "inv/02.yaml", version=2.0, docling=None)
+    written_skill(root, "a b+c/1.yaml", name="a b+c")
+    written_skill(root, "stray.yaml")
+    written_skill(root, "inv/deep/1.yaml")
+    written_skill(root, "inv/3.yml")
+    written_skill(root, "inv/README.md", "not a skill")
+    written_skill(root, "broken/1.yaml", ": : {not yaml :")
+    written_skill(root, "broken/2.yaml", "[1]")
+    written_skill(root, "broken/3.yaml", '{"name":"broken","name":"broken"}')
+    written_skill(root, "broken/4.yaml", "\n")
+    written_skill(root, "inv/5.yaml", version=4)
+    written_skill(root, "inv/001.yaml")
+    written_skill(root, "other/1.yaml", examples=[], prompt="")
+    written_skill(root, "kinds/1.yaml", name=7, version="1", prompt=None, examples=[{"input": 1, "output": [], "note": 0}], output_schema="{}", docling={"ocr": 1, "speed": 2}, extra=None, more=True)
+    written_skill(root, "inv/6.yaml", version=6, examples=[{"input": "i", "output": {"a": 1}}, {"input": "i", "output": {"a": "x", "c": [1]}}])
+    skills = files.read_registry(spark, str(root)).cache()
+    got = collections.defaultdict(set)
+    for r in registry.problems(skills).collect():
+        assert r["problem"] not in got[r["path"]]
+        got[r["path"]].add(r["problem"])
+    assert got == {
+        "a b+c/1.yaml": {"name_not_a_slug"},
+        "stray.yaml": {"stray"},
+        "inv/deep/1.yaml": {"stray"},
+        "inv/3.yml": {"bad_extension"},
+        "broken/1.yaml": {"$: json"},
+        "broken/2.yaml": {"$: type"},
+        "broken/3.yaml": {"$: json"},
+        "broken/4.yaml": {"$: json"},
+        "inv/5.yaml": {"stem_is_not_version"},
+        "inv/1.yaml": {"duplicate of inv/001.yaml"},
+        "other/1.yaml": {"folder_is_not_name", "no_examples", "prompt_empty", "duplicate of inv/001.yaml"},
+        "kinds/1.yaml": {"$: required:prompt", "$: unknown:more", "$.name: type", "$.version: type", "$.examples[0]: unknown:note", "$.examples[0].input: type", "$.examples[0].output: type", "$.output_schema: type", "$.docling: unknown:speed", "$.docling.ocr: type"},
+        "inv/6.yaml": {"example 0: $.a: type"},
+    }
+    rows = {r["path"]: r for r in skills.collect()}
+    one, two = rows["inv/1.yaml"], rows["inv/02.yaml"]
+    assert (one["name"], one["version"], one["description"], one["prompt"], one["ocr"], one["table_mode"], one["output_schema"]) == ("inv", 1, "d", "p", "off", None, '{"type":"object","properties":{"b":{},"a":{"type":"string"}}}')
+    assert [tuple(e) for e in one["examples"]] == [("i", '{"a":"x"}')] and two["version"] == 2
+    assert len(rows) == 15
+
+
+def test_registry_folders(spark, tmp_path):
+    from paperloom.sources import files
+
+    (tmp_path / "none").mkdir()
+    none = files.read_registry(spark, str(tmp_path / "none"))
+    assert registry.report(registry.problems(none), none).first()["empty"]
+    with pytest.raises(Exception, match="gone"):
+        files.read_registry(spark, str(tmp_path / "gone")).count()
+    rows = spark.createDataFrame([("a b/1.yaml", "x", 1), ("c/d/e", None, 2)], "path string, content string, n int")
+    files.write_files(rows, f"file://{tmp_path}/out")
+    files.write_files(rows, f"{tmp_path}/out")
+    assert (tmp_path / "out/a b/1.yaml").read_text() == "x" and (tmp_path / "out/c/d/e").read_text() == ""
+
+
+SCHEMAS = [
+    ({"type": "object", "required": ["a"]}, [({"a": None}, []), ({}, [("$", "required:a")]), ([], [("$", "type")]), (None, [("$", "type")])]),
+    ({"required": ["a"], "minItems": 2, "minLength": 2, "minimum": 2}, [([1], [("$", "minItems")]), ("x", [("$", "minLength")]), (1, [("$", "minimum")]), (True, []), (None, []), ({"a": 1}, [])]),
+    ({"type": "integer"}, [(1, []), (1.0, []), (1e3, []), (1.5, [("$", "type")]), (True, [("$", "type")]), ("1", [("$", "type")]), (12345678901234567890123, [])]),
+    ({"type": ["number", "null"], "maximum": 3}, [(1, []), (2.5, []), (None, []), (False, [("$", "type")]), (4, [("$", "maximum")])]),
+    ({"enum": [1, "x", None, [1], {"a": 1}]}, [(1, []), (1.0, []), (True, [("$", "enum")]), ("x", []), (None, []), ([1], []), ({"a": 1}, []), ("1", [("$", "enum")]), (0, [("$", "enum")])]),
+    ({"const": False}, [(False, []), (0, [("$", "const")])]),
+    ({"const": None}, [(None, []), (0, [("$", "const")])]),
+    ({"properties": {"a": False, "b": True}, "additionalProperties": {"type": "string"}}, [({"a": 1, "b": 1, "c": 1, "d": "x"}, [("$.a", "false"), ("$.c", "type")])]),
+    ({"properties": {"a": {"items": {"items": {"type": "string", "maxLength": 1}}, "maxItems": 1}}, "additionalProperties": False}, [({"a": [["x", "yy", 1]]}, [("$.a[0][1]", "maxLength"), ("$.a[0][2]", "type")]), ({"a": [[], []], "b": 1}, [("$", "unknown:b"), ("$.a", "maxItems")]), (["x"], [])]),
+    ({"type": "object", "properties": {"a.b": {"type": "string"}, "é ": {"type": "null"}}}, [({"a.b": 1, "é ": 1}, [("$.a.b", "type"), ("$.é ", "type")])]),
+    ({}, [(1, []), ({"a": [1]}, [])]),
+    ("no schema", [(1, [])]),
+    (True, [(1, [])]),
+    (False, [(1, [("$", "false")])]),
+]
+
+
+def test_values_are_held_against_schemas(spark):
+    import json
+
+    from paperloom.operators import json_schema
+
+    cases = [(i, k, json.dumps(schema), json.dumps(value)) for i, (schema, values) in enumerate(SCHEMAS) for k, (value, _) in enumerate(values)]
+    rows = spark.createDataFrame([(*c, 1, 2, 3) for c in cases], "i int, k int, schema string, value string, row int, pairs int, found int")
+    levels = json_schema.most_levels(rows, "schema")
+    assert levels == max(json_schema.levels_of(c[2]) for c in cases) == 4
+    got = json_schema.with_violations(rows, F.parse_json("value"), F.parse_json("schema"), levels)
+    assert got.columns == [*rows.columns, "violations"]
+    assert {(r["i"], r["k"]): [tuple(v) for v in r["violations"]] for r in got.collect()} == {(i, k): sorted(want) for i, (_, values) in enumerate(SCHEMAS) for k, (_, want) in enumerate(values)}
+    nothing = rows.limit(0)
+    assert json_schema.with_violations(nothing, F.parse_json("value"), F.parse_json("schema"), json_schema.most_levels(nothing, "schema")).isEmpty()
 
 
 def test_json_is_decoded_like_python(spark):
@@ -387,7 +488,8 @@ def test_json_is_decoded_like_python(spark):
 def test_examples_are_held_against_any_schema(spark):
     nested = '{"type":"object","required":["a"],"properties":{"a":{"type":"array","items":{"type":["integer","null"]}},"b":{"enum":[1,"x",null]},"c":{"type":"boolean"},"n":{"type":"number"}}}'
     cases = [
-        (nested, '{"a":[1,null,"x",true],"b":"x","c":true,"n":1}', ["$.a[2]", "$.a[3]"]),
+        (nested, '{"a":[1,null,"x",true],"b":"x","c":true,"n":1.0}', ["$.a[2]", "$.a[3]"]),
+        (nested, '{"a":[1.0,1e2],"b":true}', ["$.b"]),
         (nested, '{"b":2,"c":0,"n":false}', ["$", "$.b", "$.c", "$.n"]),
         (nested, "[]", ["$"]),
         (nested, "{", ["$"]),
@@ -397,7 +499,7 @@ def test_examples_are_held_against_any_schema(spark):
         ("not json", "{}", []),
         (None, "{}", []),
     ]
-    rows = spark.createDataFrame([(f"s/{i + 1}.yaml", schema, [example]) for i, (schema, example, _) in enumerate(cases)], "path string, output_schema string, examples array<string>")
+    rows = spark.createDataFrame([(f"s/{i + 1}.yaml", schema, [("i", example)]) for i, (schema, example, _) in enumerate(cases)], "path string, output_schema string, examples array<struct<input:string,output:string>>")
     got = sorted((r["path"], r["example_no"], r["place"]) for r in registry.example_problems(rows).collect())
     assert got == sorted((f"s/{i + 1}.yaml", 0, place) for i, (_, _, places) in enumerate(cases) for place in places)
 
