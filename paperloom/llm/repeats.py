@@ -21,6 +21,10 @@ Words get the first round alone: strings of ``words / 2`` words that each window
 that also start elsewhere are counted. A document without any holds no passage of ``words`` words that is also anywhere else,
 however few bytes it has.
 
+In a stretch of a short period, such as padding, each window would be a run of its own. There a window that equals the one a period
+before it is removed at once, with that one, and only the first of such a chain goes into the rounds, where it stands for all. So a
+text has about a run for every hundred bytes, whatever it holds, and what a document's task holds grows with its length alone.
+
 Fingerprints of 64 bits only choose anchors and candidates; what is removed is equal in digests of 128 bits or in bytes. Ranks
 are counted by aggregations that Spark combines before the shuffle, written, and joined back, so no group is taken whole into a
 task and the join can split a hot one. Texts are shuffled once, to the runs that may repeat, and after that only those of
@@ -47,6 +51,8 @@ LENGTH, WORDS = 400, 51
 BLOCK = 16
 #: Bytes, and words, of a text that are fingerprinted at once.
 SEGMENT, WORD_SEGMENT = 1 << 18, 1 << 15
+#: How often neighbouring anchors of a segment must be a period apart for it to be looked at.
+OFTEN = 64
 #: Rows of blocks that a task holds before it hands them on.
 HELD = 1 << 15
 
@@ -91,13 +97,41 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U))
 
 
-def byte_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """``_anchored`` for the bytes of a text, some windows at a time."""
-    parts, whole = [], np.frombuffer(data, np.uint8)
+def _twins(data: np.ndarray, start: int, end: int, length: int, period: int) -> np.ndarray:
+    """For each window that starts from ``start`` to ``end``, whether it equals the one a period before it."""
+    low = max(0, start - period)
+    same = np.concatenate(([0], np.cumsum(data[low : end + length - 1 - period] == data[low + period : end + length - 1])))
+    whole = same[length:] - same[:-length] == length  # of windows low to end - period, and those a period after them
+    return np.concatenate((np.zeros(low + period - start, bool), whole))[: end - start]
+
+
+def byte_runs(data: bytes, length: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int]]]:
+    """``_anchored`` for the bytes of a text, some windows at a time, without windows that equal one a short period before them; and
+    the stretches of those windows and of the ones that they equal."""
+    parts, spans, whole, size = [], [], np.frombuffer(data, np.uint8), length // 4
     for at in range(0, len(whole) - length + 1, SEGMENT):
-        anchor, *others = _anchored(whole[at : at + SEGMENT + length - 1], length, length // 4)
-        parts.append((at + anchor, *others))
-    return _joined(parts)
+        end = min(at + SEGMENT, len(whole) - length + 1)
+        anchor, first, last, strings = _anchored(whole[at : end + length - 1], length, size)
+        anchor = anchor + at
+        steps = np.diff(anchor)[(np.diff(strings.view(np.int64)) == 0) & (np.diff(anchor) < size)]
+        periods = [p for p, n in zip(*np.unique(steps, return_counts=True), strict=True) if n > OFTEN]
+        if periods:
+            dropped = np.zeros(end - at, bool)
+            for period in periods:
+                twins = _twins(whole, at, end, length, int(period))
+                edges = at + np.flatnonzero(np.diff(np.concatenate(([0], twins.view(np.int8), [0]))))
+                spans += [(int(a - period), int(b - 1 + length)) for a, b in edges.reshape(-1, 2)]
+                dropped |= twins
+            lost = np.concatenate(([0], np.cumsum(dropped)))
+            begin, past = anchor - first - at, anchor - last - at + 1
+            gone = lost[past] - lost[begin]
+            for k in np.flatnonzero((gone > 0) & (gone < past - begin)).tolist():  # cut the runs around what is dropped
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], (~dropped[begin[k] : past[k]]).view(np.int8), [0])))).reshape(-1, 2) + at + begin[k]
+                parts.append((np.full(len(edges), anchor[k]), anchor[k] - edges[:, 0], anchor[k] - edges[:, 1] + 1, np.full(len(edges), strings[k])))
+            kept = gone == 0
+            anchor, first, last, strings = anchor[kept], first[kept], last[kept], strings[kept]
+        parts.append((anchor, first, last, strings))
+    return _joined(parts), _merged(spans)
 
 
 def word_strings(text: str, words: int) -> np.ndarray:
@@ -161,6 +195,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """``_merged`` for arrays."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    heads = np.flatnonzero(np.append(True, starts[1:] > ends[:-1])) if len(starts) else np.empty(0, int)
+    return list(zip(starts[heads].tolist(), ends[np.append(heads[1:], len(starts)) - 1].tolist(), strict=True)) if len(heads) else []
+
+
+def _marks(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's array of structs, as arrays; empty ones for null."""
+    for row in range(len(column)):
+        structs = column.slice(row, 1).flatten()
+        yield {structs.type.field(i).name: structs.field(i).to_numpy(zero_copy_only=False) for i in range(structs.type.num_fields)}
+
+
 def _rounds(runs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """Spans (id, print, start, end) of windows that repeat in part of their runs; and the written tables they are read from."""
     quarter, shared = length // 4, length - BLOCK + 1
@@ -170,15 +219,12 @@ def _rounds(runs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, mark, text, marks in zip(*(c.to_pylist() for c in batch.columns[:3]), _marks(batch.column(3)), strict=True):
                 data = text.encode()
-                for run in marks:
-                    if not run["goes_on"]:
-                        continue
+                for at, first, last in zip(*(x[marks["goes_on"]].tolist() for x in (marks["anchor"], marks["first"], marks["last"])), strict=True):
                     if len(out) > HELD:
                         yield _batch(out, schema)
                         out = []
-                    at, first, last = run["anchor"], run["first"], run["last"]
                     for b in range(last // BLOCK * BLOCK, first + 1, BLOCK):
                         low, high, begin = max(b, last), min(b + BLOCK - 1, first), at - b
                         strings = (_digest(data[begin + o : begin + o + quarter]) for o in (0, quarter, offset, offset + quarter))
@@ -222,10 +268,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             wholes: list[bytes] = []
             for doc, mark, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
-                found = anchor, first, last, _ = byte_runs(data, length)
-                for c, x in zip(columns, (np.full(len(anchor), doc), np.full(len(anchor), mark), *found), strict=True):
+                (anchor, first, last, strings), near = byte_runs(data, length)
+                starts, ends = (np.array(x, np.int64) for x in zip(*near, strict=True)) if near else (np.empty(0, np.int64),) * 2
+                n = len(anchor) + len(near)
+                for c, x in zip(columns, (np.full(n, doc), np.full(n, mark), np.append(anchor, starts), np.append(first, 0 * starts), np.append(last, starts - ends + length), np.append(strings.astype(np.int64), 0 * starts)), strict=True):
                     c.append(x)
                 wholes += [_digest(data[a:b]) for a, b in zip((anchor - first).tolist(), (anchor - last + length).tolist(), strict=True)]
+                wholes += [None] * len(near)
             if wholes:
                 joined = [np.concatenate(c).astype(np.int64) for c in columns]
                 joined[2:5] = [c.astype(np.int32) for c in joined[2:5]]
@@ -233,13 +282,15 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     long_enough = rows.where(F.octet_length("text") >= length).select("id", "print", "text")
     anchors = written(long_enough.mapInArrow(anchored, "id long, print long, anchor int, first int, last int, string long, whole binary"), "anchors")
-    ranks = _ranked([anchors.select("string")], ["string"], "rank")
-    several = written(anchors.join(ranks, "string").drop("string"), "several")
-    discard(anchors, ranks)
+    runs = anchors.where("whole is not null")
+    ranks = _ranked([runs.select("string")], ["string"], "rank")
+    several = written(runs.join(ranks, "string").drop("string"), "several")
     kinds, marks = _judged(several, ["rank"], ["first", "last", "whole"])
+    near = anchors.where("whole is null").select("id", "print", "anchor", "first", "last", F.lit(True).alias("repeated"), F.lit(False).alias("goes_on"))
+    marks = marks.select(*near.columns).unionByName(near)
     marks = marks.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "first", "last", "repeated", "goes_on")).alias("marks"))
     touched = written(rows.join(marks, ["id", "print"]), "touched")
-    discard(several, kinds)
+    discard(anchors, ranks, several, kinds)
 
     found, held = _rounds(touched.where(F.exists("marks", lambda m: m["goes_on"])).select("id", "print", "text", "marks"), length)
     found = found.groupBy("id", "print").agg(F.collect_set(F.struct("start", "end")).alias("more"))
@@ -248,10 +299,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, mark, doc_id, text, marks, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                cover = [(m["anchor"] - m["first"], m["anchor"] - m["last"] + length) for m in marks if m["repeated"]]
-                cover = _merged(cover + [(m["start"], m["end"]) for m in more or ()])
+            for doc, mark, doc_id, text, marks, more in zip(*(c.to_pylist() for c in batch.columns[:4]), _marks(batch.column(4)), _marks(batch.column(5)), strict=True):
+                data, again = text.encode(), marks["repeated"]
+                starts, ends = marks["anchor"][again] - marks["first"][again], marks["anchor"][again] - marks["last"][again] + length
+                cover = _covered(np.append(starts, more["start"]), np.append(ends, more["end"]))
                 edges = [0, *(x for span in cover for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((doc, mark, doc_id, len(data), [{"start": a, "end": b} for a, b in cover], kept))

@@ -579,6 +579,26 @@ def test_repeats(spark, length, words):
     assert repeats.deduplicated(frame(spark, []), length).isEmpty()
 
 
+@pytest.mark.parametrize("length", [40, 67])
+def test_repeats_in_periodic_texts(spark, length):
+    """Long stretches of short periods, alone, between other words, in several documents, and single windows of them."""
+    rng = random.Random(length)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    docs = [(1, "x" * 700), (2, "x" * length), (3, noise(80) + "ab" * 300 + noise(80)), (4, noise(30) + ("ab" * length)[:length] + "c"), (5, ("abc-" * length)[1 : length + 1]), (6, "abc-" * 200 + noise(50) + "abc-" * 30), (7, noise(300)), (8, "x" * (length - 1) + "y"), (9, "1234567" * 150 + "x" * 200), (10, ("7123456" * length)[: length + 3]), (11, ("no " + "-" * 90 + "\n") * 40), (None, "ab" * 90), (12, "q" * (length + 80)), (13, ("z" * 99 + "é") * 9)]
+    check_repeats(repeats.deduplicated(frame(spark, docs), length, 4).collect(), docs, length, 4)
+
+
+def test_periodic_texts_have_few_runs():
+    for period in (b"a", b"ab c", bytes(range(90))):
+        (anchors, *_), near = repeats.byte_runs(period * (3_000_000 // len(period)), 400)
+        assert len(anchors) <= 100 and near == [(0, 3_000_000 // len(period) * len(period))]
+    text = b"n" * 5_000 + bytes(range(256)) * 2 + b"n" * 5_000
+    (anchor, first, last, _), near = repeats.byte_runs(text, 400)
+    kept = {w for a, f, e in zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True) for w in range(a - f, a - e + 1)}
+    assert near == [(0, 5_000), (5_512, 10_512)] and len(anchor) < 400
+    assert {text[w : w + 400] for w in kept} == {text[w : w + 400] for w in range(len(text) - 399)}
+
+
 def test_repeats_in_documents(spark, texts):
     check_repeats(repeats.deduplicated(frame(spark, list(texts.items()))).collect(), list(texts.items()), 400, 51)
     found = repeats.repeats(frame(spark, list(texts.items()))).collect()
@@ -598,10 +618,10 @@ def test_runs_do_not_depend_on_segments(monkeypatch):
     def windows(runs):
         return {(int(a) - k, int(a), int(s)) for a, first, last, s in zip(*runs, strict=True) for k in range(int(last), int(first) + 1)}
 
-    whole, strings = windows(repeats.byte_runs(text.encode(), 64)), repeats.word_strings(text, 12).tolist()
+    whole, strings = windows(repeats.byte_runs(text.encode(), 64)[0]), repeats.word_strings(text, 12).tolist()
     monkeypatch.setattr(repeats, "SEGMENT", 16)
     monkeypatch.setattr(repeats, "WORD_SEGMENT", 5)
-    assert windows(repeats.byte_runs(text.encode(), 64)) == whole and repeats.word_strings(text, 12).tolist() == strings
+    assert windows(repeats.byte_runs(text.encode(), 64)[0]) == whole and repeats.word_strings(text, 12).tolist() == strings
     assert {w for w, _, _ in whole} == set(range(len(text) - 63)) and len(strings) > 30
     assert len(repeats.word_strings(" ".join("abcdefghijkl"), 12)) == 1 and len(repeats.word_strings(" ".join("abcdefghijk"), 12)) == 0
 
