@@ -10,8 +10,8 @@ weighted Jaccard similarity of their bags is ``threshold`` or more; a class is a
 4. Members of buckets that still hold several components are compared further: those pairs of different components that prefix
    filtering, which is exact, leaves.
 
-Prefix filtering is exact under any fixed order of runs and cheap if rare runs come first. The order is by a count filter of
-``SLOTS`` counters, whose size does not grow with the corpus: a counter is never too low, so a run counted once is in one bag
+Prefix filtering is exact under any fixed order of runs and cheap if rare runs come first. The order is by a count filter with four
+counters for each run of those members, ``MOST_SLOTS`` at most: a counter is never too low, so a run counted once is in one bag
 alone, and where counters are too high only more pairs are verified.
 
 So no verified link is left out, and no bucket is taken whole into a task.
@@ -36,8 +36,8 @@ from .common import discard, text_or_empty, written
 from .components import components
 
 THRESHOLD = 0.8
-#: Counters of the filter that orders runs by how many bags hold them.
-SLOTS = 1 << 20
+#: Counters of the filter that orders runs by how many bags hold them: four bytes each, sent to every executor.
+LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 24
 #: Bags, or runs in all, that are sketched at once, and prefix rows that are handed on at once.
 GROUP, GROUP_RUNS, PLACED = 256, 1 << 18, 1 << 18
 #: Ratio of neighbouring bins of sizes.
@@ -127,7 +127,12 @@ def _filter_counts(rows: DataFrame, slots: int) -> np.ndarray:
     return np.minimum(whole, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots: int = SLOTS) -> DataFrame:
+def _slots_for(runs: int) -> int:
+    """Four counters a run, a power of two within the limits."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (4 * runs - 1).bit_length()))
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots: int | None = None) -> DataFrame:
     """Pairs (u, v) of ``members`` (node, component) of different components that can be linked at all, by prefix filtering.
 
     Two bags of n and m runs are linked if they share a = (n + m) * t / (1 + t) of them, so with all runs in one order, rarest
@@ -135,7 +140,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
     of sizes, for which a is computed. Runs of one bag alone only take places."""
     spark = members.sparkSession
     rows = written(members.join(texts, "node").select("node", "component", "words"), "members")
-    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, whatever the corpus
+    slots = slots or _slots_for(rows.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0)  # one number
+    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, 64 MB at most
     bin_of = lambda n: np.floor(np.log(np.maximum(n, 1.0)) / math.log(BIN)).astype(int)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +183,11 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
     return pairs
 
 
-def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, digest, component, class_id, linked_to`` of each row: the digest of its words, the number of its class, the least
-    doc_id of the class, and the least doc_id of its text's equals and verified links, itself left out if it is the only one."""
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int | None = None) -> DataFrame:
+    """``doc_id, digest, component, class_id, linked_to, links`` of each row: the digest of its words, the number of its class, the
+    least doc_id of the class, the least doc_id of its text's equals and verified links, itself left out if it is the only one; and
+    the least doc_ids of its equals and of the texts that it was compared with and is linked to, comma-joined. A link between two
+    texts is listed with one of them, so rows and their links, taken together, connect each class."""
     sketch = written(sketches(docs), "sketches")
     nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written: numbers stay, and a join of two exchanges can split a hot key
@@ -213,17 +221,21 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS)
     every = links.unionByName(more)
     ends = every.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(every.select(F.col("v").alias("node"), F.col("u").alias("to")))
     linked = ends.join(nodes.select(F.col("node").alias("to"), F.col("least").alias("to_id")), "to").groupBy("node").agg(F.min("to_id").alias("to_id"))
+    own = every.select(F.col("u").alias("node"), F.col("v").alias("to")).join(nodes.select(F.col("node").alias("to"), F.col("least").alias("to_id")), "to")
+    linked = linked.join(own.groupBy("node").agg(F.collect_set("to_id").alias("own")), "node", "left")
     named = written(nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     ids = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "ids")
-    labels = named.join(ids, "component").join(linked, "node", "left").select("digest", "component", "class_id", F.when(F.col("copies") > 1, F.least("least", "to_id")).otherwise(F.col("to_id")).alias("linked_to"))
+    labels = named.join(ids, "component").join(linked, "node", "left")
+    listed = F.concat(F.array_compact(F.array(F.when(F.col("copies") > 1, F.col("least")))), F.coalesce("own", F.array().cast("array<long>")))
+    labels = labels.select("digest", "component", "class_id", F.when(F.col("copies") > 1, F.least("least", "to_id")).otherwise(F.col("to_id")).alias("linked_to"), F.array_join(F.array_sort(listed), ",").alias("links"))
     labels = written(labels, "labels")
     discard(nodes, links, more, named, ids)
     return sketch.select("doc_id", "digest").join(labels, "digest")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, linked_to`` of each row."""
-    return labelled(docs, threshold).select("doc_id", "class_id", "linked_to")
+    """``doc_id, class_id, linked_to, links`` of each row."""
+    return labelled(docs, threshold).select("doc_id", "class_id", "linked_to", "links")
 
 
 def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

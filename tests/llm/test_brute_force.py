@@ -462,7 +462,7 @@ def test_near_duplicates(spark, texts):
     docs = [*texts.items(), *((d + 10_000, t) for d, t in ODD if d and d != 5), *enumerate(family(1, 90, 120, 9), 20_000), *enumerate(family(2, 60, 40, 3), 30_000), *enumerate(family(3, 5, 7, 1), 40_000), (50_000, "to " * 40), (50_001, "to " * 41), (50_002, "to " * 60)]
     want = plain_classes(docs)
     bags = {d: bag_of(t) for d, t in docs}
-    for slots in (64, near_dups.SLOTS):
+    for slots in (64, None):
         rows = near_dups.labelled(frame(spark, docs).repartition(5), slots=slots).collect()
         assert {r["doc_id"]: r["class_id"] for r in rows} == want
     for r in rows:
@@ -470,6 +470,22 @@ def test_near_duplicates(spark, texts):
         alone = sum(c == want[r["doc_id"]] for c in want.values()) == 1
         assert (b is None) == alone
         assert b is None or a == b or (a & b).total() >= 0.8 * (a | b).total()
+    parent = {d: d for d in want}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for r in rows:
+        for to in map(int, filter(None, r["links"].split(","))):
+            a, b = bags[r["doc_id"]], bags[to]
+            assert a == b or (a & b).total() >= 0.8 * (a | b).total()
+            parent[root(r["doc_id"])] = root(to)
+    rebuilt = collections.defaultdict(set)
+    for d in want:
+        rebuilt[root(d)].add(d)
+    assert {min(c): c for c in rebuilt.values()} == {k: {d for d, c in want.items() if c == k} for k in set(want.values())}
 
 
 def test_one_row_of_each_class_stays(spark):
@@ -482,6 +498,7 @@ def test_one_row_of_each_class_stays(spark):
 
 
 def test_near_duplicates_of_odd_rows(spark):
+    assert near_dups._slots_for(0) == near_dups.LEAST_SLOTS and near_dups._slots_for(5_000) == 32_768 and near_dups._slots_for(10**12) == near_dups.MOST_SLOTS
     rows = near_dups.classes(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)
     classes = {r["doc_id"]: r["class_id"] for r in rows}
