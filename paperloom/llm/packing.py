@@ -97,15 +97,15 @@ def pack(cut: DataFrame, max_tokens: int = 2048) -> DataFrame:
     """Rows of ``pieces`` with ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
     salts = 8 * partitions(spark)
-    cut = written(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    cut = written(cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("row")), "pieces")
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))  # rows of one doc_id, or of none, are dealt out too
     groups = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     lookup, _ = plan(counts, max_tokens)
 
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+    own = Window.partitionBy("length", "salt").orderBy("row")
     numbered = (
         cut.withColumn("own", F.row_number().over(own) - 1)
         .join(groups.select("length", "salt", "before"), ["length", "salt"])
