@@ -157,9 +157,9 @@ CTES = {
     "required": "SELECT code, list_sort(list_transform(params, lambda x: x.name)) AS params FROM part_params",
     "langs": "SELECT CAST(p_partkey AS BIGINT) AS own, unnest(['en', 'de']) AS lang FROM part",
     "lang_keys": "SELECT own, lang, own + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS k FROM langs",
-    "translations": """SELECT lang, CASE WHEN own % 19 = 0 THEN 'part_' WHEN k % 23 = 0 THEN 'EXTRA_' ELSE 'PART_' END || own AS key, CASE WHEN k % 17 = 0 THEN ' ' ELSE 'Text' || CASE WHEN own % 2 = 0 AND k % 13 <> 0 THEN ' {{size}}' ELSE '' END ||
+    "translations": """SELECT lang, CASE WHEN own % 19 = 0 THEN 'part_' WHEN k % 23 = 0 THEN 'EXTRA_' ELSE 'PART_' END || own AS key, CASE WHEN k % 34 = 0 THEN chr(9) || chr(10) || chr(8195) WHEN k % 17 = 0 THEN ' ' WHEN k % 31 = 0 THEN 'Text {{größe}}' ELSE 'Text' || CASE WHEN own % 2 = 0 AND k % 13 <> 0 THEN ' {{size}}' ELSE '' END ||
         CASE WHEN own % 3 = 0 OR k % 11 = 0 THEN ' {{label}} {{label}}' ELSE '' END END AS text FROM lang_keys WHERE k % 29 <> 0""",
-    "compared": r"""SELECT coalesce(w.lang, t.lang) AS lang, coalesce(w.code, t.key) AS key, w.code, w.params, t.text, list_distinct(regexp_extract_all(t.text, '\{\{(\w+)\}\}', 1)) AS used
+    "compared": r"""SELECT coalesce(w.lang, t.lang) AS lang, coalesce(w.code, t.key) AS key, w.code, w.params, t.text, list_distinct(regexp_extract_all(t.text, '\{\{([\pL\pN_]+)\}\}', 1)) AS used
         FROM (SELECT r.*, l.lang FROM required r, (SELECT DISTINCT lang FROM translations) l) w FULL JOIN translations t ON t.lang = w.lang AND t.key = w.code""",
     "was": "SELECT 'doc/' || doc_id AS path, text FROM documents",
     "now": "SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'new/doc/' || doc_id, text FROM documents WHERE doc_id % 13 = 0",
@@ -175,7 +175,14 @@ _SELECTS = {
     "snk_1": "SELECT output_mode, unnest(CASE output_mode WHEN 'JSON_ONLY' THEN ['json'] WHEN 'PDF_ONLY' THEN ['annotation'] ELSE ['json', 'annotation'] END) AS part, n, doc_ids FROM (SELECT output_mode, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS doc_ids FROM requests GROUP BY output_mode)",
     "snk_2": "SELECT e.doc_id, e.code, c.http_status, e.params, md5('request:' || e.doc_id) AS request_id FROM errs e JOIN codes c ON c.code = e.code",
     "blk_1": "SELECT doc_id, seq, text, page, l, t, r, b, coord_origin FROM kept_items",
-    "blk_2": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 3 <> 0 THEN -seq ELSE seq END) - 1 AS INTEGER) AS seq, seq AS storage_seq, line AS text FROM lines",
+    "blk_2": """SELECT * FROM (WITH RECURSIVE rows_ AS (SELECT doc_id, seq, seq // 10 AS page, seq % 10 // 3 AS part FROM lines WHERE doc_id % 3 <> 0),
+        n AS (SELECT DISTINCT doc_id, 'd' AS node, NULL AS parent, 0 AS ordinal FROM rows_
+          UNION ALL SELECT DISTINCT doc_id, 'p' || page, 'd', CASE WHEN doc_id % 3 = 2 THEN 1000000 - page ELSE page END FROM rows_
+          UNION ALL SELECT DISTINCT doc_id, 'p' || page || 'g' || part, 'p' || page, CASE WHEN page % 2 = 1 THEN 1000000 - part ELSE part END FROM rows_
+          UNION ALL SELECT doc_id, 'l' || seq, 'p' || page || 'g' || part, CASE WHEN doc_id % 2 = 1 THEN 1000000 - seq ELSE seq END FROM rows_),
+        t AS (SELECT doc_id, node, [0] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ordinal) FROM n JOIN t ON t.doc_id = n.doc_id AND t.node = n.parent),
+        o AS (SELECT l.doc_id, l.seq, l.line, t.path FROM lines l LEFT JOIN t ON t.doc_id = l.doc_id AND t.node = 'l' || l.seq)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, seq) - 1 AS INTEGER) AS seq, seq AS storage_seq, line AS text, CAST(len(path) - 1 AS INTEGER) AS level FROM o)""",
     "blk_3": "SELECT doc_id, seq, page, x0, y0, x1, y1, known FROM located",
     "blk_4": "SELECT doc_id, seq, page, 'p' || page || '_b' || (row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1) AS block_id FROM located",
     "blk_5": f"SELECT doc_id, block_id, 'x_inverted' AS reason FROM blocks WHERE {_PAIR} % 9 = 0 UNION ALL SELECT doc_id, block_id, 'y_inverted' FROM blocks WHERE {_PAIR} % 10 = 0 UNION ALL SELECT doc_id, block_id, 'page_below_1' FROM blocks WHERE {_PAIR} % 14 = 0",
@@ -259,8 +266,8 @@ _SELECTS = {
     "con_1": """SELECT code, problem FROM (SELECT code, unnest(list_concat(list_concat([CASE WHEN NOT regexp_full_match(code, '[A-Z][A-Z0-9_]*') THEN 'bad_code' END, CASE WHEN http_status NOT BETWEEN 400 AND 599 THEN 'bad_status' END],
         list_transform(params, lambda x: CASE WHEN NOT regexp_full_match(x.name, '[a-zA-Z_][a-zA-Z0-9_]*') THEN 'bad_param:' || x.name END)), list_transform(params, lambda x: CASE WHEN x.type NOT IN ('string', 'integer', 'number', 'boolean') THEN 'bad_type:' || x.name END))) AS problem FROM part_params) WHERE problem IS NOT NULL""",
     "con_2": "SELECT code, array_to_string(params, ',') AS params FROM required",
-    "con_3": """SELECT lang, key, unnest(CASE WHEN text IS NULL THEN ['missing_key'] WHEN code IS NULL THEN ['extra_key'] WHEN trim(text) = '' THEN ['empty'] ELSE list_concat(list_transform(list_filter(params, lambda x: NOT list_contains(used, x)), lambda x: 'missing_param:' || x),
-        list_transform(list_filter(used, lambda x: NOT list_contains(params, x)), lambda x: 'undefined_param:' || x)) END) AS problem FROM compared""",
+    "con_3": """SELECT lang, key, unnest(CASE WHEN text IS NULL THEN ['missing_key'] WHEN code IS NULL THEN ['extra_key'] WHEN trim(text, ' ' || chr(9) || chr(10) || chr(8195)) = '' THEN ['empty'] ELSE list_concat(list_transform(list_filter(params, lambda x: NOT list_contains(used, x)), lambda x: 'missing_param:' || x),
+        list_transform(list_filter(used, lambda x: NOT list_contains(params, x)), lambda x: 'undefined_param:' || x)) END) AS problem FROM compared UNION ALL SELECT 'fr', NULL, 'missing_language'""",
     "con_4": "SELECT * FROM (SELECT coalesce(was.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'missing' WHEN was.path IS NULL THEN 'extra' WHEN was.text <> now.text THEN 'differs' END AS drift FROM was FULL JOIN now ON now.path = was.path) WHERE drift IS NOT NULL",
     "str_1": "SELECT doc_id, field_pos, field_name, value, status, source, grounded, attempts FROM fields",
     "str_2_ttl": """SELECT * FROM (WITH RECURSIVE o AS (SELECT user_id AS key, ts, event_id AS seq, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -274,6 +281,8 @@ _SELECTS = {
         WHERE f.doc_id NOT IN (SELECT doc_id FROM errs)""",
 }
 
+_SELECTS["str_2_stream"] = _SELECTS["str_2_ttl"]
+
 
 def _with(select: str) -> str:
     names: list[str] = []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction, text
-from ..operators import assemble, blocks, contracts, fields, grounding, json_schema, latency, offsets, registry, replies
+from ..operators import assemble, blocks, contracts, fields, grounding, json_schema, latency, offsets, registry, replies, trees
 from ..sources import derived, files
 from ..streaming import probes
 
@@ -97,9 +97,12 @@ def blk_1(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def blk_2(s: SparkSession, d: str) -> DataFrame:
-    lines = derived.lines(s, d)
-    rows = lines.select("doc_id", F.col("seq").alias("storage_seq"), F.when(F.col("doc_id") % 3 != 0, 100_000 - F.col("seq")).alias("reading_seq"), F.col("line").alias("text"))
-    return blocks.in_reading_order(rows).select("doc_id", "seq", "storage_seq", "text")
+    """Lines in the order of their documents' trees; documents without a tree keep the order in which they are stored."""
+    base = f"{_shared(s)}/trees-{uuid.uuid4().hex}"
+    order = trees.preorder(derived.trees(s, d), lambda df, name: _written(df, f"{base}/{name}"))
+    rows = derived.lines(s, d).select("doc_id", F.concat(F.lit("l"), F.col("seq").cast("string")).alias("node"), F.col("seq").alias("storage_seq"), F.col("line").alias("text"))
+    rows = rows.join(order.withColumnRenamed("seq", "reading_seq"), ["doc_id", "node"], "left")
+    return blocks.in_reading_order(rows).select("doc_id", "seq", "storage_seq", "text", "level")
 
 
 def _located(s: SparkSession, d: str) -> DataFrame:
@@ -619,7 +622,7 @@ def con_2(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def con_3(s: SparkSession, d: str) -> DataFrame:
-    return contracts.translation_problems(_required(s, d), derived.locales(s, d))
+    return contracts.translation_problems(_required(s, d), derived.locales(s, d), ("de", "en", "fr"))
 
 
 @query
@@ -655,7 +658,25 @@ def str_2(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def str_2_ttl(s: SparkSession, d: str) -> DataFrame:
-    return probes.transitions_with_ttl(derived.probes(s, d), 3600.0).select("key", "seq", "event")
+    base = f"{_shared(s)}/checks-{uuid.uuid4().hex}"
+    return probes.transitions_with_ttl(derived.probes(s, d), 3600.0, lambda df, name: _written(df, f"{base}/{name}")).select("key", "seq", "event")
+
+
+@query
+def str_2_stream(s: SparkSession, d: str) -> DataFrame:
+    """The same from a stream: the checks arrive in files, a quarter of the time after the other, several micro-batches in all."""
+    base, checks = f"{_shared(s)}/stream-{uuid.uuid4().hex}", derived.probes(s, d)
+    days = F.unix_date(F.col("ts").cast("date"))
+    first, last = checks.agg(F.min(days), F.max(days)).first()
+    for k in range(4):
+        checks.where(F.floor(4 * (days - F.lit(first)) / (F.lit(last) - F.lit(first) + 1)) == k).repartition(2, "key").write.mode("append").parquet(f"{base}/in")  # a key's checks of a quarter are in one file
+    provider, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    session = s.newSession()  # the state store is this stream's choice alone
+    session.conf.set(provider, kind)
+    stream = session.readStream.schema(checks.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    sink = probes.stream_transitions(stream, 3600.0).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(probes.events_schema(checks)).parquet(f"{base}/out").select("key", "seq", "event")
 
 
 # ---- the whole pipeline

@@ -277,11 +277,24 @@ def locales(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(k.alias("k"), F.explode(F.array(F.lit("en"), F.lit("de"))).alias("lang"))
     k = F.col("k") + F.when(F.col("lang") == "de", F.lit(1)).otherwise(F.lit(0))
     own = F.col("k")
-    text = F.when(k % 17 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Text"), F.when((own % 2 == 0) & (k % 13 != 0), F.lit(" {{size}}")).otherwise(F.lit("")), F.when((own % 3 == 0) | (k % 11 == 0), F.lit(" {{label}} {{label}}")).otherwise(F.lit(""))))
+    text = F.when(k % 34 == 0, F.lit("\t\n\u2003")).when(k % 17 == 0, F.lit(" ")).when(k % 31 == 0, F.lit("Text {{größe}}")).otherwise(F.concat(F.lit("Text"), F.when((own % 2 == 0) & (k % 13 != 0), F.lit(" {{size}}")).otherwise(F.lit("")), F.when((own % 3 == 0) | (k % 11 == 0), F.lit(" {{label}} {{label}}")).otherwise(F.lit(""))))
     key = F.when(own % 19 == 0, F.concat(F.lit("part_"), own.cast("string"))).when(k % 23 == 0, F.concat(F.lit("EXTRA_"), own.cast("string"))).otherwise(F.concat(F.lit("PART_"), own.cast("string")))
     return rows.where(k % 29 != 0).select("lang", key.alias("key"), text.alias("text"))
 
 
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of documents' pages, paragraphs and lines (doc_id, node, parent, ordinal), for two of three documents; children are
+    numbered backwards here and there, and stored in no order."""
+    rows = lines(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", "seq", F.floor(F.col("seq") / 10).alias("page"), F.floor(F.col("seq") % 10 / 3).alias("part"))
+    page, part = F.concat(F.lit("p"), F.col("page").cast("string")), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("g"), F.col("part").cast("string"))
+    back = lambda some, number: F.when(some, 1_000_000 - F.col(number)).otherwise(F.col(number))
+    node = lambda node, parent, ordinal: F.struct(node.alias("node"), parent.alias("parent"), ordinal.cast("long").alias("ordinal"))
+    root = node(F.lit("d"), F.lit(None).cast("string"), F.lit(0))
+    pages, parts = node(page, F.lit("d"), back(F.col("doc_id") % 3 == 2, "page")), node(part, page, back(F.col("page") % 2 == 1, "part"))
+    leaves = node(F.concat(F.lit("l"), F.col("seq").cast("string")), part, back(F.col("doc_id") % 2 == 1, "seq"))
+    return rows.select("doc_id", F.inline(F.array(leaves, parts, pages, root))).distinct()
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as they should be, and with some gone, some changed and some added."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")

@@ -265,6 +265,11 @@ def test_translations_and_drift(spark):
     given = spark.createDataFrame([("en", "A", "{{y}}"), ("en", "B", "  "), ("en", "D", "d")], "lang string, key string, text string")
     rows = {(r["key"], r["problem"]) for r in contracts.translation_problems(required, given).collect()}
     assert rows == {("A", "missing_param:x"), ("A", "undefined_param:y"), ("B", "empty"), ("C", "missing_key"), ("D", "extra_key")}
+    required = spark.createDataFrame([("A", ["größe", "x_1"]), ("B", []), ("C", []), ("D", [])], "code string, params array<string>")
+    given = spark.createDataFrame([("de", "A", "{{größe}} {{x_1}} {{ y }} {z}"), ("de", "B", "\t\n\u2003\x1c"), ("de", "C", None), ("en", "D", "{{数}}")], "lang string, key string, text string")
+    rows = {(r["lang"], r["key"], r["problem"]) for r in contracts.translation_problems(required, given, ("de", "en", "fr", "it")).collect()}
+    assert rows == {("de", "B", "empty"), ("de", "C", "empty"), ("de", "D", "missing_key"), *(("en", k, "missing_key") for k in "ABC"), ("en", "D", "undefined_param:数"), ("fr", None, "missing_language"), ("it", None, "missing_language")}
+    assert {r["problem"] for r in contracts.translation_problems(required, given.limit(0), ("de",)).collect()} == {"missing_language"}
     one = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content string")
     two = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "path string, content string")
     assert {(r["path"], r["drift"]) for r in contracts.drift(one, two).collect()} == {("b", "differs"), ("c", "missing"), ("d", "extra")}
@@ -281,21 +286,38 @@ def _walk(checks, ttl):
     return out
 
 
-def test_probes(spark, tmp_path):
-    import random
+def saved(tmp_path):
+    """Writes tables to places of their own and reads them back."""
+    import uuid
+
+    def write(df, name):
+        path = f"{tmp_path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    return write
+
+
+def test_probes(spark, tmp_path):
     random.seed(5)
-    checks = {k: sorted((random.randrange(10_000), random.random() < 0.6) for _ in range(60)) for k in range(7)}
+    checks = {k: sorted((random.randrange(10_000), random.random() < 0.6) for _ in range(60)) for k in (*range(7), None)}
+    checks[8] = [(t, t % 3 > 0) for t in range(0, 20_000, 7)]  # a key with most of the rows
+    checks[9] = [(5, True), (50_000, False), (50_001, True), (50_499, True), (50_500, True), (200_000, True), (200_500, False)]
     rows = [(k, t, i, ok) for k, of in checks.items() for i, (t, ok) in enumerate(of)]
     df = spark.createDataFrame(rows, "key long, t long, seq long, ok boolean").select("key", F.timestamp_seconds("t").alias("ts"), "seq", "ok")
-    for ttl in (0, 500):
+    for ttl in (0, 500, 3):
         want = {(k, t, e) for k, of in checks.items() for t, e in _walk(of, ttl)}
-        got = probes.transitions_with_ttl(df, ttl).select("key", F.unix_timestamp("ts"), "event").collect()
-        assert {tuple(r) for r in got} == want
+        got = probes.transitions_with_ttl(df, ttl, saved(tmp_path)).select("key", F.unix_timestamp("ts"), "event").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
     zero = {(k, t, e) for k, of in checks.items() for t, e in _walk(of, 0)}
     assert {tuple(r) for r in probes.transitions(df).select("key", F.unix_timestamp("ts"), "event").collect()} == zero
+    odd = spark.createDataFrame([(1, 0, 0, True), (1, 10, 1, None), (1, 10, 1, True), (1, None, 2, True), (1, 20, None, True)], "key long, t long, seq long, ok boolean").select("key", F.timestamp_seconds("t").alias("ts"), "seq", "ok")
+    assert [(r["seq"], r["event"]) for r in probes.transitions_with_ttl(odd, 5.0, saved(tmp_path)).orderBy("ts").collect()] == [(1, "became_unreachable"), (None, "recovered")]
+    assert probes.transitions_with_ttl(odd.limit(0), 5.0, saved(tmp_path)).isEmpty()
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     df.where("seq < 30").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in/*")
+    stream = session.readStream.schema(df.schema).parquet(f"{tmp_path}/in/*")
     for part in ("a", "b"):
         if part == "b":
             df.where("seq >= 30").coalesce(1).write.parquet(f"{tmp_path}/in/b")
@@ -304,6 +326,47 @@ def test_probes(spark, tmp_path):
     assert {tuple(r) for r in got} == {(k, t, e) for k, of in checks.items() for t, e in _walk(of, 500)}
 
 
+def plain_preorder(nodes):
+    """Numbers and levels by a walk."""
+    import sys
+
+    sys.setrecursionlimit(20_000)
+    out = {}
+    for doc in {n[0] for n in nodes}:
+        own = {n[1] for n in nodes if n[0] == doc}
+        kids = collections.defaultdict(list)
+        for d, node, parent, ordinal in nodes:
+            if d == doc:
+                kids[parent if parent in own else None].append((ordinal is not None, ordinal or 0, node))
+        seq = 0
+        stack = [(n, 0) for *_, n in sorted(kids[None], reverse=True)]
+        while stack:
+            node, level = stack.pop()
+            out[doc, node] = (seq, level)
+            seq += 1
+            stack += [(n, level + 1) for *_, n in sorted(kids[node], reverse=True)]
+        out |= {(doc, n): (None, None) for n in own if (doc, n) not in out}
+    return out
+
+
+def test_reading_order_of_trees(spark, tmp_path):
+    from paperloom.operators import trees
+
+    rng = random.Random(7)
+    nodes = [(1, i, i - 1 if i else None, 0) for i in range(700)]  # a path
+    nodes += [(2, i, 0 if i else None, rng.randrange(50)) for i in range(300)]  # a root with many children, ties among them
+    nodes += [(3, i, rng.randrange(i) if i else None, rng.choice((None, 1, 2, 3))) for i in range(200)]
+    nodes += [(4, 0, None, 1), (4, 1, None, 0), (4, 2, 99, 2), (4, 3, 2, 0), (4, 4, 5, 0), (4, 5, 4, 0), (4, 6, 5, 0), (4, 7, 7, 0)]  # roots, an orphan, circles
+    nodes += [(5, 0, 3, 0), (5, 3, 0, 0), (None, 0, None, 0), (None, 1, 0, 0)]
+    rng.shuffle(nodes)
+    table = spark.createDataFrame([(*n, 1, 2) for n in nodes], "doc_id long, node long, parent long, ordinal int, seq int, level int")
+    got = {(r["doc_id"], r["node"]): (r["seq"], r["level"]) for r in trees.preorder(table, saved(tmp_path)).collect()}
+    assert got == plain_preorder([n for n in nodes if n[0] is not None])
+    assert trees.preorder(table.limit(0), saved(tmp_path)).isEmpty()
+    twice = spark.createDataFrame([(1, 0, None, 0), (1, 1, 0, 5), (1, 1, 0, 3), (1, 2, 0, 4), (1, None, 0, 1)], "doc_id long, node long, parent long, ordinal int")
+    assert sorted(map(tuple, trees.preorder(twice, saved(tmp_path)).collect())) == [(1, 0, 0, 0), (1, 1, 1, 1), (1, 2, 2, 1)]
+
+
 def test_arrivals_are_processed_once(spark, tmp_path):
     src, out, check = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
     df = spark.range(10).withColumnRenamed("id", "doc_id")
