@@ -1,4 +1,8 @@
-"""Column functions on text. Whitespace is what Python's str.isspace means, which is wider than SQL's."""
+"""Column functions on text. Whitespace is what Python's str.isspace means, which is wider than SQL's.
+
+A value is located exactly, then with runs of whitespace as one space, then in compatibility form (NFKC) as well. The first two stay in
+the JVM; a Python function sees only rows that both have missed and that have a character beyond ASCII, as others have no other form.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .values import let
+
 SPACE = r"(?U)[\s\x1c-\x1f]"
 RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -67,45 +73,45 @@ def _find(text: str, value: str, normal: Callable[[str], Mapped]) -> tuple[int,
     return origins[at], origins[past] if past < len(origins) else len(text)
 
 
-def _ranges(texts: pd.Series, values: pd.Series, normal: Callable[[str], Mapped]) -> pd.DataFrame:
-    found = [_find(t, v, normal) if t and v else None for t, v in zip(texts, values, strict=True)]
-    return pd.DataFrame({"start": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})
+def whitespace_range(text: Column, value: Column) -> Column:
+    """Where ``value`` is in ``text`` if runs of whitespace count as one space, as a range of ``text``; a space stands for its whole run.
+    Null for a miss, and for null or empty texts and values.
 
+    A place of the shortened text is moved on by what the runs before it are longer than a space: the lengths of the runs are an
+    array, and as many of them count as there are spaces ahead of the place."""
 
-@F.pandas_udf(RANGE)
-def whitespace_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
-    return _ranges(texts, values, _collapse)
+    def origin(held: Column, place: Column) -> Column:
+        ahead = F.substring(held["short"], F.lit(1), place)
+        spaces = F.length(ahead) - F.length(F.replace(ahead, F.lit(" "), F.lit("")))
+        return place + F.aggregate(F.slice(held["runs"], F.lit(1), spaces), F.lit(0), lambda a, b: a + b) - spaces
 
+    def found(held: Column) -> Column:
+        span = lambda at: F.struct(origin(held, at - 1).cast("int").alias("start"), origin(held, at - 1 + F.length(held["wanted"])).cast("int").alias("end"))
+        return let(F.call_function("locate", held["wanted"], held["short"]), lambda at: F.when(at > 0, span(at)))
 
-@F.pandas_udf(RANGE)
-def nfkc_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
-    return _ranges(texts, values, _compose_collapse)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"{SPACE}+"), F.lit(0)), F.length)
+    held = F.struct(collapsed(text).alias("short"), collapsed(value).alias("wanted"), runs.alias("runs"))
+    return F.when((text != "") & (value != ""), let(held, found))
 
 
-METHODS = (("whitespace", _collapse), ("nfkc", _compose_collapse))
-HIT = T.StructType([T.StructField("method", T.StringType()), *RANGE.fields])
-
-
-@F.pandas_udf(HIT)
-def near_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
-    """The first of ``METHODS`` that finds the value, and the range; null texts and values cost nothing."""
-    rows = []
-    for text, value in zip(texts, values, strict=True):
-        found = ((name, _find(text, value, normal)) for name, normal in METHODS) if text and value is not None else ()
-        name, at = next(((n, r) for n, r in found if r), (None, (None, None)))
-        rows.append((name, *at))
-    names, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
-    return pd.DataFrame({"method": pd.Series(names, dtype=object), "start": pd.array(starts, "Int32"), "end": pd.array(ends, "Int32")})
+@F.pandas_udf(RANGE)
+def nfkc_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """The same in compatibility form; null texts and values cost nothing."""
+    found = [_find(t, v, _compose_collapse) if t and v else None for t, v in zip(texts, values, strict=True)]
+    return pd.DataFrame({"start": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})
 
 
 def match(rows: DataFrame, text: str = "text", value: str = "value") -> DataFrame:
     """``rows`` with ``match_method`` (direct, whitespace, nfkc; null for a miss) and ``match_start, match_end``.
 
-    One pass: the Python function gets nulls for rows that the exact comparison has found. A null or empty text, or a null value, is
-    a miss; rows are kept as often as they occur."""
-    tried = rows.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(value).alias("value"), located(F.col(text), F.col(value)).alias("hit"))
-    open_text, open_value = (F.when(F.col("hit").isNull(), F.col(c)) for c in ("text", "value"))
-    tried = tried.select("row", "hit", near_range(open_text, open_value).alias("near"))
-    either = lambda part: F.coalesce(F.col(f"hit.{part}"), F.col(f"near.{part}")).alias(f"match_{part}")
-    method = F.when(F.col("hit").isNotNull(), "direct").otherwise(F.col("near.method")).alias("match_method")
-    return tried.select("row.*", method, either("start"), either("end"))
+    One pass: the Python function gets nulls for rows that it cannot help. A null or empty text, or a null value, is a miss; an empty
+    value is at 0; rows are kept as often as they occur."""
+    tried = rows.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(value).alias("value"))
+    tried = tried.withColumn("hit", located(F.col("text"), F.col("value")))
+    tried = tried.withColumn("near", F.when(F.col("hit").isNull(), whitespace_range(F.col("text"), F.col("value"))))
+    other = F.col("hit").isNull() & F.col("near").isNull() & (F.col("text").rlike(r"[^\x00-\x7f]") | F.col("value").rlike(r"[^\x00-\x7f]"))
+    open_text, open_value = (F.when(other, F.col(c)) for c in ("text", "value"))
+    tried = tried.select("row", "hit", "near", nfkc_range(open_text, open_value).alias("far"))
+    first = lambda part: F.coalesce(*(F.col(f"{c}.{part}") for c in ("hit", "near", "far"))).alias(f"match_{part}")
+    method = F.when(F.col("hit").isNotNull(), "direct").when(F.col("near").isNotNull(), "whitespace").when(F.col("far.start").isNotNull(), "nfkc").alias("match_method")
+    return tried.select("row.*", method, first("start"), first("end"))

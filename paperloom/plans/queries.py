@@ -201,7 +201,7 @@ def _spaced(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def mat_2(s: SparkSession, d: str) -> DataFrame:
-    return _spaced(s, d).withColumn("hit", text.whitespace_range("text", "value")).select("doc_id", "seq", F.col("hit.start").cast("long").alias("start"), F.col("hit.end").cast("long").alias("end"))
+    return _spaced(s, d).withColumn("hit", text.whitespace_range(F.col("text"), F.col("value"))).select("doc_id", "seq", F.col("hit.start").cast("long").alias("start"), F.col("hit.end").cast("long").alias("end"))
 
 
 @query

@@ -286,6 +286,54 @@ def _walk(checks, ttl):
     return out
 
 
+def plain_range(text, value, normal):
+    """Where ``value`` is in ``text`` in a normal form, by way of a list of (character, where it comes from)."""
+
+    def mapped(t):
+        out = []
+        i = 0
+        while i < len(t):
+            j = i + 1
+            while normal == "nfkc" and j < len(t) and unicodedata.category(t[j]).startswith("M"):
+                j += 1
+            part = unicodedata.normalize("NFKC", t[i:j]) if normal == "nfkc" else t[i:j]
+            out += [(c, min(i + k, j - 1)) for k, c in enumerate(part)]
+            i = j
+        return [(" ", at) if c.isspace() else (c, at) for k, (c, at) in enumerate(out) if not (c.isspace() and k and out[k - 1][0].isspace())]
+
+    one, other = mapped(text), "".join(c for c, _ in mapped(value))
+    at = "".join(c for c, _ in one).find(other) if other else -1
+    if at < 0:
+        return None
+    past = at + len(other)
+    return one[at][1], one[past][1] if past < len(one) else len(text)
+
+
+def plain_match(text, value):
+    if value is not None and text is not None and (at := text.find(value)) >= 0:
+        return "direct", at, at + len(value)
+    for normal in ("whitespace", "nfkc"):
+        if text and value is not None and (found := plain_range(text, value, normal)):
+            return normal, *found
+    return None, None, None
+
+
+def test_matches_of_a_whole_table(spark):
+    """Each line of all documents, in the forms that the queries give them and in odd ones, as a plain version has it."""
+    from paperloom.plans.queries import _spaced, _values
+
+    d = "/root/testdata/sf0.001"
+    seq = F.col("seq")
+    odd = F.when(seq % 4 == 1, F.regexp_replace("text", " ", "  ")).when(seq % 4 == 2, F.regexp_replace("text", "a", "ａ")).when(seq % 4 == 3, F.regexp_replace(F.regexp_replace("text", "e", "e\u0301"), " ", "\u2003\n")).otherwise(F.regexp_replace("text", "fi", "ﬁ"))
+    rows = _values(spark, d).withColumn("text", odd).unionByName(_spaced(spark, d)).withColumn("match_end", F.lit(0)).drop("match_end")
+    more = [("a \t b", "a b"), ("a\x1cb", "a b"), ("  a", " a"), ("a  ", "a "), ("a  b  c", "b c"), ("½ x", "1⁄2 x"), ("x\u0301", "x"), ("  ", " "), ("", "a"), ("a", ""), (None, "a"), ("a", None), ("😀  y", "😀 y"), ("x\xa0y", "x y"), ("ab\u2003\u2003cd", "b c"), ("fi", "ﬁ"), ("Ａ", "A")]
+    rows = rows.select("text", "value").unionByName(spark.createDataFrame(more, "text string, value string"))
+    got = text.match(rows).collect()
+    assert len({r["match_method"] for r in got}) == 4
+    for r in got:
+        assert (r["match_method"], r["match_start"], r["match_end"]) == plain_match(r["text"], r["value"]), (r["text"], r["value"])
+
+
 def saved(tmp_path):
     """Writes tables to places of their own and reads them back."""
     import uuid
