@@ -1,9 +1,15 @@
-"""Gates, errors and responses."""
+"""Gates, errors, responses and their sinks.
+
+Defined results: a size that is not known is refused by no limit and admitted by none; of a document's errors that of the earliest
+gate stays, then the least parameters; documents without a doc_id match nothing; repeated rows count once where one is chosen and are
+kept elsewhere; empty tables give no rows, and sinks without any.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Error codes, their status and their parameters' names and types.
 CATALOGUE = (
@@ -88,13 +94,29 @@ def by_mode(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.explode(parts))
 
 
-def write(path: str, nested: DataFrame, fields: DataFrame, boxes: DataFrame, errors: DataFrame) -> None:
-    """Each table to its own place: responses whose mode has json as JSON, boxes of those whose mode has an annotation, the fields
-    by status and the errors as Parquet."""
-    nested.where("output_mode <> 'PDF_ONLY'").write.json(f"{path}/responses")
-    boxes.join(nested.where("output_mode <> 'JSON_ONLY'").select("doc_id"), "doc_id", "left_semi").write.parquet(f"{path}/highlights")
-    fields.join(nested.select("doc_id"), "doc_id", "left_semi").write.partitionBy("status").parquet(f"{path}/fields")
-    errors.write.parquet(f"{path}/errors")
+#: What a run leaves, and the format of each.
+SINKS = {"responses": "json", "fields": "parquet", "highlights": "parquet", "errors": "parquet"}
+
+
+def write(path: str, batch: int, nested: DataFrame, fields: DataFrame, boxes: DataFrame, errors: DataFrame) -> None:
+    """Each table to its own place, and a batch to its own folder there: responses whose mode has json as JSON, boxes of those whose mode
+    has an annotation, the fields by status and the errors as Parquet. A batch that is written again replaces what it wrote before,
+    rows or none, and leaves others alone."""
+    own = nested.select("doc_id", "output_mode")
+    tables = {
+        "responses": nested.where("output_mode <> 'PDF_ONLY'"),
+        "highlights": boxes.join(own.where("output_mode <> 'JSON_ONLY'").select("doc_id"), "doc_id", "left_semi"),
+        "fields": fields.join(own.select("doc_id"), "doc_id", "left_semi"),
+        "errors": errors,
+    }
+    for name, rows in tables.items():
+        out = rows.write.mode("overwrite").format(SINKS[name])
+        (out.partitionBy("status") if name == "fields" else out).save(f"{path}/{name}/batch={batch}")
+
+
+def read(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """A sink's rows, as ``schema`` has them, with their ``batch``; what is asked of batches, or of the fields' status, prunes folders."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).format(SINKS[name]).load(f"{path}/{name}")
 
 
 def validation_details(problems: DataFrame) -> DataFrame:

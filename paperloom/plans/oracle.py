@@ -169,10 +169,17 @@ CTES = {
 _PROMPT = " || ".join(f"'{part}'" if i % 2 else part for i, part in enumerate(("'Prompt ' || doc_id", REPLY_IS, "raw_text", FAILED_AS, "cause", SCHEMA_IS, f"'{pretty(ENVELOPE)}'", ONLY_JSON)))
 
 _SELECTS = {
-    "src_1": f"SELECT doc_id, CAST(n_bytes AS INTEGER) AS n_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN {MAX_BYTES} END AS max_bytes, CASE WHEN n_bytes > {MAX_BYTES} THEN CAST(n_bytes AS INTEGER) END AS actual_bytes FROM docs",
+    "src_1": f"SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN n_bytes <= {MAX_BYTES} THEN md5(text) END AS digest, CAST(CASE WHEN n_bytes > {MAX_BYTES} THEN {MAX_BYTES} END AS BIGINT) AS max_bytes, CAST(CASE WHEN n_bytes > {MAX_BYTES} THEN n_bytes END AS BIGINT) AS actual_bytes FROM docs",
     "src_2": "SELECT path, name, version, prompt, CAST(len(examples) AS INTEGER) AS n_examples, output_schema, ocr, table_mode, array_to_string(shape, ';') AS shape FROM files",
     "src_3": "SELECT c.code, c.http_status, c.params, count(e.doc_id) AS n FROM codes c LEFT JOIN errs e ON e.code = c.code GROUP BY ALL",
-    "snk_1": "SELECT output_mode, unnest(CASE output_mode WHEN 'JSON_ONLY' THEN ['json'] WHEN 'PDF_ONLY' THEN ['annotation'] ELSE ['json', 'annotation'] END) AS part, n, doc_ids FROM (SELECT output_mode, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS doc_ids FROM requests GROUP BY output_mode)",
+    "snk_1": """SELECT * FROM (WITH alive AS (SELECT * FROM asked WHERE code IS NULL AND doc_id NOT IN (SELECT doc_id FROM errs)),
+        marks AS (SELECT g.doc_id, g.ord || ':' || (row_number() OVER (PARTITION BY g.doc_id, g.ord ORDER BY o.idx) - 1) AS name, b.page || ':' || CAST(b.x0 AS INTEGER) || ':' || CAST(792 - b.y1 AS INTEGER) || ':' || CAST(b.x1 AS INTEGER) || ':' || CAST(792 - b.y0 AS INTEGER) AS value, h.height
+          FROM ground g JOIN line_offsets o ON o.doc_id = g.doc_id AND o.idx BETWEEN g.ai AND g.bi AND o.start < o."end" JOIN blocks b ON b.doc_id = o.doc_id AND b.seq = o.idx LEFT JOIN heights h ON h.doc_id = b.doc_id AND h.page = b.page WHERE g.hit),
+        f AS (SELECT f.*, a.output_mode FROM fields f JOIN alive a ON a.doc_id = f.doc_id)
+        SELECT CAST(doc_id % 2 AS INTEGER) AS batch, * FROM (SELECT 'responses' AS sink, doc_id, field_name AS name, value FROM f WHERE output_mode <> 'PDF_ONLY'
+          UNION ALL SELECT 'fields', doc_id, field_name, status FROM f
+          UNION ALL SELECT 'highlights', m.doc_id, m.name, m.value FROM marks m JOIN alive a ON a.doc_id = m.doc_id WHERE a.output_mode <> 'JSON_ONLY' AND m.height IS NOT NULL
+          UNION ALL SELECT 'errors', e.doc_id, e.code, CAST(c.http_status AS VARCHAR) FROM errs e JOIN codes c ON c.code = e.code))""",
     "snk_2": "SELECT e.doc_id, e.code, c.http_status, e.params, md5('request:' || e.doc_id) AS request_id FROM errs e JOIN codes c ON c.code = e.code",
     "blk_1": "SELECT doc_id, seq, text, page, l, t, r, b, coord_origin FROM kept_items",
     "blk_2": """SELECT * FROM (WITH RECURSIVE rows_ AS (SELECT doc_id, seq, seq // 10 AS page, seq % 10 // 3 AS part FROM lines WHERE doc_id % 3 <> 0),

@@ -47,9 +47,17 @@ def _box(df: DataFrame) -> DataFrame:
 
 @query
 def src_1(s: SparkSession, d: str) -> DataFrame:
-    kept, refused = assemble.admitted(derived.docs(s, d).select("doc_id", "n_bytes"), MAX_BYTES)
-    none = F.lit(None).cast("int")
-    return kept.select("doc_id", "n_bytes", none.alias("max_bytes"), none.alias("actual_bytes")).unionByName(refused.select("doc_id", F.col("actual_bytes").alias("n_bytes"), "max_bytes", "actual_bytes"))
+    """Documents as files, read up to a limit of bytes; the others are refused without being read. Spark's readers pass over files of no
+    bytes, so a document that has no file has none."""
+    folder = f"{_shared(s)}/documents-{uuid.uuid4().hex}"
+    files.write_files(derived.table(s, d, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")), folder)
+    kept, refused = files.read_documents(s, f"{folder}/in", MAX_BYTES)
+    doc_id, none = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), F.lit(None).cast("long")
+    kept = kept.select(doc_id, "n_bytes", F.md5("content").alias("digest"), none.alias("max_bytes"), none.alias("actual_bytes"))
+    found = kept.unionByName(refused.select(doc_id, F.col("actual_bytes").alias("n_bytes"), F.lit(None).cast("string").alias("digest"), F.col("max_bytes").cast("long").alias("max_bytes"), "actual_bytes"))
+    empty = F.col("n_bytes").isNull()
+    rows = derived.table(s, d, "documents").select("doc_id").join(found, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), F.when(empty, F.md5(F.lit(""))).otherwise(F.col("digest")).alias("digest"), "max_bytes", "actual_bytes")
 
 
 def _registry(s: SparkSession, d: str) -> DataFrame:
@@ -73,12 +81,20 @@ def src_3(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def snk_1(s: SparkSession, d: str) -> DataFrame:
-    """What each output mode asks for, written to its sink and read back."""
-    base, rows = f"{_shared(s)}/sinks-{uuid.uuid4().hex}", assemble.by_mode(derived.requests(s, d)).select("doc_id", "output_mode", "part")
-    rows.where("part = 'json'").write.json(f"{base}/json")
-    rows.where("part = 'annotation'").write.parquet(f"{base}/annotation")
-    found = s.read.schema(rows.schema).json(f"{base}/json").unionByName(s.read.schema(rows.schema).parquet(f"{base}/annotation"))
-    return found.groupBy("output_mode", "part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("doc_ids"))
+    """What a run leaves in its sinks, read back: values of responses, fields' status, rectangles of highlights, errors. The documents
+    go in two batches, the first of which is written twice."""
+    path, made = f"{_shared(s)}/sinks-{uuid.uuid4().hex}", tables(s, d)
+    keep = files.keeper(s, f"{path}-made")
+    made = {name: keep(made[name], name) for name in assemble.SINKS}
+    for batch in (0, 1, 0):
+        own = {name: made[name].where(F.col("doc_id") % 2 == batch) for name in made}
+        assemble.write(path, batch, own["responses"], own["fields"], own["highlights"], own["errors"])
+    got = {name: assemble.read(s, path, name, made[name].schema) for name in assemble.SINKS}
+    row = lambda sink, name, value: (F.col("batch"), F.lit(sink).alias("sink"), F.col("doc_id"), name.alias("name"), value.alias("value"))
+    responses = got["responses"].select("batch", "doc_id", F.explode("fields").alias("name", "field")).select(*row("responses", F.col("name"), F.col("field.value")))
+    place = F.concat_ws(":", *(F.col(c).cast("int").cast("string") for c in ("page", "x0", "y0", "x1", "y1")))
+    highlights = got["highlights"].select(*row("highlights", F.concat_ws(":", F.col("ord").cast("string"), F.col("box_no").cast("string")), place))
+    return responses.unionByName(got["fields"].select(*row("fields", F.col("field_name"), F.col("status")))).unionByName(highlights).unionByName(got["errors"].select(*row("errors", F.col("code"), F.col("http_status").cast("string"))))
 
 
 @query
@@ -264,8 +280,7 @@ def out_7(s: SparkSession, d: str) -> DataFrame:
             yield frame.assign(raw_text=frame["raw_text"].mask(lazy, "I cannot say."))
 
     prompts = derived.table(s, d, "documents").select("doc_id", F.lit(1).alias("attempt"), F.lit("find").alias("prompt"), "text")
-    base = f"{_shared(s)}/replies-{uuid.uuid4().hex}"
-    said = replies.infer_with_retries(prompts, predict, lambda df, name: _written(df, f"{base}/{name}"))
+    said = replies.infer_with_retries(prompts, predict, files.keeper(s, f"{_shared(s)}/replies-{uuid.uuid4().hex}"))
     valid = said.where("cause is null").select((F.col("doc_id") * 10 + F.col("attempt")).alias("doc_id"), "parsed")
     return replies.flattened(valid).select(F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).cast("int").alias("attempt"), "field_name", "value")
 

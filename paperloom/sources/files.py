@@ -1,9 +1,13 @@
-"""Reading documents and the registry from files."""
+"""Documents and the registry from files, files from rows, and tables that are written once.
+
+Defined results: files of no bytes are not seen by Spark's readers; a null content is an empty file; of rows with one path any one stays;
+empty tables write no files.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +24,25 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = 50 << 20) ->
     return kept, refused
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job has ended that wrote ``path``: the driver looks for its mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def keeper(spark: SparkSession, base: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table below ``base`` under a name and reads it back. What a job has already written in full is only
+    read, so a run that failed goes on where it stopped; what it left half done is replaced."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{base.rstrip('/')}/{name}"
+        if not _complete(spark, path):
+            df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def below(folder: str) -> Column:
     """The ``path`` of a file relative to ``folder``, which may or may not name its file system."""
     root = re.sub("^[a-z0-9]+:/+", "/", f"{folder.rstrip('/')}/")  # Spark writes file:/ for file:///

@@ -181,6 +181,35 @@ def test_retries_ask_again_only_for_invalid(spark, tmp_path):
     assert rows.count() == 1 + 2 + 3 + 4
 
 
+def test_rounds_go_on_where_they_stopped(spark, tmp_path):
+    """A run that fails in its second round asks no question of the first again."""
+    from paperloom.sources import files
+
+    (tmp_path / "asked").mkdir()
+
+    def predict(frames, folder=str(tmp_path)):
+        import os
+        import uuid
+
+        for f in frames:
+            for d, a in zip(f["doc_id"], f["attempt"], strict=True):
+                open(f"{folder}/asked/{a}-{d}-{uuid.uuid4().hex}", "w").close()
+                if a == 2 and not os.path.exists(f"{folder}/up"):
+                    raise ConnectionError("the model is down")
+            f["raw_text"] = ['{"extractions":[]}' if a > d else "no" for d, a in zip(f["doc_id"], f["attempt"], strict=True)]
+            yield f[["doc_id", "attempt", "raw_text"]]
+
+    prompts = spark.createDataFrame([(d, "ask", "t") for d in (0, 1, 2)], "doc_id long, prompt string, text string")
+    with pytest.raises(Exception, match="the model is down"):
+        replies.infer_with_retries(prompts, predict, files.keeper(spark, f"file://{tmp_path}/rounds"))
+    (tmp_path / "up").touch()
+    rows = replies.infer_with_retries(prompts, predict, files.keeper(spark, f"file://{tmp_path}/rounds"))
+    assert {(r["doc_id"], r["attempt"]) for r in rows.where("cause is null").collect()} == {(0, 1), (1, 2), (2, 3)}
+    asked = collections.Counter(f.name[:3] for f in (tmp_path / "asked").iterdir())
+    assert {k: n for k, n in asked.items() if k[0] != "2"} == {"1-0": 1, "1-1": 1, "1-2": 1, "3-2": 1}
+    assert rows.count() == 6
+
+
 def test_fields(spark):
     raw = spark.createDataFrame([(1, 0, "a", "x", None, 3, True, 1), (1, 1, "a", "y", 0, 3, True, 1), (1, 2, "b", "z", 5, 5, True, 1), (1, 3, "c", "w", 1, 4, True, 1)], RAW)
     firsts = fields.first_arrival(raw)
@@ -436,9 +465,35 @@ def test_pipeline_partitions_documents(spark, tmp_path):
     assert alive.intersect(dead).isEmpty()
     assert alive.union(dead).distinct().count() == docs.count() == alive.count() + dead.count()
     assert t["fields"].count() == alive.count() * len(queries.DECLARED)
-    assemble.write(str(tmp_path / "out"), t["responses"], t["fields"], t["highlights"], t["errors"])
-    assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == dead.count()
-    assert spark.read.json(str(tmp_path / "out" / "responses")).where("output_mode = 'PDF_ONLY'").isEmpty()
+    out = f"{tmp_path}/out"
+    for batch in (1, 2, 1):
+        assemble.write(out, batch, t["responses"], t["fields"], t["highlights"], t["errors"])
+    got = {name: assemble.read(spark, out, name, t[name].schema) for name in assemble.SINKS}
+    assert got["errors"].groupBy("batch").count().orderBy("batch").collect() == [(1, dead.count()), (2, dead.count())]
+    assert got["fields"].where("batch = 1").drop("batch").exceptAll(t["fields"].select(got["fields"].drop("batch").columns)).isEmpty()
+    assert got["fields"].count() == 2 * t["fields"].count()
+    assert got["responses"].where("output_mode = 'PDF_ONLY'").isEmpty() and not got["responses"].isEmpty()
+    assert got["responses"].where("batch = 2").select(F.explode("fields").alias("name", "f")).select("name", "f.*").schema.names == ["name", "value", "status", "source", "grounded", "bbox_refs"]
+    asked = got["fields"].where("batch = 1 and status = 'failed'")._jdf.queryExecution()
+    asked.toRdd().count()
+    plan = asked.executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan and "status" in plan.split("PartitionFilters")[1].split("]")[0] and "PushedFilters: []" in plan
+    none = {name: t[name].limit(0) for name in t}
+    assemble.write(out, 1, none["responses"], none["fields"], none["highlights"], none["errors"])
+    assert [(r["batch"], r["count"]) for r in assemble.read(spark, out, "errors", t["errors"].schema).groupBy("batch").count().collect()] == [(2, dead.count())]
+
+
+def test_refused_files_are_not_read(spark, tmp_path):
+    from paperloom.sources import files
+
+    files.write_files(spark.range(5).selectExpr("concat('in/', id) as path", "repeat('x', cast(10 * id + 1 as int)) as content"), str(tmp_path))
+    kept, refused = files.read_documents(spark, f"{tmp_path}/in", 21)
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,21)]" in kept._jdf.queryExecution().executedPlan().toString()
+    schema = refused._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert "content" not in schema
+    assert (kept.count(), refused.count()) == (3, 2)
+    (tmp_path / "in" / "4").chmod(0)  # what is refused is listed, never opened
+    assert sorted(r["n_bytes"] for r in kept.collect()) == [1, 11, 21] and sorted(r["actual_bytes"] for r in refused.collect()) == [31, 41]
 
 
 def test_null_texts_reach_the_gates(spark, tmp_path):
