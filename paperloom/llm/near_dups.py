@@ -37,7 +37,7 @@ from .components import components
 
 THRESHOLD = 0.8
 #: Counters of the filter that orders runs by how many bags hold them: four bytes each, sent to every executor.
-LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 24
+LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 22
 #: Bags, or runs in all, that are sketched at once, and prefix rows that are handed on at once.
 GROUP, GROUP_RUNS, PLACED = 256, 1 << 18, 1 << 18
 #: Ratio of neighbouring bins of sizes.
@@ -119,12 +119,13 @@ def _filter_counts(rows: DataFrame, slots: int) -> np.ndarray:
                 for at in _slots(_runs(text), slots):
                     np.add.at(held, at, 1)
         used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(held[used])], ["slot", "n"])
 
-    sums = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    most = F.least(F.sum("n"), F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")  # that a run is so frequent is all that counts
+    sums = rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(most).toArrow()
     whole = np.zeros(slots, np.int64)
     whole[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return np.minimum(whole, np.iinfo(np.uint32).max).astype(np.uint32)
+    return whole.astype(np.uint32)
 
 
 def _slots_for(runs: int) -> int:
@@ -141,7 +142,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
     spark = members.sparkSession
     rows = written(members.join(texts, "node").select("node", "component", "words"), "members")
     slots = slots or _slots_for(rows.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0)  # one number
-    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, 64 MB at most
+    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, 16 MB at most
     bin_of = lambda n: np.floor(np.log(np.maximum(n, 1.0)) / math.log(BIN)).astype(int)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
