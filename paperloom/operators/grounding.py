@@ -72,21 +72,29 @@ def boxes(found: DataFrame, offsets: DataFrame, blocks: DataFrame) -> DataFrame:
     """``doc_id, ord, box_no, block_id, page, x0..y1, broken``: whole-block rectangles of grounded spans in order of the index.
 
     A span over several blocks has each block between once, those without width left out. Where the index has the end before the
-    start, it has the start's block alone, and ``broken`` says why."""
-    seen = offsets.groupBy("doc_id", "block_id").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
-    start = seen.select("doc_id", F.col("block_id").alias("start_block"), F.col("first").alias("from_idx"))
+    start, it has the start's block alone, and ``broken`` says why.
+
+    Entries that have width are numbered, and each entry knows how many of them stand before it, so that a span is the interval of
+    their numbers and makes as many rows as it has entries with width, however many empty ones lie between."""
+    has_width = F.when(F.col("start") < F.col("end"), 1).otherwise(0)
+    ahead = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = offsets.withColumn("number", F.coalesce(F.sum(has_width).over(ahead), F.lit(0)))
+    seen = numbered.groupBy("doc_id", "block_id").agg(F.min("idx").alias("first"), F.min("number").alias("from_number"), F.max("idx").alias("last"))
+    start = seen.select("doc_id", F.col("block_id").alias("start_block"), F.col("first").alias("from_idx"), "from_number")
     end = seen.select("doc_id", F.col("block_id").alias("end_block"), F.col("last").alias("end_last"))
     rows = found.where("grounded").select("doc_id", "ord", "start_block", "end_block").join(start, ["doc_id", "start_block"], "left").join(end, ["doc_id", "end_block"], "left")
     broken = F.when(F.col("start_block") == F.col("end_block"), None).when(F.col("from_idx").isNull(), "start_block_not_seen").when(F.col("end_last").isNull(), "end_block_not_seen_after_start").when(F.col("end_last") < F.col("from_idx"), "end_block_seen_before_start_block")
     rows = rows.withColumn("broken", broken)
     several = rows.where("start_block <> end_block and broken is null")
-    stops = offsets.select("doc_id", "block_id", F.col("idx").alias("at"), F.col("idx").alias("stop"), F.lit(None).cast("int").alias("ord"))
-    asked = several.select("doc_id", F.col("end_block").alias("block_id"), F.col("from_idx").alias("at"), F.lit(None).cast(stops.schema["stop"].dataType).alias("stop"), "ord")
+    stop = F.struct(F.col("idx"), (F.col("number") + has_width - 1).alias("to_number"))
+    none = F.lit(None)
+    stops = numbered.select("doc_id", "block_id", F.col("idx").alias("at"), stop.alias("stop"), none.cast("int").alias("ord"), none.cast("long").alias("from_number"))
+    asked = several.select("doc_id", F.col("end_block").alias("block_id"), F.col("from_idx").alias("at"), none.cast(stops.schema["stop"].dataType).alias("stop"), "ord", "from_number")
     passed = Window.partitionBy("doc_id", "block_id").orderBy(F.desc("at"), F.asc_nulls_last("stop")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    several = stops.unionByName(asked).withColumn("to_idx", F.last("stop", ignorenulls=True).over(passed)).where("stop is null").select("doc_id", "ord", F.col("at").alias("from_idx"), "to_idx").distinct()
-    several = several.withColumn("idx", F.explode(F.sequence("from_idx", "to_idx")))
-    wide = offsets.where("start < end").select("doc_id", "idx", "block_id")
-    chosen = several.join(wide, ["doc_id", "idx"]).groupBy("doc_id", "ord", "block_id").agg(F.min("idx").alias("idx")).withColumn("broken", F.lit(None).cast("string"))
+    several = stops.unionByName(asked).withColumn("to", F.last("stop", ignorenulls=True).over(passed)).where("stop is null").select("doc_id", "ord", "from_number", "to.to_number").distinct()
+    several = several.where("from_number <= to_number").withColumn("number", F.explode(F.sequence("from_number", "to_number")))
+    wide = numbered.where("start < end").select("doc_id", "number", "idx", "block_id")
+    chosen = several.join(wide, ["doc_id", "number"]).groupBy("doc_id", "ord", "block_id").agg(F.min("idx").alias("idx")).withColumn("broken", F.lit(None).cast("string"))
     one = rows.where("start_block = end_block or broken is not null").select("doc_id", "ord", F.col("start_block").alias("block_id"), F.lit(0).alias("idx"), "broken")
     chosen = chosen.unionByName(one).join(_last_blocks(blocks), ["doc_id", "block_id"])
     order = Window.partitionBy("doc_id", "ord").orderBy("idx")
