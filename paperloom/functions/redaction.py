@@ -1,4 +1,8 @@
-"""Log redaction."""
+"""Log redaction.
+
+Defined results: nulls stay null; a map's null values stay, its keys are compared without case; repeated rows are rows of their own; no
+rows give none.
+"""
 
 from __future__ import annotations
 

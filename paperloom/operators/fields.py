@@ -23,7 +23,7 @@ def drop_undeclared(raw: DataFrame, fields: DataFrame, on: tuple[str, ...] = ("f
 def first_arrival(raw: DataFrame) -> DataFrame:
     """Of rows for the same document and field, the first by ``ord``, then value, start and end."""
     order = Window.partitionBy("doc_id", "field_name").orderBy("ord", "value", "start", "end")
-    return raw.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return raw.select(F.struct("*").alias("row"), F.row_number().over(order).alias("n")).where("n = 1").select("row.*")
 
 
 def sane_intervals(raw: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Concatenated text and the index of its blocks' offsets (code points).
 
 Defined results: a null text is an empty one; blocks with one ``seq`` follow each other by text, then id, in both; repeated blocks are
-blocks of their own; a point without an offset lies in no entry; empty tables give no rows.
+blocks of their own; a point without an offset lies in no entry; a point's columns are kept whatever their names; empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ def lookup(points: DataFrame, offsets: DataFrame, keep: tuple[str, ...] = ("bloc
 
     Entries are laid out on stretches of the text, so that points and entries of one document meet by equality of document and
     stretch, and a long document is not one task's product of its points and entries."""
-    held = offsets.where("start < end").select("doc_id", F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))).alias("_at"), F.col("start").alias("_start"), F.col("end").alias("_end"), *(F.col(c).alias(f"_k_{c}") for c in keep))
-    asked = points.withColumn("_at", F.floor(F.col("offset") / STRETCH))
-    inside = (F.col("offset") >= F.col("_start")) & (F.col("offset") < F.col("_end"))
-    joined = asked.alias("a").join(held.alias("h"), (F.col("a.doc_id") == F.col("h.doc_id")) & (F.col("a._at") == F.col("h._at")) & inside, "left")
-    return joined.select(*(F.col(f"a.{c}") for c in points.columns), *(F.col(f"_k_{c}").alias(c) for c in keep), (F.col("offset") - F.col("_start")).alias("local"))
+    stretch = lambda c: F.floor(c / STRETCH)
+    held = offsets.where("start < end").select(F.col("doc_id").alias("of"), F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("end") - 1))).alias("stretch"), F.struct("start", "end", *keep).alias("entry"))
+    asked = points.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.col("offset").alias("place"), stretch(F.col("offset")).alias("at"))
+    inside = (F.col("place") >= F.col("entry.start")) & (F.col("place") < F.col("entry.end"))
+    joined = asked.join(held, (F.col("own") == F.col("of")) & (F.col("at") == F.col("stretch")) & inside, "left")
+    return joined.select("row.*", *(F.col(f"entry.{c}").alias(c) for c in keep), (F.col("place") - F.col("entry.start")).alias("local"))
 
 
 def block_count(offsets: DataFrame) -> DataFrame:

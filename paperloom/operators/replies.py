@@ -1,7 +1,10 @@
 """Model replies: cleaning, parsing, validation, retries, prompts.
 
 JSON is parsed by ``try_parse_json``; unlike Python's decoder it refuses NaN. Of repeated keys the last counts only with
-``spark.sql.variant.allowDuplicateKeys``; without it such a reply is a parse error."""
+``spark.sql.variant.allowDuplicateKeys``; without it such a reply is a parse error.
+
+Defined results: a null reply has no JSON object; of a document's replies with one attempt number the least valid text is chosen, and each
+refused one gives a cause; a document without replies is in no result; repeated rows are judged each; empty tables give no rows."""
 
 from __future__ import annotations
 

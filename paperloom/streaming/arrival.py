@@ -1,4 +1,8 @@
-"""Documents as they arrive: each micro-batch runs a batch function on its own rows."""
+"""Documents as they arrive: each micro-batch runs a batch function on its own rows.
+
+Defined results: rows are handed on as they are, nulls and repeated ones too; files that were seen are not read again; a folder without
+new files writes nothing.
+"""
 
 from __future__ import annotations
 

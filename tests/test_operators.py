@@ -221,6 +221,14 @@ def test_fields(spark):
     assert [(r["field_pos"], r["field_name"]) for r in fields.declared(skills).orderBy("field_pos").collect()] == [(0, "z"), (1, "a")]
 
 
+def test_columns_are_kept_whatever_their_names(spark):
+    raw = spark.createDataFrame([(1, 0, "f", "b", 1, 2, "a", "b", 3, "r")], "doc_id long, ord int, field_name string, value string, start int, end int, _n string, n string, at int, row string")
+    assert tuple(fields.first_arrival(raw).first()) == (1, 0, "f", "b", 1, 2, "a", "b", 3, "r")
+    index = spark.createDataFrame([(1, 0, 0, 9, "b")], "doc_id long, idx int, start long, end long, block_id string")
+    points = spark.createDataFrame([(1, 4, "x", "y", "z", "s", "o")], "doc_id long, offset long, _at string, own string, of string, stretch string, row string")
+    assert tuple(offsets.lookup(points, index).first()) == (1, 4, "x", "y", "z", "s", "o", "b", 4)
+
+
 def test_lookup_of_skills(spark):
     skills = spark.createDataFrame([("a", 1), ("a", 3)], "name string, version int")
     asked = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate([("a", "latest"), ("a", "1"), ("a", "2"), ("b", "latest"), ("a", "0"), ("a", "01"), ("a", "99999999999")])], "doc_id long, skill_name string, skill_version string")
