@@ -37,7 +37,7 @@ from .components import components
 
 THRESHOLD = 0.8
 #: Counters of the filter that orders runs by how many bags hold them: four bytes each, sent to every executor.
-LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 22
+LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 20
 #: Bags, or runs in all, that are sketched at once, and prefix rows that are handed on at once.
 GROUP, GROUP_RUNS, PLACED = 256, 1 << 18, 1 << 18
 #: Ratio of neighbouring bins of sizes.
@@ -142,7 +142,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
     spark = members.sparkSession
     rows = written(members.join(texts, "node").select("node", "component", "words"), "members")
     slots = slots or _slots_for(rows.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0)  # one number
-    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, 16 MB at most
+    counts = spark.sparkContext.broadcast(_filter_counts(rows, slots))  # 4 * slots bytes, 4 MB at most
     bin_of = lambda n: np.floor(np.log(np.maximum(n, 1.0)) / math.log(BIN)).astype(int)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
