@@ -4,11 +4,13 @@ Texts and items are compared as lower-cased words with single spaces between the
 e = floor(n * rate) edits. Cut into e + 1 pieces, an occurrence with at most e edits holds one of them unchanged; all pieces are
 looked up at once by an Aho-Corasick automaton, and around each hit Myers' bit-parallel algorithm finds the least distance of the
 item to any substring. Before the whole item, growing runs of its pieces are verified around a hit: the pieces are halved again
-and again, and of two halves of k pieces in all, one has fewer errors than pieces if the whole has fewer than k.
+and again, and of two halves of k pieces in all, one has fewer errors than pieces if the whole has fewer than k. An item too short for
+an error is found as whole words only: "art" is in "the art of" and not in "party".
 
 The items are written to the shared folder in blocks of about ``block_chars`` characters, and tasks read them there, so the driver
-knows only how many blocks there are. Documents are scanned once and not shuffled: a task gathers ``GATHERED_CHARS`` of them, looks
-them up in one block after another and holds one block's automaton at a time; with a single block it keeps that.
+knows only how many blocks there are. Documents are scanned once and not shuffled. A worker holds the automata of ``HELD_BLOCKS``
+blocks (130 MB each); with more blocks a task gathers ``GATHERED_CHARS`` of documents, looks them up in one block after another and
+builds the automata anew for the next ones. Building takes 1.5 s a block, looking up so many documents a minute or more.
 
 Defined results: a null or wordless text or item matches nothing; repeated documents or items are matched each; one row for each
 document row and item, with the least distance and, of equal ones, the first end; an empty table gives no rows; a null id is kept;
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from .common import files_of, new_path
 
 RATE = 0.1
-BLOCK_CHARS, GATHERED_CHARS = 1 << 21, 1 << 24
+BLOCK_CHARS, GATHERED_CHARS, HELD_BLOCKS = 1 << 21, 1 << 24, 4
 
 
 def words(text: str) -> Column:
@@ -48,6 +50,11 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether words begin at ``start`` and end at ``end``."""
+    return (start <= 0 or text[start - 1] == " ") and (end >= len(text) or text[end] == " ")
+
+
 class Myers:
     """Edit distances of one pattern to substrings of texts, a column of the table in one word of as many bits."""
 
@@ -134,7 +141,7 @@ class Matcher:
         for end, of in self.automaton.iter(text):
             for k, j, at, size in of:
                 start = end + 1 - size - at
-                if start not in hits[k] and self.likely(text, k, j, start):
+                if start not in hits[k] and (self.likely(text, k, j, start) if self.errors[k] else bounded(text, start, end + 1)):
                     hits[k].add(start)
         out = {}
         for k, starts in hits.items():
@@ -196,7 +203,7 @@ def items_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Items:
     return out
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=HELD_BLOCKS)
 def _matcher(items: Items, block: int, rate: float) -> Matcher:
     import pyarrow.parquet as pq
 
@@ -221,7 +228,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Tab
     for batch in batches:
         held.append(batch)
         size += batch.column(1).nbytes
-        if blocks < 2 or size > GATHERED_CHARS:
+        if blocks <= HELD_BLOCKS or size > GATHERED_CHARS:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:

@@ -396,12 +396,36 @@ def test_edit_matching():
             text = text[:30] + "".join(near) + text[30:]
         found = [*decontaminate.Matcher(((7, item, 1),), 0.25).leaks(text)]
         best = distance(item, text)
+        if len(item) < 4:  # no error budget: whole words
+            assert [leak[1:] for leak in found] == [(0, m.start(), m.end()) for m in re.finditer(f"(?<![^ ]){re.escape(item)}(?![^ ])", text)][:1]
+            continue
         assert bool(found) == (best <= int(len(item) * 0.25))
         if found:
             (_, d, start, end), = found
             assert d == best and distance(item, text[start:end]) == best
 
 
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "art"), (2, "a"), (3, "an art")], "item_id long, text string")
+    docs = [(1, "A party."), (2, "Party, party"), (3, "martart (ART)"), (4, "art"), (5, "ban artful"), (6, "an: art!"), (7, ""), (8, None)]
+    found = sorted((r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in decontaminate.leaks(frame(spark, docs), bench).collect())
+    assert found == [(1, 2, 0, 0, 1), (3, 1, 0, 8, 11), (4, 1, 0, 0, 3), (6, 1, 0, 3, 6), (6, 3, 0, 0, 6)]
+    assert {r["doc_id"] for r in decontaminate.without_leaks(frame(spark, docs), bench).collect()} == {2, 5, 7, 8}
+
+
+@pytest.mark.parametrize("gathered", [1, 1 << 24])
+def test_leaks_over_many_blocks(spark, monkeypatch, gathered):
+    """More blocks than a worker holds, documents gathered one by one or all at once: the leaks of one block."""
+    monkeypatch.setattr(decontaminate, "GATHERED_CHARS", gathered)
+    random.seed(8)
+    said = ["".join(random.choice("abcdefgh ") for _ in range(30)) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    docs = [(d, " ".join(random.choice(said)[: random.randint(20, 30)] for _ in range(5))) for d in range(60)]
+    rows = lambda chars: sorted(map(tuple, decontaminate.leaks(frame(spark, docs), bench, block_chars=chars).collect()))
+    assert decontaminate.items_of(bench, 150).blocks > decontaminate.HELD_BLOCKS
+    assert rows(150) == rows(1 << 21) != []
+
+
 def test_leaks(spark):
     item = "The quick brown fox jumps over the lazy dog, and then it rests for a long while."
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "...", "x"), (None, item, "x")], "item_id long, text string, words string")
