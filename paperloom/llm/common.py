@@ -54,15 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again: all that was made of them is written itself."""
     for t in tables:
-        system, root = filesystem(t.written_to)
-        system.delete_dir(root)
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)  # whatever store Spark wrote it to
 
 
 def filesystem(path: str):
-    """For tasks that read or write a folder by themselves: its file system and its name there."""
+    """For tasks that read or write a folder by themselves: its file system and its name there. Hadoop's names of S3 are known too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path) if re.match(r"\w+:", path) else f"file://{path}")
 
 
 def files_of(path: str, hidden: bool = False):

@@ -43,7 +43,7 @@ def test_long_conversation(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.ORACLE_SQL[name])
@@ -128,3 +128,23 @@ def test_foreign_archive(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(b"warcinfo", b"software: x\r\n\r\nmore")) + gzip.compress(record(b"resource", b"\x00\xffbytes")))
     rows = warc.read_warc(spark, str(tmp_path)).orderBy("record_type").collect()
     assert [(r["record_type"], bytes(r["payload"])) for r in rows] == [("resource", b"\x00\xffbytes"), ("warcinfo", b"software: x\r\n\r\nmore")]
+
+
+def test_the_round_trip_pushes_filters(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, "u", "y"), (4, "u", "y"), (5, None, None)], "page_id long, url string, html string")
+    rows = warc.round_trip(pages, f"file://{tmp_path}/archive")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "filter" not in [line.split("(")[0].strip(" *+-:").lower() for line in plan.splitlines()]
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows.collect()) == [(1, 200, "response", None), (2, 200, "revisit", 1), (3, 1, "response", None), (4, 1, "response", None), (5, 0, "response", None)]
+
+
+def test_hadoop_names_of_s3():
+    """As far as a box without network can tell: the scheme is known."""
+    from unittest import mock
+
+    from paperloom.llm import common
+
+    with mock.patch("pyarrow.fs.FileSystem") as fs:
+        common.filesystem("s3a://bucket/a")
+        common.filesystem("/a")
+        assert [c.args[0] for c in fs.from_uri.call_args_list] == ["s3://bucket/a", "file:///a"]
