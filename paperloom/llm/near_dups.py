@@ -7,8 +7,9 @@ weighted Jaccard similarity of their bags is ``threshold`` or more; a class is a
 2. ``REGISTERS`` registers in bands of four: a pair at the threshold shares a bucket with a probability of 1 - 5e-8.
 3. Each bucket has one hub, the member whose buckets are fullest in all; all members are verified against it. A bucket of any size
    costs as many pairs as it has members, and a family of copies of one text is joined by that text.
-4. Members of buckets that still hold several components are compared further: those pairs of different components that prefix
-   filtering, which is exact, leaves.
+4. Members of buckets that still hold several components are compared further, as far as prefix filtering, which is exact, leaves
+   them: those that meet on a run are first verified against one hub of that run and of like sizes, as many pairs as rows, and
+   their components are joined; pair by pair meet only those that are still in different components.
 
 Prefix filtering is exact under any fixed order of runs and cheap if rare runs come first. The order is by a count filter with four
 counters for each run of those members, ``MOST_SLOTS`` at most: a counter is never too low, so a run counted once is in one bag
@@ -133,8 +134,9 @@ def _slots_for(runs: int) -> int:
     return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (4 * runs - 1).bit_length()))
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots: int | None = None) -> DataFrame:
-    """Pairs (u, v) of ``members`` (node, component) of different components that can be linked at all, by prefix filtering.
+def _prefixes(members: DataFrame, texts: DataFrame, threshold: float, slots: int | None = None) -> DataFrame:
+    """The rows ``node, component, run, own, other`` on which ``members`` (node, component) that can be linked at all meet, by prefix
+    filtering.
 
     Two bags of n and m runs are linked if they share a = (n + m) * t / (1 + t) of them, so with all runs in one order, rarest
     first, they share one of the first n - a + 1 of one and m - a + 1 of the other. Rows meet on such a run and on both bags' bins
@@ -176,12 +178,33 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, slots:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(parts, kinds, strict=True)], names)
 
     found = written(rows.mapInArrow(placed, "node long, component long, run long, own int, other int"), "prefixes")
+    discard(rows)
+    return found
+
+
+def _hub_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``_prefixes``, each once: rows meet on a run and on both bags' bins of sizes, and of those that a row meets it is
+    paired with one hub, the least of the least component, if that is not its own. No more pairs than rows."""
+    least = F.min(F.struct("component", "node")).alias("hub")
+    hubs = written(found.groupBy("run", F.col("own").alias("other"), F.col("other").alias("own")).agg(least), "run_hubs")  # written: a join of two exchanges can split a hot run
+    met = found.join(hubs, ["run", "own", "other"]).where("component <> hub.component").select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+    pairs = written(met.groupBy(F.greatest("u", "v").alias("high"), F.least("u", "v").alias("low")).agg(F.min(F.struct("u", "v")).alias("pair")).select("pair.*"), "hub_pairs")
+    discard(hubs)
+    return pairs
+
+
+def _apart_pairs(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``_prefixes`` that meet and are of different components, but those ``known`` (u, v)."""
     a, b = found.alias("a"), found.alias("b")
     meet = (F.col("a.run") == F.col("b.run")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
     apart = (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     pairs = a.join(b, meet & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    pairs.read_from = [rows, found]
-    return pairs
+    return pairs.join(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+
+
+def _rejoined(links: DataFrame, joined: DataFrame) -> DataFrame:
+    """``node, component`` of components ``joined`` that ``links`` (u, v) link further."""
+    return components(links.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int | None = None) -> DataFrame:
@@ -214,12 +237,18 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int | None =
     marked = buckets.join(joined, "node", "left").select("bucket", "node", own_or)
     still = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     members = written(marked.join(still, "bucket").select("node", "component").distinct(), "open")
-    pairs = _prefix_pairs(members, texts, threshold, slots)
-    more = written(_verified(pairs, texts, threshold), "more")
-    discard(sizes, buckets, texts, ranked, stars, members, *pairs.read_from)
-    whole = components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-
-    every = links.unionByName(more)
+    prefixes = _prefixes(members, texts, threshold, slots)
+    tried = _hub_pairs(prefixes)
+    hubs = written(_verified(tried, texts, threshold), "hub_links")
+    joined = _rejoined(hubs, joined)
+    now = prefixes.drop("component").join(joined, "node", "left").withColumn("component", own_or)
+    several = now.groupBy("run").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("run")
+    apart = written(now.join(several, "run", "left_semi"), "apart")
+    more = written(_verified(_apart_pairs(apart, tried), texts, threshold), "more")
+    discard(sizes, buckets, texts, ranked, stars, members, prefixes, tried, apart)
+    whole = _rejoined(more, joined)
+
+    every = links.unionByName(hubs).unionByName(more).distinct()
     ends = every.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(every.select(F.col("v").alias("node"), F.col("u").alias("to")))
     linked = ends.join(nodes.select(F.col("node").alias("to"), F.col("least").alias("to_id")), "to").groupBy("node").agg(F.min("to_id").alias("to_id"))
     own = every.select(F.col("u").alias("node"), F.col("v").alias("to")).join(nodes.select(F.col("node").alias("to"), F.col("least").alias("to_id")), "to")
@@ -230,7 +259,7 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, slots: int | None =
     listed = F.concat(F.array_compact(F.array(F.when(F.col("copies") > 1, F.col("least")))), F.coalesce("own", F.array().cast("array<long>")))
     labels = labels.select("digest", "component", "class_id", F.when(F.col("copies") > 1, F.least("least", "to_id")).otherwise(F.col("to_id")).alias("linked_to"), F.array_join(F.array_sort(listed), ",").alias("links"))
     labels = written(labels, "labels")
-    discard(nodes, links, more, named, ids)
+    discard(nodes, links, hubs, more, named, ids)
     return sketch.select("doc_id", "digest").join(labels, "digest")
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import bagminhash, components, decontaminate, fingerprints, language_id, near_dups, packing, repeats, secrets, token_counts
@@ -512,6 +513,27 @@ def test_near_duplicates(spark, texts):
     assert {min(c): c for c in rebuilt.values()} == {k: {d for d, c in want.items() if c == k} for k in set(want.values())}
 
 
+def test_pairs_that_meet_on_runs(spark):
+    """Of 60 near copies in 60 components, and texts that only share a run with them, no more pairs are tried than rows; what hubs link
+    is no longer compared, and links of all pairs and of hubs and the rest give the same components."""
+    said = [*family(4, 60, 120, 1), *(" ".join(t.split()[:12] + [f"own{k}x{i}" for i in range(40)]) for k, t in enumerate(family(4, 8, 120, 0)))]
+    texts = spark.createDataFrame(list(enumerate(said)), "node long, words string")
+    found = near_dups._prefixes(texts.select("node", F.col("node").alias("component")), texts, 0.8, 64).cache()
+    tried = near_dups._hub_pairs(found)
+    pairs = {tuple(sorted(r)) for r in tried.collect()}
+    every = {tuple(sorted(r)) for r in near_dups._apart_pairs(found, tried.limit(0)).collect()}
+    assert pairs < every and len(pairs) == tried.count() <= found.count()
+    assert {tuple(sorted(r)) for r in near_dups._apart_pairs(found, tried).collect()} == every - pairs
+    linked = components.components(near_dups._verified(tried, texts, 0.8))
+    now = found.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = near_dups._apart_pairs(now, tried)
+    assert left.count() < len(every) / 4
+    rest = components.components(near_dups._verified(left, texts, 0.8).unionByName(linked.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    got = dict(map(tuple, rest.collect()))
+    want = plain_classes(list(enumerate(said)))
+    assert {d: got.get(d, d) for d in want} == want
+
+
 def test_one_row_of_each_class_stays(spark):
     same, other = "alpha beta gamma delta epsilon zeta", "wholly other words of another text here"
     docs = [(1, same), (1, other), (2, same.upper()), (2, same), (None, other), (None, "only without an id at all"), (None, "only without an id at all"), (3, same), (3, same), (4, None), (5, " "), (6, "x y z"), (6, "X  y z")]
