@@ -10,7 +10,7 @@ an error is found as whole words only: "art" is in "the art of" and not in "part
 The items are written to the shared folder in blocks of about ``block_chars`` characters, and tasks read them there, so the driver
 knows only how many blocks there are. Documents are scanned once and not shuffled. A worker holds the automata of ``HELD_BLOCKS``
 blocks (130 MB each); with more blocks a task gathers ``GATHERED_CHARS`` of documents, looks them up in one block after another and
-builds the automata anew for the next ones. Building takes 1.5 s a block, looking up so many documents a minute or more.
+builds the automata anew for the next ones. In a trial, building took 1.5 s a block and looking up 2 MB of documents 15 s.
 
 Defined results: a null or wordless text or item matches nothing; repeated documents or items are matched each; one row for each
 document row and item, with the least distance and, of equal ones, the first end; an empty table gives no rows; a null id is kept;
