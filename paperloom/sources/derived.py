@@ -192,7 +192,7 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry as files (path, content): six of eleven are broken, no mapping, have a key twice, a version that is a text, no
-    prompt and examples, or keys that nobody knows."""
+    prompt and examples, or keys that nobody knows. Of suppliers that come to one path the first by key has the file."""
     c = F.col("k") % 11
     text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
     example = lambda e, i: F.concat(F.lit('{"input":"'), e["input"], F.lit('","output":'), e["output"], F.when((c == 6) & (i == 0), F.lit(',"note":1')).otherwise(F.lit("")), F.lit("}"))
@@ -209,7 +209,7 @@ def skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c == 6, F.lit('"extra":true')),
     )
     content = F.when(c == 2, F.lit("[1]")).otherwise(F.concat(F.lit("{"), parts, F.when(c == 1, F.lit("")).otherwise(F.lit("}\n"))))
-    return skills(spark, sf_dir).select("path", content.alias("content"))
+    return skills(spark, sf_dir).groupBy("path").agg(F.min_by(content, "k").alias("content"))
 
 
 @prepared

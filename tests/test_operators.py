@@ -696,3 +696,11 @@ def test_ties_and_nulls(spark):
         assert index == [(0, 1, "a"), (2, 4, "b"), (5, 5, "c"), (6, 7, "d"), (8, 9, "d")]
         raw = spark.createDataFrame([(1, 0, "f", "b", 1, 2, True, 1), (1, 0, "f", "a", 3, 4, True, 1), (None, 0, "f", None, None, None, True, 1)], RAW).repartition(parts)
         assert {(r["doc_id"], r["value"]) for r in fields.first_arrival(raw).collect()} == {(1, "a"), (None, None)}
+
+
+def test_of_suppliers_with_one_path_the_first_has_the_file(spark, tmp_path):
+    from paperloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(29, 7), (58, 7), (116, 7), (30, 7)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = QUERIES["src_2"](spark, str(tmp_path)).select("path", "version", "prompt").collect()
+    assert sorted(map(tuple, rows)) == [("skill7/30.yaml", 30, "Read 30"), ("skill7/one.yaml", 29, "Read 29")]
