@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys that are never logged, what replaces the rest, and the patterns.
+#: Keys that are never logged, what replaces the rest, and the patterns. What costs least is asked first at each place.
 KEYS = ("pdf_bytes", "raw_output", "extracted_value", "prompt", "field_values")
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 REQUEST_ID = r"(?!(?<=(?i:request[_-]id=|x-request-id: |x-request-id:))[0-9a-fA-F]{32}\b)"
-NUMBER = rf"(?U){REQUEST_ID}(?<!line )\b(?:\d{{1,3}}(?:[,\s]\d{{3}})+(?:\.\d+)?|\d{{4,}}(?:\.\d+)?)\b"
+NUMBER = rf"(?U)(?=\d)\b(?<!line ){REQUEST_ID}(?:\d{{1,3}}(?:[,\s]\d{{3}})+(?:\.\d+)?|\d{{4,}}(?:\.\d+)?)\b"
 CUT = "... [truncated]"
 
 
