@@ -6,8 +6,9 @@ the JVM; a Python function sees only rows that both have missed and that have a
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,42 +36,63 @@ def located(text: Column, value: Column) -> Column:
     return F.when(value == "", span(F.lit(0), F.lit(0))).when(at > 0, span(at - 1, at - 1 + F.length(value)))
 
 
-Mapped = tuple[str, list[int]]
+Mapped = tuple[str, Sequence[int]]
+#: Runs of characters that NFKC may change, and runs of whitespace that are not one plain space.
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+_RUN = re.compile(r"\s{2,}|[^\S ]")
 
 
-def _collapse(text: str) -> Mapped:
-    """Each run of whitespace as one space that stands for the run's first character."""
-    keep = [i for i, c in enumerate(text) if not c.isspace() or i == 0 or not text[i - 1].isspace()]
-    return "".join(" " if text[i].isspace() else text[i] for i in keep), keep
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    return (found.span() for found in _RUN.finditer(text))
 
 
-def _compose(text: str) -> Mapped:
-    """NFKC of each character with the combining marks after it; the j-th character of the result stands for the j-th of them."""
-    starts = [i for i, c in enumerate(text) if i == 0 or unicodedata.category(c)[0] != "M"]
-    out, origins = [], []
-    for begin, end in zip(starts, [*starts[1:], len(text)], strict=True):
-        part = unicodedata.normalize("NFKC", text[begin:end])
-        out.append(part)
-        origins += [min(begin + j, end - 1) for j in range(len(part))]
-    return "".join(out), origins
+def _segments(text: str) -> Iterator[tuple[int, int]]:
+    """Each character beyond ASCII with the combining marks after it; marks at the head of a run belong to the character before."""
+    for found in _BEYOND_ASCII.finditer(text):
+        begin, end = found.span()
+        starts = [i for i in range(begin, end) if unicodedata.category(text[i])[0] != "M"]
+        if not starts or starts[0] != begin:
+            starts.insert(0, max(begin - 1, 0))
+        yield from zip(starts, [*starts[1:], end], strict=True)
 
 
-def _compose_collapse(text: str) -> Mapped:
-    composed, inner = _compose(text)
-    short, outer = _collapse(composed)
-    return short, [inner[i] for i in outer]
+def _compose(text: str) -> Mapped:
+    """NFKC of each character with the combining marks after it; the j-th character of the result stands for the j-th of them. What is
+    its own NFKC is copied as a whole."""
+    out, origins, at = [], [], 0
+    for begin, end in _segments(text):
+        new = unicodedata.normalize("NFKC", text[begin:end])
+        if new != text[begin:end]:
+            out += (text[at:begin], new)
+            origins += range(at, begin)
+            origins += (min(begin + j, end - 1) for j in range(len(new)))
+            at = end
+    if not out:
+        return text, range(len(text))
+    origins += range(at, len(text))
+    return "".join((*out, text[at:])), origins
 
 
 def _find(text: str, value: str, normal: Callable[[str], Mapped]) -> tuple[int, int] | None:
-    wanted, _ = normal(value)
+    """Where the whitespace-collapsed ``normal`` form of ``value`` is in that of ``text``. Only a hit's two ends are traced back."""
+    wanted = _RUN.sub(" ", normal(value)[0])
     if not wanted:
         return None
-    short, origins = normal(text)
-    at = short.find(wanted)
+    whole, origins = normal(text)
+    at = _RUN.sub(" ", whole).find(wanted)
     if at < 0:
         return None
-    past = at + len(wanted)
-    return origins[at], origins[past] if past < len(origins) else len(text)
+    first, past = _uncollapsed(whole, at), _uncollapsed(whole, at + len(wanted))
+    return origins[first], origins[past] if past < len(origins) else len(text)
+
+
+def _uncollapsed(text: str, place: int) -> int:
+    """The place in ``text`` of one in its collapsed form; a space stands for its run's first character."""
+    for begin, end in _runs(text):
+        if place <= begin:
+            break
+        place += end - begin - 1
+    return place
 
 
 def whitespace_range(text: Column, value: Column) -> Column:
@@ -97,7 +119,7 @@ def whitespace_range(text: Column, value: Column) -> Column:
 @F.pandas_udf(RANGE)
 def nfkc_range(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
     """The same in compatibility form; null texts and values cost nothing."""
-    found = [_find(t, v, _compose_collapse) if t and v else None for t, v in zip(texts, values, strict=True)]
+    found = [_find(t, v, _compose) if t and v else None for t, v in zip(texts, values, strict=True)]
     return pd.DataFrame({"start": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})
 
 

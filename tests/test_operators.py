@@ -704,3 +704,25 @@ def test_of_suppliers_with_one_path_the_first_has_the_file(spark, tmp_path):
     spark.createDataFrame([(29, 7), (58, 7), (116, 7), (30, 7)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     rows = QUERIES["src_2"](spark, str(tmp_path)).select("path", "version", "prompt").collect()
     assert sorted(map(tuple, rows)) == [("skill7/30.yaml", 30, "Read 30"), ("skill7/one.yaml", 29, "Read 29")]
+
+
+def test_composed_ranges_follow_the_definition_and_copy_what_does_not_change(monkeypatch):
+    def plain(value):
+        """Each character of the shortened NFKC form with its place in ``value``."""
+        starts = [i for i, c in enumerate(value) if i == 0 or unicodedata.category(c)[0] != "M"]
+        pairs = []
+        for begin, end in zip(starts, [*starts[1:], len(value)], strict=True):
+            pairs += [(c, min(begin + j, end - 1)) for j, c in enumerate(unicodedata.normalize("NFKC", value[begin:end]))]
+        return [(" " if c.isspace() else c, i) for k, (c, i) in enumerate(pairs) if not c.isspace() or k == 0 or not pairs[k - 1][0].isspace()]
+
+    pick, letters = random.Random(7), "ab ﬁé  \t\n\u0327\u0301é가\u1100\u1161ａ½\x1cか\u3099"
+    for _ in range(3_000):
+        whole, value = ("".join(pick.choice(letters) for _ in range(pick.randint(1, n))) for n in (14, 3))
+        held, wanted = plain(whole), "".join(c for c, _ in plain(value))
+        at = "".join(c for c, _ in held).find(wanted)
+        places = [i for _, i in held] + [len(whole)]
+        assert text._find(whole, value, text._compose) == ((places[at], places[at + len(wanted)]) if at >= 0 else None)
+    calls = []
+    monkeypatch.setattr(text, "unicodedata", type("Counted", (), {"category": unicodedata.category, "normalize": lambda form, part: calls.append(part) or unicodedata.normalize(form, part)}))
+    assert text._find("plain \t words " * 50 + "ﬁne", "fine", text._compose) == (700, 703)
+    assert calls == ["ﬁ"]
