@@ -110,7 +110,10 @@ def _below(pair: Column) -> Column:
 
 
 def with_violations(rows: DataFrame, value: Column, schema: Column, levels: int, name: str = "violations") -> DataFrame:
-    """``rows`` with ``name``: the violations (place, rule) of ``value`` against ``schema``, sorted and distinct."""
+    """``rows`` with ``name``: the violations (place, rule) of ``value`` against ``schema``, sorted and distinct.
+
+    They come out of an explode of one element: a filter on them, which would else be moved down to the scan and walk all levels once
+    more for each mention of their pairs, stays above it."""
     root = F.when(json_kind(schema).isin("object", "boolean") & value.isNotNull(), F.array(F.struct(F.lit("$").alias("place"), value.alias("value"), schema.alias("schema"))))
     broken = F.when(value.isNull(), F.array(F.struct(F.lit("$").alias("place"), F.lit("json").alias("rule")))).otherwise(F.array().cast(VIOLATIONS))
     walked = rows.select(F.struct("*").alias("row"), broken.alias("found"), F.coalesce(root, F.array().cast(PAIRS)).alias("pairs"))
@@ -118,7 +121,7 @@ def with_violations(rows: DataFrame, value: Column, schema: Column, levels: int,
     with_own = F.concat("found", F.flatten(F.transform("pairs", _violations))).alias("found")
     for level in range(levels + 1):
         walked = walked.select("row", with_own, below) if level < levels else walked.select("row", with_own)
-    return walked.select("row.*", F.array_sort(F.array_distinct("found")).alias(name))
+    return walked.select("row.*", F.explode(F.array(F.array_sort(F.array_distinct("found")))).alias(name))
 
 
 def places(violations: Column) -> Column:
