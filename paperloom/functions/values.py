@@ -37,6 +37,6 @@ def json_kind(value: Column) -> Column:
         .when(elements(value).isNotNull(), "array")
         .when(scalar == "STRING", "string")
         .when(scalar == "BOOLEAN", "boolean")
-        .when(number(value) == F.floor(number(value)), "integer")
+        .when(number(value) % 1 == 0, "integer")  # floor() is a long, which large numbers are beyond
         .otherwise("number")
     )
