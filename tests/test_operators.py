@@ -726,3 +726,18 @@ def test_composed_ranges_follow_the_definition_and_copy_what_does_not_change(mon
     monkeypatch.setattr(text, "unicodedata", type("Counted", (), {"category": unicodedata.category, "normalize": lambda form, part: calls.append(part) or unicodedata.normalize(form, part)}))
     assert text._find("plain \t words " * 50 + "ﬁne", "fine", text._compose) == (700, 703)
     assert calls == ["ﬁ"]
+
+
+def test_small_trees_do_not_go_along_with_the_largest(spark, tmp_path):
+    nodes = [(d, f"n{i}", f"n{i - 1}" if i else None, 0) for d, n in [(0, 200), *((d, 2) for d in range(1, 51))] for i in range(n)]
+    sizes = {}
+
+    def write(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        sizes[name] = out.count()
+        return out
+
+    got = trees.preorder(spark.createDataFrame(nodes, "doc_id long, node string, parent string, ordinal long"), write).collect()
+    assert sorted(map(tuple, got)) == sorted((d, f"n{i}", i, i) for d, n in [(0, 200), *((d, 2) for d in range(1, 51))] for i in range(n))
+    assert sizes["tour4"] <= 400 < sizes["tour1"]
