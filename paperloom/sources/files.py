@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from ..operators.registry import from_files
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
-    """Files up to the limit (path, n_bytes, content) and what is larger (path, max_bytes, actual_bytes). The limit is applied to
-    the files' listed lengths, so large files are not read."""
-    files = spark.read.format("binaryFile").load(path)
+    """Files up to the limit (path, n_bytes, content) and what is larger (path, max_bytes, actual_bytes), at any depth. The limit is
+    applied to the files' listed lengths, so large files are not read. Opening a file counts as 64 KB, not as Spark's 4 MB, so that a
+    task has hundreds of small files, not 32."""
+    session = spark.newSession()  # the cost is this reader's choice alone
+    session.conf.set("spark.sql.files.openCostInBytes", 64 << 10)
+    files = session.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kept = files.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("n_bytes"), "content")
     refused = files.where(F.col("length") > max_bytes).select("path", F.lit(max_bytes).alias("max_bytes"), F.col("length").alias("actual_bytes"))
     return kept, refused
@@ -66,9 +69,13 @@ def write_files(rows: DataFrame, folder: str) -> None:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
+        made = None
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                below = f"{root}/{path}".rpartition("/")[0]
+                if below != made:
+                    system.create_dir(below, recursive=True)
+                    made = below
                 with system.open_output_stream(f"{root}/{path}", compression=None) as out:
                     out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])

@@ -772,3 +772,15 @@ def test_arriving_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch)
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert parts < 16 and seen == [(16, 8)]
+
+
+def test_small_files_are_read_many_to_a_task(spark, tmp_path):
+    from paperloom.sources import files
+
+    rows = spark.range(600).selectExpr("concat(id div 100, '/', id, '.txt') as path", "cast(id as string) as content")
+    files.write_files(rows, str(tmp_path))
+    kept, refused = files.read_documents(spark, str(tmp_path), 2)
+    assert kept.rdd.getNumPartitions() <= 6 and refused.rdd.getNumPartitions() <= 6
+    assert sorted(bytes(r["content"]).decode() for r in kept.collect()) == sorted(str(i) for i in range(100))
+    assert refused.count() == 500
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(64 << 10)
