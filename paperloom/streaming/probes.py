@@ -94,7 +94,7 @@ class Health(StatefulProcessor):
         self.state = handle.getValueState("last", "at long, up boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        last, up = self.state.get() if self.state.exists() else (None, False)
+        last, up = self.state.get() or (None, False)  # each call goes to the JVM and back
         for at, _, ok, ts, seq in sorted(((r["at"], -(1 << 63) if r["seq"] is None else r["seq"], bool(r["ok"]), r["ts"], r["seq"]) for r in rows), key=lambda r: r[:3]):
             if last is not None and at - last < self.micros:
                 continue

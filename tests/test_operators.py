@@ -784,3 +784,24 @@ def test_small_files_are_read_many_to_a_task(spark, tmp_path):
     assert sorted(bytes(r["content"]).decode() for r in kept.collect()) == sorted(str(i) for i in range(100))
     assert refused.count() == 500
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(64 << 10)
+
+
+def test_health_asks_its_state_once():
+    from paperloom.streaming import probes
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    health = probes.Health(10.0)
+    health.state = State()
+    row = lambda at, ok: {"at": at * 1_000_000, "seq": at, "ok": ok, "ts": at}
+    assert list(health.handleInputRows((1,), iter([row(5, False), row(0, True)]), None)) == []
+    assert [(r["seq"], r["event"]) for r in health.handleInputRows((1,), iter([row(9, False), row(12, False), row(25, True)]), None)] == [(12, "became_unreachable"), (25, "recovered")]
+    assert health.state.calls == 2
