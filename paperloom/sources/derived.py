@@ -185,6 +185,7 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit("force")).when(k % 73 == 0, F.lit("maybe")).alias("ocr"),
         F.when(k % 4 == 0, F.lit("fast")).alias("table_mode"),
         F.array().cast("array<struct<place:string,rule:string>>").alias("shape"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("stored"),
     )
     again = rows.where(_mod("version", 12) == 0).withColumn("path", F.concat(F.lit(""), F.regexp_replace("path", "/", "/00")))
     return rows.unionByName(again)
@@ -192,8 +193,8 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_files(spark: SparkSession, sf_dir: str, first: Column | None = None) -> DataFrame:
     """The registry as files (path, content): six of eleven are broken, no mapping, have a key twice, a version that is a text, no
-    prompt and examples, or keys that nobody knows. Of suppliers that come to one path the first by key has the file;
-    where ``first``, a condition on ``skills``, holds for some of them, the first of those."""
+    prompt and examples, or keys that nobody knows. Of suppliers that come to one path the first as they are stored has the
+    file, as in SQL's choice without an order; where ``first``, a condition on ``skills``, holds for some of them, the first of those."""
     c = F.col("k") % 11
     text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
     example = lambda e, i: F.concat(F.lit('{"input":"'), e["input"], F.lit('","output":'), e["output"], F.when((c == 6) & (i == 0), F.lit(',"note":1')).otherwise(F.lit("")), F.lit("}"))
@@ -210,7 +211,7 @@ def skill_files(spark: SparkSession, sf_dir: str, first: Column | None = None) -
         F.when(c == 6, F.lit('"extra":true')),
     )
     content = F.when(c == 2, F.lit("[1]")).otherwise(F.concat(F.lit("{"), parts, F.when(c == 1, F.lit("")).otherwise(F.lit("}\n"))))
-    return skills(spark, sf_dir).groupBy("path").agg(F.min_by(content, F.struct((F.lit(False) if first is None else ~first).alias("last"), "k")).alias("content"))
+    return skills(spark, sf_dir).groupBy("path").agg(F.min_by(content, F.struct((F.lit(False) if first is None else ~first).alias("last"), "stored")).alias("content"))
 
 
 @prepared
