@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -786,6 +787,76 @@ def test_small_files_are_read_many_to_a_task(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(64 << 10)
 
 
+def test_the_driver_has_no_list_of_documents(spark, tmp_path):
+    from paperloom.sources import files
+
+    files.write_files(spark.range(600).selectExpr("concat(id div 100, '/', id, '.txt') as path", "cast(id as string) as content"), str(tmp_path))
+    for found, n in zip(files.read_documents(spark, str(tmp_path), 2), (100, 500), strict=True):
+        assert found.count() == n and len(found.inputFiles()) < 20
+
+
+def test_documents_are_listed_as_by_spark(spark, tmp_path):
+    from paperloom.sources import files
+
+    root = tmp_path / "docs"
+    for path in ("a.txt", "b/c/d/e", "b/_hidden", "b/.hidden", "b/_metadata", "b/x._COPYING_", "_none/f", "_k=v/f", "_metadata.d/f", ".git/f", "a b/100%25 #1+é.txt", "b/empty"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("" if path.endswith("empty") else path)
+    (root / "nothing").mkdir()
+    (root / "link").symlink_to(root / "b")
+    rows = lambda df: sorted((r["path"], r["n_bytes"], bytes(r["content"])) for r in df.collect())
+    seen = []
+    for path in (root, f"file://{root}/", root / "*", root / "{a b,b}/*", root / "a.txt", root / "nothing", tmp_path / "{docs,docs/b,docs/_none}"):
+        kept, refused = files.read_documents(spark, str(path))
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(path))
+        seen.append(rows(kept))
+        assert seen[-1] == rows(want.withColumnRenamed("length", "n_bytes")) and refused.isEmpty()
+    assert len(seen[0]) == 6 and len(seen[4]) == 1 and not seen[5] and len(seen[6]) == 7
+    for path in (tmp_path / "gone", tmp_path / "gone*"):
+        with pytest.raises(Exception, match="gone"):
+            files.read_documents(spark, str(path))
+
+
+def test_names_in_stores(monkeypatch):
+    from paperloom.sources import files
+
+    monkeypatch.setattr(files, "_opened", lambda store: (store, {"s3": "bucket", "hd": "/", "fi": "/"}[store[:2]]))
+    assert files._stored("s3a://bucket/a b/c%20") == ("s3://bucket/", "bucket/a b/c%20")
+    assert files._stored("hdfs://node:8020/a:b/c") == ("hdfs://node:8020/", "/a:b/c")
+    assert files._stored("file:/a/b") == ("file:///", "/a/b")
+
+
+def test_documents_in_a_store_that_only_spark_reads(spark, tmp_path):
+    from paperloom.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"abc")
+    (tmp_path / "in" / "b").write_bytes(b"abcd")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.docs.link./in", f"file://{tmp_path}/in")
+    kept, refused = files.read_documents(spark, "viewfs://docs/in", 3)
+    assert [bytes(r["content"]) for r in kept.collect()] == [b"abc"] and [r["actual_bytes"] for r in refused.collect()] == [4]
+
+
+def test_documents_changed_since_they_were_listed(spark, tmp_path):
+    from paperloom.sources import files
+
+    (tmp_path / "a").write_bytes(b"abc")
+    kept, _ = files.read_documents(spark, str(tmp_path), 3)
+    (tmp_path / "a").write_bytes(b"abcd")
+    with pytest.raises(Exception, match="changed since"):
+        kept.collect()
+
+
+def test_files_are_read_in_batches_of_some_bytes(spark, tmp_path):
+    from paperloom.sources import files
+
+    files.write_files(spark.range(5).selectExpr("cast(id as string) as path", "repeat('x', 5000000) as content"), str(tmp_path))
+    files.write_files(spark.range(5, 8).selectExpr("cast(id as string) as path", "'x' as content"), str(tmp_path))
+    paths = [(f"file:{tmp_path}/{i}", 5_000_000 if i < 5 else 1) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*paths, strict=True)], ["path", "length"])
+    assert [len(b) for b in files._contents(iter([batch, batch.slice(5)]))] == [2, 2, 7]
+
+
 def test_health_asks_its_state_once():
     from paperloom.streaming import probes
 
